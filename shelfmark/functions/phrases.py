@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as tx
+from shelfmark.functions.rules import with_struct
 from shelfmark.functions.text import any_phrase
 
 # What a file name alone says (type, name parts, score), in order.
@@ -93,7 +94,7 @@ BIOGRAPHY_NAMES = ("bio", "about")
 def signals(text: Column, low: Column, name_low: Column) -> dict[str, Column]:
     """Counted or combined signals.  Money and dates are regex counts; persons are
     not recognised, so types that need several authors are never proposed."""
-    money, dates = tx.money_count(text), tx.date_count(text)
+    money, dates = F.col("_money"), F.col("_dates")
     letter = any_phrase(low, LETTER_PHRASES)
     mail = F.contains(text, F.lit("@")) & F.contains(low, F.lit("from:"))
     boxes = F.greatest(F.regexp_count(low, F.lit("☐")), F.regexp_count(low, F.lit(r"\[ \]")))
@@ -111,13 +112,13 @@ def signals(text: Column, low: Column, name_low: Column) -> dict[str, Column]:
     }
 
 
-def score_table(text: Column, file_name: Column) -> list[tuple[str, Column, Column]]:
+def score_table(text: Column) -> list[tuple[str, Column, Column]]:
     """(type, score, tie position) per type; score is NULL when the type is not proposed.
 
     A content score replaces the score the file name gave, but a type first proposed
     by its name keeps that earlier position among equal scores.
     """
-    low, name_low = F.lower(text), F.lower(file_name)
+    low, name_low = F.col("_low"), F.col("_nlow")
     known = signals(text, low, name_low)
     by_name = {}
     for place, (kind, marks, points) in enumerate(NAME_SCORES):
@@ -144,14 +145,34 @@ def score_table(text: Column, file_name: Column) -> list[tuple[str, Column, Colu
     return table
 
 
-def infer_type(text: Column, file_name: Column, short_below: int = 500) -> Column:
-    """Highest scoring type; general types when nothing scores."""
+def best_type(text: Column) -> Column:
+    """struct(score, rank, kind) of the highest scoring type; NULL when nothing scores."""
     entries = F.array(
         *[
             F.struct(score.cast("int").alias("score"), (-place).alias("rank"), F.lit(kind).alias("kind"))
-            for kind, score, place in score_table(text, file_name)
+            for kind, score, place in score_table(text)
         ]
     )
-    best = F.array_max(F.filter(entries, lambda e: e["score"].isNotNull()))["kind"]
+    return F.array_max(F.filter(entries, lambda e: e["score"].isNotNull()))
+
+
+def with_inferred_type(docs: DataFrame, text_col: str, name_col: str, short_below: int = 500) -> DataFrame:
+    """Adds inferred_type; general types when nothing scores, unknown for blank texts.
+
+    Lower-cased texts and counted signals are columns first, so each is computed once
+    and not once per phrase list.
+    """
+    text = F.col(text_col)
+    staged = docs.withColumns(
+        {
+            "_low": F.lower(text_col),
+            "_nlow": F.lower(name_col),
+            "_money": tx.money_count(text),
+            "_dates": tx.date_count(text),
+        }
+    )
+    scored = with_struct(staged, best_type(text), ["_score", "_rank", "_kind"])
     general = F.when(F.length(text) < short_below, "general_document_short").otherwise("general_document")
-    return F.coalesce(best, general)
+    return scored.withColumn(
+        "inferred_type", F.when(tx.is_blank(text), "unknown").otherwise(F.coalesce("_kind", general))
+    ).drop("_low", "_nlow", "_money", "_dates", "_score", "_rank", "_kind")

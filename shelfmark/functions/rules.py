@@ -6,10 +6,12 @@ holds, so a chain in priority order is the first-match loop, inside codegen.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
@@ -66,68 +68,113 @@ def rules_from_config(entries: Sequence[Mapping]) -> list[Rule]:
     return [Rule(**{renamed.get(k, k): v for k, v in entry.items()}) for entry in entries]
 
 
-def result_type() -> str:
-    return "struct<document_type:string,confidence:double,method:string,matched_rule:string>"
+RESULT = ("document_type", "confidence", "method", "matched_rule")
+
+
+def with_struct(df: DataFrame, value: Column, fields: Sequence[str]) -> DataFrame:
+    """Add the fields of a struct as columns, computing the struct once per row.
+
+    A generator keeps the optimizer from copying a long rule chain into every later
+    filter and projection that uses one of its fields.
+    """
+    return df.select("*", F.inline(F.array(value)).alias(*fields))
 
 
 def _result(document_type: str | None, confidence: float, method: str, rule: str | None) -> Column:
     return F.struct(
         F.lit(document_type).cast("string").alias("document_type"),
         F.lit(float(confidence)).alias("confidence"),
-        F.lit(method).alias("method"),
+        F.lit(method).cast("string").alias("method"),
         F.lit(rule).cast("string").alias("matched_rule"),
     )
 
 
+def _first(conditions: Sequence[Column], results: Sequence[Column], none: Column) -> Column:
+    """Result of the first condition that holds.
+
+    The chain yields a position and one constant array holds the results, which keeps
+    the generated code small.
+    """
+    position = F
+    for i, condition in enumerate(conditions):
+        position = position.when(condition, i + 1)
+    last = len(conditions) + 1
+    chosen = F.lit(last) if position is F else position.otherwise(last)
+    return F.element_at(F.array(*results, none), chosen)
+
+
+_WORD_LIST = re.compile(r"^\^\(?([a-z0-9|]+)\)?\$$")
+
+
+def _found_in_lower(value: Column, pattern: str) -> Column:
+    """Case-insensitive search in a lower-cased value; cheaper without the flag."""
+    bare = re.sub(r"\\.", "", pattern)
+    return value.rlike(pattern if bare == bare.lower() else any_case(pattern))
+
+
+def _extension_in(ext: Column, pattern: str) -> Column:
+    """A plain word list becomes a set test instead of a regex."""
+    words = _WORD_LIST.match(pattern)
+    return ext.isin(*words.group(1).split("|")) if words else _found_in_lower(ext, pattern)
+
+
 def _rule_condition(rule: Rule, name: Column, stem: Column, ext: Column) -> Column:
     """A file pattern alone suffices; an extension must also meet its context."""
-    hit = F.lit(False)
-    if rule.file:
-        hit = name.rlike(any_case(rule.file))
+    options = []
     if rule.extension:
-        by_ext = ext.rlike(any_case(rule.extension))
-        if rule.context:
-            by_ext = by_ext & stem.rlike(any_case(rule.context))
-        hit = by_ext if rule.file is None else hit | by_ext
-    return hit & ~name.rlike(any_case(rule.exclude)) if rule.exclude else hit
-
-
-def classify_path(path: Column, rules: Sequence[Rule], override_at: int = 90) -> Column:
-    """struct(document_type, confidence, method, matched_rule) for a path."""
-    name = F.lower(paths.name(path))
-    stem = F.lower(paths.stem(path))
-    ext = F.ltrim(paths.extension(path), F.lit("."))
-    chain = F
-    for rule in by_priority(rules):
-        method = "pattern_override" if rule.priority >= override_at else "pattern_extension"
-        chain = chain.when(
-            _rule_condition(rule, name, stem, ext),
-            _result(rule.document_type, rule.confidence, method, rule.name),
-        )
-    none = _result(None, 0.0, "no_match", None)
-    return none if chain is F else chain.otherwise(none)
+        by_ext = _extension_in(ext, rule.extension)
+        options.append(by_ext & _found_in_lower(stem, rule.context) if rule.context else by_ext)
+    if rule.file:
+        options.append(_found_in_lower(name, rule.file))
+    hit = reduce(lambda a, b: a | b, options) if options else F.lit(False)
+    return hit & ~_found_in_lower(name, rule.exclude) if rule.exclude else hit
+
+
+def with_path_rule(
+    df: DataFrame, path: Column, rules: Sequence[Rule], fields: Sequence[str] = RESULT, override_at: int = 90
+) -> DataFrame:
+    """Adds document_type, confidence, method and matched_rule for a path.
+
+    Name, stem and extension are columns of their own first, so the rule chain refers
+    to them instead of repeating their expressions.
+    """
+    ordered = by_priority(rules)
+    results = [
+        _result(r.document_type, r.confidence, "pattern_override" if r.priority >= override_at else "pattern_extension", r.name)
+        for r in ordered
+    ]
+    name, stem, ext = F.col("_name"), F.col("_stem"), F.col("_ext")
+    staged = df.withColumn("_path", path).withColumns(
+        {
+            "_name": F.lower(paths.name(F.col("_path"))),
+            "_stem": F.lower(paths.stem(F.col("_path"))),
+            "_ext": F.ltrim(paths.extension(F.col("_path")), F.lit(".")),
+        }
+    )
+    chain = _first([_rule_condition(r, name, stem, ext) for r in ordered], results, _result(None, 0.0, "no_match", None))
+    return with_struct(staged, chain, fields).drop("_path", "_name", "_stem", "_ext")
 
 
 def classify_by_table(path: Column, rules: Sequence[tuple[str, str, str, int]], confidence: float = 0.95) -> Column:
     """Stored (rule_name, pattern, document_type, priority) rules over the lower-cased name."""
     name = F.lower(paths.name(path))
-    chain = F
-    for rule_name, pattern, document_type, _ in sorted(rules, key=lambda r: -r[3]):
-        if pattern:
-            chain = chain.when(name.rlike(any_case(pattern)), _result(document_type, confidence, "pattern", rule_name))
-    none = _result(None, 0.0, "no_pattern_match", None)
-    return none if chain is F else chain.otherwise(none)
+    ordered = [r for r in sorted(rules, key=lambda r: -r[3]) if r[1]]
+    results = [_result(kind, confidence, "pattern", rule_name) for rule_name, _, kind, _ in ordered]
+    return _first([name.rlike(any_case(r[1])) for r in ordered], results, _result(None, 0.0, "no_pattern_match", None))
 
 
 def classify_name(name: Column, rules: Sequence[NameRule], method: str = "filename_pattern") -> Column:
-    """First rule whose patterns match and whose exclusions do not; NULL otherwise."""
-    chain = F
-    for rule in sorted(rules, key=lambda r: r.order):
+    """First rule whose patterns match and whose exclusions do not; NULL fields otherwise."""
+    ordered = sorted(rules, key=lambda r: r.order)
+    conditions = []
+    for rule in ordered:
         hit = name.rlike(alternation(rule.patterns))
-        if rule.exclude:
-            hit = hit & ~name.rlike(alternation(rule.exclude))
-        chain = chain.when(hit, _result(rule.document_type, rule.confidence, method, rule.name))
-    return F.lit(None).cast(result_type()) if chain is F else chain
+        conditions.append(hit & ~name.rlike(alternation(rule.exclude)) if rule.exclude else hit)
+    results = [_result(r.document_type, r.confidence, method, r.name) for r in ordered]
+    none = F.struct(
+        *[F.lit(None).cast("double" if f == "confidence" else "string").alias(f) for f in RESULT]
+    )
+    return _first(conditions, results, none)
 
 
 def priority_bands(rules: Sequence[Rule]) -> dict[str, int]:
@@ -148,43 +195,67 @@ def best_of(scored: Sequence[tuple[Column, Column]]) -> Column:
     return F.array_max(F.filter(entries, lambda e: e["score"].isNotNull()))
 
 
-def classify_keywords(
+def with_keyword_category(
+    df: DataFrame,
     low: Column,
     ext: Column,
     groups: Sequence[tuple[tuple[str, ...], str]],
     ext_types: Mapping[str, str],
-) -> Column:
-    """Most keyword hits (two at least), else the extension, else unknown."""
-    top = best_of([(phrase_hits(low, words), F.lit(kind)) for words, kind in groups])
-    by_ext = F
-    for suffix, kind in ext_types.items():
-        by_ext = by_ext.when(ext == suffix, F.lit(kind))
-    fallback = by_ext.otherwise(F.lit(None).cast("string")) if by_ext is not F else F.lit(None).cast("string")
-    hit = top["score"] >= 2
-    category = F.when(hit, top["payload"]).otherwise(F.coalesce(fallback, F.lit("unknown")))
-    confidence = (
-        F.when(hit, F.least(F.round(F.lit(0.5) + top["score"] * F.lit(0.1), 6), F.lit(0.8)))
-        .when(fallback.isNotNull(), F.lit(0.3))
-        .otherwise(F.lit(0.1))
+) -> DataFrame:
+    """Adds predicted_category and confidence: most keyword hits (two at least), else
+    the extension, else unknown."""
+    scored = with_struct(
+        df, best_of([(phrase_hits(low, words), F.lit(kind)) for words, kind in groups]), ["_hits", "_rank", "_kind"]
+    )
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in ext_types.items() for x in pair]), ext)
+    fallback = F.when(ext.isin(*ext_types), known)
+    hit = F.col("_hits") >= 2
+    share = F.round(F.lit(0.5) + F.col("_hits") * F.lit(0.1), 6)
+    return (
+        scored.withColumn(
+            "predicted_category", F.when(hit, F.col("_kind")).otherwise(F.coalesce(fallback, F.lit("unknown")))
+        )
+        .withColumn(
+            "confidence",
+            F.when(hit, F.least(share, F.lit(0.8))).when(ext.isin(*ext_types), F.lit(0.3)).otherwise(F.lit(0.1)),
+        )
+        .drop("_hits", "_rank", "_kind")
     )
-    return F.struct(category.alias("predicted_category"), confidence.alias("confidence"))
+
+
+CONTENT_RESULT = ("document_type", "confidence", "matched_rule", "keywords_matched")
 
 
 def classify_content(low: Column, rules: Sequence[tuple[str, tuple[str, ...], int, str, float]]) -> Column:
-    """Keyword share per rule once its minimum is met; NULL when no rule qualifies."""
-    scored = []
-    for name, words, required, kind, confidence in rules:
-        hits = phrase_hits(low, words)
-        score = F.when(hits >= required, hits / F.lit(float(len(words))))
-        scored.append(
-            (
-                score,
-                F.struct(
-                    F.lit(kind).alias("document_type"),
-                    F.round(F.lit(confidence) * score, 6).alias("confidence"),
-                    F.lit(name).alias("matched_rule"),
-                    hits.cast("long").alias("keywords_matched"),
-                ),
+    """struct of CONTENT_RESULT: keyword share per rule once its minimum is met.
+
+    NULL when no rule qualifies.  Every rule counts its hits once; the winner's type,
+    confidence and name come from a constant array.
+    """
+    counted = F.array(
+        *[
+            F.struct(
+                F.when(phrase_hits(low, words) >= required, phrase_hits(low, words) / F.lit(float(len(words)))).alias("score"),
+                F.lit(-i).alias("rank"),
             )
-        )
-    return best_of(scored)["payload"]
+            for i, (_, words, required, _, _) in enumerate(rules)
+        ]
+    )
+    facts = F.array(
+        *[
+            F.struct(F.lit(k).alias("kind"), F.lit(c).alias("weight"), F.lit(n).alias("name"), F.lit(len(w)).alias("size"))
+            for n, w, _, k, c in rules
+        ]
+    )
+    # one-element transforms name the winner once instead of repeating the scoring
+    best = F.filter(F.array(F.array_max(F.filter(counted, lambda e: e["score"].isNotNull()))), lambda e: e.isNotNull())
+    described = F.transform(
+        best,
+        lambda e: F.struct(
+            F.element_at(facts, 1 - e["rank"])["kind"].alias("document_type"),
+            F.round(F.element_at(facts, 1 - e["rank"])["weight"] * e["score"], 6).alias("confidence"),
+            F.element_at(facts, 1 - e["rank"])["name"].alias("matched_rule"),
+            F.round(e["score"] * F.element_at(facts, 1 - e["rank"])["size"], 0).cast("long").alias("keywords_matched"),
+        ),
+    )
+    return F.try_element_at(described, F.lit(1))

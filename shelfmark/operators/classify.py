@@ -16,9 +16,6 @@ from shelfmark.functions import rule_tables as tables
 from shelfmark.functions import text as tx
 from shelfmark.functions.names import real_name
 
-DECISION = "struct<document_type:string,confidence:double,method:string>"
-
-
 def decision(kind, confidence, method) -> Column:
     def col(v):
         return v if isinstance(v, Column) else F.lit(v)
@@ -32,8 +29,7 @@ def decision(kind, confidence, method) -> Column:
 
 def with_pattern_type(files: DataFrame, path_col: str = "path", rule_list=None) -> DataFrame:
     """Adds the first-match path rule result as flat columns."""
-    result = rules.classify_path(F.col(path_col), rule_list or tables.PATTERN_RULES)
-    return _flat(files, result)
+    return rules.with_path_rule(files.drop(*rules.RESULT), F.col(path_col), rule_list or tables.PATTERN_RULES)
 
 
 def with_stored_rule_type(files: DataFrame, path_col: str = "path", rule_list=None) -> DataFrame:
@@ -46,46 +42,26 @@ def with_name_rule_type(files: DataFrame, name_col: str = "name", rule_list=None
 
 
 def _flat(df: DataFrame, result: Column) -> DataFrame:
-    return (
-        df.withColumn("_r", result)
-        .withColumn("document_type", F.col("_r.document_type"))
-        .withColumn("confidence", F.col("_r.confidence"))
-        .withColumn("method", F.col("_r.method"))
-        .withColumn("matched_rule", F.col("_r.matched_rule"))
-        .drop("_r")
-    )
+    kept = df.drop(*rules.RESULT)
+    return rules.with_struct(kept, result, rules.RESULT)
 
 
 def with_keyword_type(docs: DataFrame, text_col: str = "text", path_col: str = "path") -> DataFrame:
-    result = rules.classify_keywords(
-        F.lower(text_col), paths.extension(F.col(path_col)), tables.KEYWORD_GROUPS, tables.KEYWORD_EXTENSIONS
-    )
-    return (
-        docs.withColumn("_r", result)
-        .withColumn("predicted_category", F.col("_r.predicted_category"))
-        .withColumn("confidence", F.col("_r.confidence"))
-        .drop("_r")
-    )
+    low = docs.withColumn("_low", F.lower(text_col))
+    return rules.with_keyword_category(
+        low, F.col("_low"), paths.extension(F.col(path_col)), tables.KEYWORD_GROUPS, tables.KEYWORD_EXTENSIONS
+    ).drop("_low")
 
 
 def with_content_type(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the best content rule (NULL columns when none qualifies)."""
-    return (
-        docs.withColumn("_r", rules.classify_content(F.lower(text_col), tables.CONTENT_RULES))
-        .withColumn("document_type", F.col("_r.document_type"))
-        .withColumn("confidence", F.col("_r.confidence"))
-        .withColumn("matched_rule", F.col("_r.matched_rule"))
-        .withColumn("keywords_matched", F.col("_r.keywords_matched"))
-        .drop("_r")
-    )
+    low = docs.withColumn("_low", F.lower(text_col))
+    return rules.with_struct(low, rules.classify_content(F.col("_low"), tables.CONTENT_RULES), rules.CONTENT_RESULT).drop("_low")
 
 
 def with_phrase_type(docs: DataFrame, text_col: str = "text", name_col: str = "name") -> DataFrame:
     """Adds inferred_type: weighted phrases; texts under ten characters are unknown."""
-    text = F.col(text_col)
-    return docs.withColumn(
-        "inferred_type", F.when(tx.is_blank(text), "unknown").otherwise(phrases.infer_type(text, F.col(name_col)))
-    )
+    return phrases.with_inferred_type(docs, text_col, name_col)
 
 
 def document_decision(
@@ -101,28 +77,24 @@ def document_decision(
     """
     text = F.col(text_col)
     readable = paths.extension(F.col(name_col)).isin(*read_extensions) & (F.length(text) > 0)
-    staged = docs.withColumn("_n", rules.classify_name(F.col(name_col), tables.COMPREHENSIVE_RULES)).withColumn(
-        "_c", F.when(readable, rules.classify_content(F.lower(text), tables.CONTENT_RULES))
+    named = rules.with_struct(
+        docs, rules.classify_name(F.col(name_col), tables.COMPREHENSIVE_RULES), ["_nk", "_nc", "_nm", "_nr"]
+    ).withColumn("_low", F.lower(text_col))
+    # content is read only where the name alone did not settle the type
+    open_row = readable & ~F.coalesce(F.col("_nc") >= strong, F.lit(False))
+    staged = rules.with_struct(
+        named, F.when(open_row, rules.classify_content(F.col("_low"), tables.CONTENT_RULES)), ["_ck", "_cc", "_cr", "_cn"]
     )
     features = readable & (tx.money_count(text) > 3) & (tx.date_count(text) > 2)
-    name_kind, name_conf = F.col("_n.document_type"), F.col("_n.confidence")
-    chosen = F.coalesce(
-        F.when(name_conf >= strong, decision(name_kind, name_conf, "filename_pattern")),
-        F.when(
-            F.col("_c").isNotNull(),
-            decision(F.col("_c.document_type"), F.col("_c.confidence"), "content_keywords"),
-        ),
-        F.when(features, decision("financial_invoice", 0.60, "text_analysis")),
-        F.when(name_kind.isNotNull(), decision(name_kind, name_conf, "filename_fallback")),
-        decision("general_document", 0.50, "fallback"),
+    chosen = (
+        F.when(F.col("_nc") >= strong, decision(F.col("_nk"), F.col("_nc"), "filename_pattern"))
+        .when(F.col("_ck").isNotNull(), decision(F.col("_ck"), F.col("_cc"), "content_keywords"))
+        .when(features, decision("financial_invoice", 0.60, "text_analysis"))
+        .when(F.col("_nk").isNotNull(), decision(F.col("_nk"), F.col("_nc"), "filename_fallback"))
+        .otherwise(decision("general_document", 0.50, "fallback"))
     )
-    return _decided(staged.withColumn("_d", chosen).drop("_n", "_c"))
-
-
-def _decided(df: DataFrame, prefix: str = "") -> DataFrame:
-    for name in ("document_type", "confidence", "method"):
-        df = df.withColumn(prefix + name, F.col(f"_d.{name}"))
-    return df.drop("_d")
+    helpers = ["_nk", "_nc", "_nm", "_nr", "_low", "_ck", "_cc", "_cr", "_cn"]
+    return rules.with_struct(staged, chosen, ["document_type", "confidence", "method"]).drop(*helpers)
 
 
 def reclassify_unlabelled(registry: DataFrame, scope: str = "unknown", model_threshold: float = 0.70) -> DataFrame:
@@ -134,38 +106,43 @@ def reclassify_unlabelled(registry: DataFrame, scope: str = "unknown", model_thr
     kind = F.col("document_type")
     rows = {"null": registry.where(kind.isNull()), "unknown": registry.where(kind == "unknown"), "all": registry}[scope]
     source = F.col("original_path") if scope == "unknown" else real_name(F.col("original_path"))
-    rule = rules.classify_path(source, tables.PATTERN_RULES)
-    staged = rows.withColumn("_rule", rule)
-    options = [
-        F.when(
-            F.col("_rule.document_type").isNotNull(),
-            decision(F.col("_rule.document_type"), F.col("_rule.confidence"), F.col("_rule.method")),
-        )
-    ]
+    staged = rules.with_path_rule(rows, source, tables.PATTERN_RULES, ["_rk", "_rc", "_rm", "_rr"])
+    use_model = F.lit(False)
     if scope != "unknown" and "ml_type" in registry.columns:
-        enough = F.col("ml_type").isNotNull()
+        use_model = F.col("ml_type").isNotNull()
         if scope == "null":
-            enough = enough & (F.col("ml_confidence") >= model_threshold)
-        options.append(F.when(enough, decision(F.col("ml_type"), F.col("ml_confidence"), "ml_model")))
-    updates = (
-        staged.withColumn("_d", F.coalesce(*options))
-        .where(F.col("_d").isNotNull())
-        .select("file_id", kind.alias("old_type"), F.col("confidence").alias("old_confidence"),
-                F.col("_d.document_type").alias("new_type"), F.col("_d.confidence").alias("new_confidence"),
-                F.col("_d.method").alias("method"))
+            use_model = use_model & (F.col("ml_confidence") >= model_threshold)
+    else:
+        staged = with_model_columns(staged)
+    by_rule = F.col("_rk").isNotNull()
+    updates = staged.where(by_rule | use_model).select(
+        "file_id",
+        kind.alias("old_type"),
+        F.col("confidence").alias("old_confidence"),
+        F.coalesce("_rk", "ml_type").alias("new_type"),
+        F.when(by_rule, F.col("_rc")).otherwise(F.col("ml_confidence")).alias("new_confidence"),
+        F.when(by_rule, F.col("_rm")).otherwise("ml_model").alias("method"),
     )
     return updates.where(~F.col("new_type").eqNullSafe(F.col("old_type"))) if scope == "all" else updates
 
 
-def pending_decision(threshold: float = 0.70, stored_rules=None, path_col: str = "original_path") -> Column:
-    """Model at or above the threshold, else stored rules, else the fallback type."""
-    rule = rules.classify_by_table(F.col(path_col), stored_rules or tables.STORED_RULES)
+def with_pending_decision(
+    df: DataFrame, threshold: float = 0.70, stored_rules=None, path_col: str = "original_path"
+) -> DataFrame:
+    """Adds new_type, new_confidence, new_method: the model at or above the threshold,
+    else stored rules, else the fallback type."""
+    ruled = rules.with_struct(
+        with_model_columns(df),
+        rules.classify_by_table(F.col(path_col), stored_rules or tables.STORED_RULES),
+        ["_rk", "_rc", "_rm", "_rr"],
+    )
     model_ok = F.col("ml_type").isNotNull() & (F.col("ml_confidence") >= threshold)
-    return F.when(model_ok, decision(F.col("ml_type"), F.col("ml_confidence"), "ml_model")).otherwise(
-        F.when(
-            rule["document_type"].isNotNull(), decision(rule["document_type"], rule["confidence"], rule["method"])
-        ).otherwise(decision("general_document", 0.0, "fallback"))
+    chosen = (
+        F.when(model_ok, decision(F.col("ml_type"), F.col("ml_confidence"), "ml_model"))
+        .when(F.col("_rk").isNotNull(), decision(F.col("_rk"), F.col("_rc"), F.col("_rm")))
+        .otherwise(decision("general_document", 0.0, "fallback"))
     )
+    return rules.with_struct(ruled, chosen, ["new_type", "new_confidence", "new_method"]).drop("_rk", "_rc", "_rm", "_rr")
 
 
 def with_model_columns(df: DataFrame) -> DataFrame:
@@ -177,14 +154,13 @@ def with_model_columns(df: DataFrame) -> DataFrame:
 
 def classify_pending(registry: DataFrame, threshold: float = 0.70, stored_rules=None) -> DataFrame:
     """New type, confidence, method and review flag of every pending row."""
-    pending = with_model_columns(registry.where(F.col("canonical_state") == "pending"))
-    decided = pending.withColumn("_d", pending_decision(threshold, stored_rules))
-    return decided.select(
+    pending = registry.where(F.col("canonical_state") == "pending")
+    return with_pending_decision(pending, threshold, stored_rules).select(
         "file_id",
-        F.col("_d.document_type").alias("document_type"),
-        F.col("_d.confidence").alias("confidence"),
-        F.col("_d.method").alias("classification_method"),
-        (F.col("_d.method") == "fallback").alias("requires_review"),
+        F.col("new_type").alias("document_type"),
+        F.col("new_confidence").alias("confidence"),
+        F.col("new_method").alias("classification_method"),
+        (F.col("new_method") == "fallback").alias("requires_review"),
     )
 
 
@@ -197,13 +173,13 @@ def reclassify_organised(
         rows = rows.where(
             (F.col("confidence") < threshold) | F.col("classification_method").isin("fallback", "pattern")
         )
-    decided = with_model_columns(rows).withColumn("_d", pending_decision(threshold, stored_rules, "canonical_path"))
-    return decided.where(~F.col("_d.document_type").eqNullSafe(F.col("document_type"))).select(
+    decided = with_pending_decision(rows, threshold, stored_rules, "canonical_path")
+    return decided.where(~F.col("new_type").eqNullSafe(F.col("document_type"))).select(
         "file_id",
         F.col("document_type").alias("old_type"),
-        F.col("_d.document_type").alias("new_type"),
-        F.col("_d.confidence").alias("new_confidence"),
-        F.col("_d.method").alias("method"),
+        "new_type",
+        "new_confidence",
+        F.col("new_method").alias("method"),
     )
 
 
@@ -212,20 +188,16 @@ def reclassify_by_name(
 ) -> DataFrame:
     """Typed rows whose name rule gives another type at no less confidence."""
     rule = rules.classify_name(F.col(name_col), rule_list or tables.COMPREHENSIVE_RULES)
+    typed = registry.where(F.col("document_type").isNotNull())
     return (
-        registry.where(F.col("document_type").isNotNull())
-        .withColumn("_r", rule)
-        .where(
-            F.col("_r.document_type").isNotNull()
-            & (F.col("_r.document_type") != F.col("document_type"))
-            & (F.col("_r.confidence") >= F.coalesce("confidence", F.lit(0.0)))
-        )
+        rules.with_struct(typed, rule, ["_rk", "_rc", "_rm", "_rr"])
+        .where((F.col("_rk") != F.col("document_type")) & (F.col("_rc") >= F.coalesce("confidence", F.lit(0.0))))
         .select(
             "file_id",
             F.col("document_type").alias("old_type"),
-            F.col("_r.document_type").alias("new_type"),
-            F.col("_r.confidence").alias("new_confidence"),
-            F.col("_r.matched_rule").alias("reason"),
+            F.col("_rk").alias("new_type"),
+            F.col("_rc").alias("new_confidence"),
+            F.col("_rr").alias("reason"),
         )
     )
 
@@ -233,23 +205,19 @@ def reclassify_by_name(
 def classify_null_types(registry: DataFrame, name_col: str = "file_name") -> DataFrame:
     """Rows without a type: name rules, else general_document at 0.50."""
     rule = rules.classify_name(F.col(name_col), tables.COMPREHENSIVE_RULES)
-    return (
-        registry.where(F.col("document_type").isNull())
-        .withColumn("_r", rule)
-        .select(
-            "file_id",
-            F.coalesce(F.col("_r.document_type"), F.lit("general_document")).alias("document_type"),
-            F.coalesce(F.col("_r.confidence"), F.lit(0.50)).alias("confidence"),
-        )
+    untyped = registry.where(F.col("document_type").isNull())
+    return rules.with_struct(untyped, rule, ["_rk", "_rc", "_rm", "_rr"]).select(
+        "file_id",
+        F.coalesce("_rk", F.lit("general_document")).alias("document_type"),
+        F.coalesce("_rc", F.lit(0.50)).alias("confidence"),
     )
 
 
 def domain_scores(low: Column, keywords: Mapping[str, Sequence[str]] = tables.DOMAIN_KEYWORDS) -> Column:
-    """struct(score, domain) of the domain with the largest share of its keywords."""
-    best = rules.best_of(
+    """struct(score, rank, payload): the domain with the largest share of its keywords."""
+    return rules.best_of(
         [(tx.phrase_hits(low, words) / F.lit(float(len(words))), F.lit(d)) for d, words in keywords.items()]
     )
-    return F.struct(F.round(best["score"], 6).alias("score"), best["payload"].alias("domain"))
 
 
 def domain_type(domain: Column, low: Column) -> Column:
@@ -274,19 +242,18 @@ def domain_type(domain: Column, low: Column) -> Column:
 
 def with_domain_type(docs: DataFrame, text_col: str = "text", confidence_col: str | None = None, min_score: float = 0.15) -> DataFrame:
     """Adds domain, its score and, above ``min_score``, the refined type and confidence."""
-    low = F.lower(text_col)
     base = F.coalesce(F.col(confidence_col), F.lit(0.0)) if confidence_col else F.lit(0.0)
-    staged = docs.withColumn("_s", domain_scores(low)).withColumn("domain", F.col("_s.domain")).withColumn(
-        "domain_score", F.col("_s.score")
+    low = F.col("_low")
+    staged = rules.with_struct(
+        docs.withColumn("_low", F.lower(text_col)), domain_scores(low), ["_score", "_rank", "domain"]
     )
-    clear = F.col("domain_score") > min_score
+    clear = F.col("_score") > min_score
+    score = F.round("_score", 6)
     return (
-        staged.withColumn("new_type", F.when(clear, domain_type(F.col("domain"), low)))
-        .withColumn(
-            "new_confidence",
-            F.when(clear, F.round(F.least(F.lit(0.80), base + F.col("domain_score") * 0.5), 6)),
-        )
-        .drop("_s")
+        staged.withColumn("domain_score", score)
+        .withColumn("new_type", F.when(clear, domain_type(F.col("domain"), low)))
+        .withColumn("new_confidence", F.when(clear, F.round(F.least(F.lit(0.80), base + score * 0.5), 6)))
+        .drop("_score", "_rank", "_low")
     )
 
 

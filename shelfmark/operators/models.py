@@ -342,16 +342,11 @@ def model_usage(results: DataFrame) -> DataFrame:
 
 def keyword_stage(text_col: str = "text", path_col: str = "path") -> Stage:
     """The rule-based stage: keyword groups, extension, unknown."""
-    from shelfmark.functions import paths, rules
-    from shelfmark.functions.rule_tables import KEYWORD_EXTENSIONS, KEYWORD_GROUPS
+    from shelfmark.operators.classify import with_keyword_type
 
     def run(df: DataFrame) -> DataFrame:
-        result = rules.classify_keywords(
-            F.lower(text_col), paths.extension(F.col(path_col)), KEYWORD_GROUPS, KEYWORD_EXTENSIONS
-        )
-        return df.withColumn("_r", result).withColumns(
-            {"stage_category": F.col("_r.predicted_category"), "stage_confidence": F.col("_r.confidence")}
-        ).drop("_r")
+        answered = with_keyword_type(df, text_col, path_col)
+        return answered.withColumnsRenamed({"predicted_category": "stage_category", "confidence": "stage_confidence"})
 
     return run
 

@@ -111,8 +111,9 @@ def _(t: Tables):
 
 
 @query("report_category_extensions", "A12 W4", """
-    SELECT * FROM (SELECT file_category, extension, count(*) AS count, CAST(row_number() OVER (PARTITION BY file_category
-                   ORDER BY count(*) DESC, extension) AS INTEGER) AS rank FROM fx_catalog GROUP BY ALL) WHERE rank <= 20""")
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY file_category ORDER BY count DESC, extension)
+                   AS INTEGER) AS rank FROM (SELECT file_category, extension, count(*) AS count FROM fx_catalog
+                   GROUP BY file_category, extension)) WHERE rank <= 20""")
 def _(t: Tables):
     return storage.extensions_per_category(t.catalog)
 

@@ -37,7 +37,7 @@ def table(columns, rows):
 
 def main(folder: str, names: list[str]) -> int:
     spark = build_session("check", f"local[{os.environ.get('CPUS', '8')}]", 8,
-                          **{"spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+                          **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
