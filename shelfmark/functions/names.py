@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
@@ -149,34 +149,44 @@ def distinct_ignoring_case(items: Column) -> Column:
     return F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
 
-def enhanced_name(file_name: Column, document_type: Column) -> Column:
-    """Name led by what could be read from it, or NULL when nothing could.
+def with_enhanced_name(
+    df: DataFrame, name_col: str = "file_name", type_col: str = "document_type", out: str = "new_name"
+) -> DataFrame:
+    """Adds a name led by what could be read from it, or NULL when nothing could.
 
     Names that already start with a date are left alone.
     """
-    dot_suffix = F.regexp_extract(file_name, r"^.*[^.].*?(\.[^.]*)$", 1)
-    base = F.left(file_name, F.length(file_name) - F.length(dot_suffix))
-    vendor, case = vendor_in_name(file_name), case_in_name(file_name)
-    maker, model = F.regexp_extract(file_name, VEHICLE, 1), F.regexp_extract(file_name, VEHICLE, 2)
-    release = extracted(file_name, r"(?i)v(\d+)")
+    name, kind = F.col(name_col), F.col(type_col)
     none = F.lit(None).cast("string")
+    staged = df.withColumns(
+        {
+            "_vendor": F.nullif(vendor_in_name(name), F.lit("")),
+            "_ext": F.regexp_extract(name, r"^.*[^.].*?(\.[^.]*)$", 1),
+            "_vehicle": F.when(
+                name.rlike(VEHICLE),
+                F.concat_ws("_", F.regexp_extract(name, VEHICLE, 1), F.regexp_extract(name, VEHICLE, 2)),
+            ),
+        }
+    )
     specific = (
         F.when(
-            document_type.isin(*FINANCIAL_TYPES),
-            F.nullif(F.concat_ws("_", vendor, invoice_in_name(file_name)), F.lit("")),
+            kind.isin(*FINANCIAL_TYPES), F.nullif(F.concat_ws("_", F.col("_vendor"), invoice_in_name(name)), F.lit(""))
         )
-        .when(document_type.isin(*LEGAL_TYPES), F.coalesce(case, vendor))
-        .when(
-            document_type.isin(*AUTOMOTIVE_TYPES),
-            F.when(maker != "", F.concat_ws("_", maker, model)).otherwise(none),
-        )
-        .when(document_type.isin(*CAREER_TYPES), F.concat(F.lit("v"), release))
+        .when(kind.isin(*LEGAL_TYPES), F.coalesce(case_in_name(name), F.col("_vendor")))
+        .when(kind.isin(*AUTOMOTIVE_TYPES), F.col("_vehicle"))
+        .when(kind.isin(*CAREER_TYPES), F.concat(F.lit("v"), extracted(name, r"(?i)v(\d+)")))
+        .otherwise(none)
+    )
+    lead = F.nullif(F.concat_ws("_", date_in_name(name), specific), F.lit(""))
+    base = F.left(name, F.length(name) - F.length("_ext"))
+    staged = staged.withColumn("_lead", F.when(~name.rlike(r"^\d{4}-\d{2}-\d{2}_"), lead)).withColumn(
+        "_parts",
+        F.split(F.concat_ws("_", F.col("_lead"), F.nullif(F.left(component(base), F.lit(50)), F.lit(""))), "_"),
     )
-    lead = F.nullif(F.concat_ws("_", date_in_name(file_name), specific), F.lit(""))
-    joined = F.concat_ws("_", lead, F.nullif(F.left(component(base), F.lit(50)), F.lit("")))
-    unique = F.array_join(distinct_ignoring_case(F.split(joined, "_")), "_")
-    renamed = F.concat(component(unique), dot_suffix)
-    return F.when(lead.isNotNull() & ~file_name.rlike(r"^\d{4}-\d{2}-\d{2}_"), renamed)
+    unique = F.array_join(distinct_ignoring_case(F.col("_parts")), "_")
+    return staged.withColumn(
+        out, F.when(F.col("_lead").isNotNull(), F.concat(component(unique), F.col("_ext")))
+    ).drop("_vendor", "_ext", "_vehicle", "_lead", "_parts")
 
 
 def safe_path_part(value: Column) -> Column:
