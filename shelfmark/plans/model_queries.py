@@ -1 +1,70 @@
+"""Learned classifiers and the cascade."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfmark.operators import flags, models
+from shelfmark.plans.classify_queries import KEYWORD_BEST, KEYWORD_EXT
+from shelfmark.plans.fixtures import Tables
+from shelfmark.plans.registry import query
+
+
+def labelled(t: Tables):
+    """Confident, typed documents with their text features; the label is the type."""
+    rows = flags.trainable(t.registry, min_confidence=0.5).withColumn("label", F.col("document_type"))
+    return models.with_text_features(rows).select("file_id", "label", "model_text", "file_name", "text")
+
+
+@query("stratified_split", "M5", """
+    SELECT label, count(*) AS rows, count(*) FILTER (n % 5 = 0) AS test_rows FROM (
+        SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(file_id AS VARCHAR)), file_id) AS n FROM (
+            SELECT file_id, document_type AS label, count(*) OVER (PARTITION BY document_type) AS c FROM fx_registry
+            WHERE document_type <> 'unknown' AND confidence >= 0.5) WHERE c >= 5) GROUP BY label""")
+def _(t: Tables):
+    train, test = models.stratified_split(labelled(t), "file_id")
+    both = train.select("label", F.lit(0).alias("t")).unionByName(test.select("label", F.lit(1).alias("t")))
+    return both.groupBy("label").agg(F.count("*").alias("rows"), F.count_if(F.col("t") == 1).alias("test_rows"))
+
+
+@query("rf_train_predict", "M3 M5 M6")
+def _(t: Tables):
+    train, test = models.stratified_split(labelled(t), "file_id")
+    model = models.forest_pipeline(features=200, trees=20).fit(train)
+    scored = models.predict(model, test, "file_id").join(test.select("file_id", "label"), "file_id")
+    return models.class_report(scored)
+
+
+@query("soft_vote", "M4 M6")
+def _(t: Tables):
+    train, test = models.stratified_split(models.with_structured_features(labelled(t)), "file_id")
+    members = [p.fit(train) for p in models.voting_pipelines(features=200, trees=20)]
+    return models.soft_vote(members, test, "file_id", 0.5).select("file_id", "predicted_category", F.round("confidence", 4).alias("confidence"), "method")
+
+
+@query("cascade_rules_only", "M7 C8", f"""
+    SELECT f.file_id, CASE WHEN b.score >= 2 THEN b.kind ELSE coalesce({KEYWORD_EXT}, 'unknown') END AS predicted_category,
+           CASE WHEN b.score >= 2 THEN 'rule_based' ELSE 'second_pass' END AS model_used
+    FROM fx_files f JOIN ({KEYWORD_BEST}) b ON f.file_id = b.file_id""")
+def _(t: Tables):
+    stage = models.keyword_stage()
+    docs = t.files.select("file_id", "path", "text")
+    return models.cascade(docs, [("rule_based", 0.5, stage), ("second_pass", 0.0, stage)]).select(
+        "file_id", "predicted_category", "model_used")
+
+
+@query("cascade_predict", "M7 M8")
+def _(t: Tables):
+    model = models.forest_pipeline(features=200, trees=20).fit(labelled(t))
+    docs = models.with_text_features(t.files.withColumn("file_name", F.col("name"))).select("file_id", "path", "text", "model_text")
+    available = {"forest": models.model_stage(model, "file_id"), "rule_based": models.keyword_stage()}
+    return models.model_usage(models.cascade(docs, models.preset("local_only", available)))
+
+
+@query("predict_with_all", "M8")
+def _(t: Tables):
+    model = models.forest_pipeline(features=200, trees=20).fit(labelled(t))
+    docs = models.with_text_features(t.files.withColumn("file_name", F.col("name"))).select("file_id", "path", "text", "model_text")
+    stages = [("forest", models.model_stage(model, "file_id")), ("rule_based", models.keyword_stage())]
+    every = models.predict_with_all(docs, stages, "file_id")
+    return every.groupBy("model", "predicted_category").agg(F.count("*").alias("rows"))

@@ -15,7 +15,7 @@ QUARANTINE = """SELECT file_id, path AS source_path, 'Quarantine/Duplicates_2025
     FROM fx_members WHERE NOT is_canonical"""
 # a stricter clock than CATALOG_CLOCK leaves some files fresh, so all three kinds of action occur
 MIXED_CLOCK = "2024-06-01 00:00:00"
-MIXED_STALE = f"accessed_at < TIMESTAMP '{MIXED_CLOCK}' - INTERVAL 600 DAY"
+MIXED_STALE = f"accessed_at < TIMESTAMP '{MIXED_CLOCK}' - INTERVAL 450 DAY"
 TARGET = """'/Repository/' || CASE file_category WHEN 'documents' THEN 'Active/Documents/General/' || strftime(modified_at, '%Y')
     WHEN 'media' THEN 'Active/Media/media/' || strftime(modified_at, '%Y-%m') WHEN 'code' THEN 'Active/Projects/General/src'
     WHEN 'archives' THEN 'Archive/Compressed/' || strftime(modified_at, '%Y') END || '/' || name"""
@@ -30,7 +30,7 @@ COLUMNS = ["file_id", "source_path", "target_path", "rule_id", "reason", "file_s
 
 def flagged(t: Tables):
     """Flagged catalog with a stale rule that leaves some files fresh."""
-    stale = F.col("accessed_at") < F.lit(MIXED_CLOCK).cast("timestamp") - F.make_dt_interval(days=F.lit(600))
+    stale = F.col("accessed_at") < F.lit(MIXED_CLOCK).cast("timestamp") - F.make_dt_interval(days=F.lit(450))
     return t.flagged.withColumn("is_orphaned", stale)
 
 
