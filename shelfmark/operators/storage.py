@@ -81,7 +81,7 @@ def folder_prefix_rollup(files: DataFrame, folder_index: DataFrame) -> DataFrame
     f = files.select(F.col("path").alias("file_path"), "file_id", "size_bytes")
     return (
         folder_index.select("path")
-        .join(f, F.col("file_path").ilike(F.concat("path", F.lit("%"))), "left")
+        .join(f, F.ilike(F.col("file_path"), F.concat("path", F.lit("%"))), "left")
         .groupBy("path")
         .agg(F.count_distinct("file_id").alias("file_count"), F.sum("size_bytes").alias("total_size"))
     )

@@ -50,8 +50,10 @@ def register_batch(incoming: DataFrame, registry: DataFrame, floor: int = HOT_RO
         F.count("*").alias("_copies"),
         F.min(F.struct("original_path", "file_id")).getField("file_id").alias("_first"),
     )
+    # the registered original owns its content, not one of its registered duplicates
+    copy = F.coalesce("is_duplicate", F.lit(False)) if "is_duplicate" in registry.columns else F.lit(False)
     known = registry.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(
-        F.min(F.col("file_id").cast("string")).alias("_known")
+        F.min(F.struct(copy.alias("copy"), F.col("file_id").cast("string").alias("id"))).getField("id").alias("_known")
     )
     owners = batch.join(known, "content_hash", "left").withColumn("_owner", F.coalesce("_known", "_first"))
     joined = join_groups(rows, owners, ["content_hash"], "_copies", "file_id", floor=floor)

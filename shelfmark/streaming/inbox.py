@@ -70,10 +70,10 @@ def batch_processor(registry_path: str, out_path: str, root: str = "/Canonical",
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.schema(REGISTRY).parquet(registry_path).select("file_id", "content_hash")
+        known = spark.read.schema(REGISTRY).parquet(registry_path).select("file_id", "content_hash", "is_duplicate")
         if batch_id > 0:
             earlier = spark.read.parquet(*[f"{out_path}/batch={i}" for i in range(batch_id)])
-            known = known.unionByName(earlier.select("file_id", "content_hash"))
+            known = known.unionByName(earlier.select("file_id", "content_hash", "is_duplicate"))
         process(batch, known, root, as_of).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return run
