@@ -179,10 +179,10 @@ def with_enhanced_name(
     )
     lead = F.nullif(F.concat_ws("_", date_in_name(name), specific), F.lit(""))
     base = F.left(name, F.length(name) - F.length("_ext"))
-    staged = staged.withColumn("_lead", F.when(~name.rlike(r"^\d{4}-\d{2}-\d{2}_"), lead)).withColumn(
-        "_parts",
-        F.split(F.concat_ws("_", F.col("_lead"), F.nullif(F.left(component(base), F.lit(50)), F.lit(""))), "_"),
-    )
+    led = staged.withColumn("_lead", F.when(~name.rlike(r"^\d{4}-\d{2}-\d{2}_"), lead))
+    parts = F.split(F.concat_ws("_", F.col("_lead"), F.nullif(F.left(component(base), F.lit(50)), F.lit(""))), "_")
+    # generated columns: the lambda below reads them once per row instead of rebuilding them
+    staged = led.select("*", F.inline(F.array(F.struct(parts.alias("p")))).alias("_parts"))
     unique = F.array_join(distinct_ignoring_case(F.col("_parts")), "_")
     return staged.withColumn(
         out, F.when(F.col("_lead").isNotNull(), F.concat(component(unique), F.col("_ext")))

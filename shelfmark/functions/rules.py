@@ -48,10 +48,6 @@ def any_case(pattern: str) -> str:
     return f"(?i){pattern}"
 
 
-def alternation(patterns: Sequence[str]) -> str:
-    return any_case("|".join(f"(?:{p})" for p in patterns))
-
-
 def by_priority(rules: Sequence[Rule]) -> list[Rule]:
     """Highest priority first; equal priorities keep their given order."""
     return sorted(rules, key=lambda r: -r.priority)
@@ -163,18 +159,32 @@ def classify_by_table(path: Column, rules: Sequence[tuple[str, str, str, int]],
     return _first([name.rlike(any_case(r[1])) for r in ordered], results, _result(None, 0.0, "no_pattern_match", None))
 
 
-def classify_name(name: Column, rules: Sequence[NameRule], method: str = "filename_pattern") -> Column:
-    """First rule whose patterns match and whose exclusions do not; NULL fields otherwise."""
+def lower_pattern(pattern: str) -> str:
+    """The pattern with its letters in lower case, escapes such as ``\\S`` untouched."""
+    return re.sub(r"\\.|[A-Z]", lambda m: m.group(0) if m.group(0)[0] == "\\" else m.group(0).lower(), pattern)
+
+
+def with_name_rule(
+    df: DataFrame, name: Column, rules: Sequence[NameRule], fields: Sequence[str] = RESULT, method: str = "filename_pattern"
+) -> DataFrame:
+    """Adds the first rule whose patterns match and whose exclusions do not; NULLs otherwise.
+
+    Patterns ignore case: they are lower-cased once here and run over a lower-cased
+    column, which is cheaper than a case-insensitive search per row.
+    """
+    low = F.col("_low_name")
+
+    def found(patterns: Sequence[str]) -> Column:
+        return low.rlike("|".join(f"(?:{lower_pattern(p)})" for p in patterns))
+
     ordered = sorted(rules, key=lambda r: r.order)
-    conditions = []
-    for rule in ordered:
-        hit = name.rlike(alternation(rule.patterns))
-        conditions.append(hit & ~name.rlike(alternation(rule.exclude)) if rule.exclude else hit)
+    conditions = [found(r.patterns) & ~found(r.exclude) if r.exclude else found(r.patterns) for r in ordered]
     results = [_result(r.document_type, r.confidence, method, r.name) for r in ordered]
     none = F.struct(
         *[F.lit(None).cast("double" if f == "confidence" else "string").alias(f) for f in RESULT]
     )
-    return _first(conditions, results, none)
+    staged = df.withColumn("_low_name", F.lower(name))
+    return with_struct(staged, _first(conditions, results, none), fields).drop("_low_name")
 
 
 def priority_bands(rules: Sequence[Rule]) -> dict[str, int]:

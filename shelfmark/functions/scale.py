@@ -1,8 +1,8 @@
 """Building blocks that keep group-shaped work safe when a few keys are hot.
 
-A key is *hot* when it holds more than ``1 / HOT_KEYS_MAX`` of the counted rows,
-so at most ``HOT_KEYS_MAX`` keys can ever be hot.  That bound, not a guess about
-the data, is what makes the hot-key side safe to broadcast.
+The HOT_KEYS_MAX largest keys (above a floor) are *hot*.  Their number is bounded by
+construction, which is what makes them safe to broadcast, and any other key holds at
+most 1/HOT_KEYS_MAX of the rows.
 """
 
 from __future__ import annotations
@@ -19,10 +19,23 @@ HOT_SPLITS = 64
 RANK_PREFIX = 2
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], n_col: str, floor: int = HOT_ROWS_MIN) -> DataFrame:
-    """Keys that hold more than 1/HOT_KEYS_MAX of all rows counted in ``n_col``."""
-    share = counts.agg((F.sum(n_col) / HOT_KEYS_MAX).alias("s")).scalar()
-    return counts.where((F.col(n_col) > share) & (F.col(n_col) > F.lit(floor))).select(*keys)
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer splits than cores; larger inputs stay as they are.
+
+    For processor-heavy expressions over a small file: one row group would otherwise
+    keep one core busy.  On inputs with enough splits this adds nothing to the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def largest_groups(groups: DataFrame, n_col: str, floor: int = HOT_ROWS_MIN) -> DataFrame:
+    """The HOT_KEYS_MAX largest groups above ``floor`` rows.
+
+    Never more than HOT_KEYS_MAX rows, and a key left out holds at most
+    1/HOT_KEYS_MAX of the rows.
+    """
+    return groups.where(F.col(n_col) > floor).orderBy(F.desc(n_col)).limit(HOT_KEYS_MAX)
 
 
 def join_groups(
@@ -34,25 +47,27 @@ def join_groups(
     how: str = "inner",
     floor: int = HOT_ROWS_MIN,
 ) -> DataFrame:
-    """Join each row to its one-row-per-key group summary, splitting hot keys.
+    """Join each row to its one-row-per-key group, without gathering a hot group.
 
-    ``groups`` carries the member count in ``n_col``.  Rows of a hot key go to
-    HOT_SPLITS partitions by a hash of ``row_id`` and only the summary rows of hot
-    keys are repeated, so cold keys cost nothing extra.
+    ``groups`` carries the member count in ``n_col``.  Rows of the largest groups get
+    their group from a broadcast of at most HOT_KEYS_MAX rows and are dealt over
+    HOT_SPLITS partitions by a hash of ``row_id``; all other rows meet their group in
+    an ordinary shuffle join.  Both uses need the same aggregated columns, so the
+    aggregation below ``groups`` is shuffled once.
     """
-    hot = F.broadcast(hot_keys(groups, keys, n_col, floor).withColumn("_splits", F.lit(HOT_SPLITS)))
-    n_splits = F.coalesce(F.col("_splits"), F.lit(1))
-    left = (
-        rows.join(hot, list(keys), "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(row_id), n_splits).cast("int"))
-        .drop("_splits")
-    )
-    right = (
-        groups.join(hot, list(keys), "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), n_splits - 1)))
-        .drop("_splits")
+    values = [c for c in groups.columns if c not in keys]
+    kept = [F.col(c) for c in rows.columns]
+    hot = largest_groups(groups, n_col, floor).select(*keys, F.struct(*values).alias("_hot"))
+    deal = F.pmod(F.xxhash64(row_id), F.lit(HOT_SPLITS)).cast("int") + 1
+    left = rows.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_part", F.when(F.col("_hot").isNotNull(), deal).otherwise(F.lit(0))
     )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    # always zero, but no literal: a literal would be folded out of the join keys
+    right = groups.select(*keys, F.struct(*values).alias("_cold"), F.pmod(F.col(n_col), F.lit(1)).cast("int").alias("_part"))
+    joined = left.join(right, [*keys, "_part"], "left").withColumn("_group", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        joined = joined.where(F.col("_group").isNotNull())
+    return joined.select(*kept, *[F.col(f"_group.{v}").alias(v) for v in values])
 
 
 def number_rows(
@@ -70,7 +85,7 @@ def number_rows(
     """
     marked = df.withColumn("_order", F.md5(F.col(row_id).cast("string").cast("binary")))
     counts = marked.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(hot_keys(counts, keys, "_n", floor).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(largest_groups(counts, "_n", floor).select(*keys, F.lit(True).alias("_hot")))
     ranged = marked.join(hot, list(keys), "left").withColumn(
         "_range",
         F.when(F.col("_hot"), F.substring("_order", 1, RANK_PREFIX)).otherwise(F.lit("")),

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 
 
 @F.pandas_udf(DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """2M/T with M the characters in matching blocks; left argument first."""
     matcher = SequenceMatcher(None)
     scores = []
@@ -21,3 +21,8 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
         matcher.set_seqs(a, b)
         scores.append(matcher.ratio())
     return pd.Series(scores, dtype="float64")
+
+
+# Declared non-deterministic so that a filter on the score does not make Spark run it
+# a second time below the projection that returns the score.
+sequence_ratio = _ratio.asNondeterministic()

@@ -38,7 +38,7 @@ def with_stored_rule_type(files: DataFrame, path_col: str = "path", rule_list=No
 
 def with_name_rule_type(files: DataFrame, name_col: str = "name", rule_list=None) -> DataFrame:
     """Adds the comprehensive name rules; unmatched rows get NULL columns."""
-    return _flat(files, rules.classify_name(F.col(name_col), rule_list or tables.COMPREHENSIVE_RULES))
+    return rules.with_name_rule(files.drop(*rules.RESULT), F.col(name_col), rule_list or tables.COMPREHENSIVE_RULES)
 
 
 def _flat(df: DataFrame, result: Column) -> DataFrame:
@@ -77,8 +77,8 @@ def document_decision(
     """
     text = F.col(text_col)
     readable = paths.extension(F.col(name_col)).isin(*read_extensions) & (F.length(text) > 0)
-    named = rules.with_struct(
-        docs, rules.classify_name(F.col(name_col), tables.COMPREHENSIVE_RULES), ["_nk", "_nc", "_nm", "_nr"]
+    named = rules.with_name_rule(
+        docs, F.col(name_col), tables.COMPREHENSIVE_RULES, ["_nk", "_nc", "_nm", "_nr"]
     ).withColumn("_low", F.lower(text_col))
     # content is read only where the name alone did not settle the type
     open_row = readable & ~F.coalesce(F.col("_nc") >= strong, F.lit(False))
@@ -187,10 +187,10 @@ def reclassify_by_name(
     registry: DataFrame, name_col: str = "file_name", rule_list=None
 ) -> DataFrame:
     """Typed rows whose name rule gives another type at no less confidence."""
-    rule = rules.classify_name(F.col(name_col), rule_list or tables.COMPREHENSIVE_RULES)
     typed = registry.where(F.col("document_type").isNotNull())
+    rule_list = rule_list or tables.COMPREHENSIVE_RULES
     return (
-        rules.with_struct(typed, rule, ["_rk", "_rc", "_rm", "_rr"])
+        rules.with_name_rule(typed, F.col(name_col), rule_list, ["_rk", "_rc", "_rm", "_rr"])
         .where((F.col("_rk") != F.col("document_type")) & (F.col("_rc") >= F.coalesce("confidence", F.lit(0.0))))
         .select(
             "file_id",
@@ -204,9 +204,8 @@ def reclassify_by_name(
 
 def classify_null_types(registry: DataFrame, name_col: str = "file_name") -> DataFrame:
     """Rows without a type: name rules, else general_document at 0.50."""
-    rule = rules.classify_name(F.col(name_col), tables.COMPREHENSIVE_RULES)
     untyped = registry.where(F.col("document_type").isNull())
-    return rules.with_struct(untyped, rule, ["_rk", "_rc", "_rm", "_rr"]).select(
+    return rules.with_name_rule(untyped, F.col(name_col), tables.COMPREHENSIVE_RULES, ["_rk", "_rc", "_rm", "_rr"]).select(
         "file_id",
         F.coalesce("_rk", F.lit("general_document")).alias("document_type"),
         F.coalesce("_rc", F.lit(0.50)).alias("confidence"),

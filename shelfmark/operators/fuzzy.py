@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
 from shelfmark.functions.hashing import stable_id
 from shelfmark.functions.names import normalize
+from shelfmark.functions.rules import with_struct
 from shelfmark.functions.scale import HOT_ROWS_MIN, join_groups
 from shelfmark.functions.similarity import sequence_ratio
 
@@ -50,33 +51,38 @@ def _gram_size(threshold: float) -> int:
     return 2 if threshold >= BIGRAM_THRESHOLD else 1
 
 
-def signatures(norm: Column, threshold: float, measure: str) -> Column:
-    """Hashes of the first k+1 grams in hash order; grams are numbered by occurrence."""
+def with_signatures(profiles: DataFrame, threshold: float, measure: str) -> DataFrame:
+    """Adds prefix: hashes of the first k+1 grams in hash order, grams numbered by occurrence."""
     q = _gram_size(threshold)
-    grams = F.when(
+    norm, grams = F.col("norm"), F.col("_grams")
+    cut = F.when(
         F.length(norm) >= q,
         F.transform(F.sequence(F.lit(1), F.length(norm) - (q - 1)), lambda i: F.substr(norm, i, F.lit(q))),
     ).otherwise(F.array(norm))
     numbered = F.transform(
-        F.col("_grams"),
-        lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(F.col("_grams"), F.lit(1), i), lambda h: h == g))),
+        grams,
+        lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g))),
     )
     table = F.array(*[F.lit(lost_grams(n, threshold, q, measure) + 1) for n in range(NAME_LENGTH_MAX + 1)])
-    keep = F.coalesce(F.try_element_at(table, F.length(norm) + 1), F.size(F.col("_grams")))
-    return grams, F.slice(F.array_sort(numbered), F.lit(1), keep)
+    keep = F.coalesce(F.try_element_at(table, F.length(norm) + 1), F.size(grams))
+    # the grams are a generated column, so the lambdas read them instead of cutting them again
+    listed = with_struct(profiles, F.struct(cut.alias("g")), ["_grams"])
+    return listed.withColumn("prefix", F.slice(F.array_sort(numbered), F.lit(1), keep)).drop("_grams")
 
 
 def name_profiles(files: DataFrame, same_folder: bool = True) -> tuple[DataFrame, list[str]]:
     """(files with block columns and normalised name, the profile key columns)."""
     folder = paths.parent(F.col("path")) if same_folder else F.lit("")
-    rows = files.select(
-        "file_id",
-        "size_bytes",
+    # generated columns: null checks on the join keys must not repeat the cleaning
+    block = F.struct(
         folder.alias("folder"),
         F.lower(F.coalesce(F.col("extension"), F.lit(""))).alias("ext"),
         F.floor(F.col("size_bytes") / 1024).alias("size_kb"),
         normalize(F.col("name")).alias("norm"),
     )
+    rows = with_struct(files, block, ["folder", "ext", "size_kb", "norm"]).select(
+        "file_id", "size_bytes", "folder", "ext", "size_kb", "norm"
+    )
     return rows, ["folder", "ext", "size_kb", "norm", "size_bytes"]
 
 
@@ -107,29 +113,30 @@ def fuzzy_pairs(
         F.lit("same_name").alias("relation"),
     )
 
-    grams, prefix = signatures(F.col("norm"), threshold, measure)
-    signed = (
-        profiles.withColumn("_grams", grams)
-        .withColumn("prefix", prefix)
-        .drop("_grams", "copies")
-        .withColumn("sig", F.explode("prefix"))
-    )
-    block = ["folder", "ext", "size_kb", "sig"]
-    left = signed.select(*block, *[F.col(c).alias(f"a_{c}") for c in ("rep", "norm", "size_bytes", "prefix")])
-    right = signed.select(*block, *[F.col(c).alias(f"b_{c}") for c in ("rep", "norm", "size_bytes", "prefix")])
-    a_len, b_len = F.length("a_norm"), F.length("b_norm")
+    signed = with_signatures(profiles.drop("copies"), threshold, measure).withColumn("sig", F.explode("prefix"))
+    # both sides are the same shuffled rows, so Spark computes and exchanges them once
+    a, b = signed.alias("a"), signed.alias("b")
+    same_block = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("folder", "ext", "size_kb", "sig")]
+    a_len, b_len = F.length("a.norm"), F.length("b.norm")
+    size_gap = F.abs(F.col("a.size_bytes") - F.col("b.size_bytes"))
     close = (
-        (F.col("a_rep") < F.col("b_rep"))
-        & (F.abs(F.col("a_size_bytes") - F.col("b_size_bytes")) <= F.col("a_size_bytes") * size_tolerance)
+        (F.col("a.rep") < F.col("b.rep"))
+        & (size_gap <= F.col("a.size_bytes") * size_tolerance)
         & (F.abs(a_len - b_len) <= F.greatest(a_len, b_len) * (1 - threshold) + 1e-9)
         # a pair sharing several signatures is kept at the smallest one only
-        & (F.array_min(F.array_intersect("a_prefix", "b_prefix")) == F.col("sig"))
+        & (F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.sig"))
+    )
+    candidates = a.join(b, same_block).where(close).select(
+        F.col("a.rep").alias("a_rep"), F.col("b.rep").alias("b_rep"), F.col("a.norm").alias("a_norm"), F.col("b.norm").alias("b_norm")
     )
-    candidates = left.join(right, block).where(close).select("a_rep", "b_rep", "a_norm", "b_norm")
     if measure == "levenshtein":
         longest = F.greatest(F.length("a_norm"), F.length("b_norm"), F.lit(1))
         score = F.lit(1.0) - F.levenshtein("a_norm", "b_norm") / longest
     else:
+        # a ratio of t leaves at most (1-t)(La+Lb) characters unmatched, and no pair needs
+        # more edits than it has unmatched characters: a native test ahead of Python
+        unmatched = (F.length("a_norm") + F.length("b_norm")) * (1 - threshold) + 1e-9
+        candidates = candidates.where(F.levenshtein("a_norm", "b_norm") <= unmatched)
         score = sequence_ratio("a_norm", "b_norm")
     similar = (
         candidates.withColumn("similarity", score)

@@ -150,6 +150,15 @@ def voting_pipelines(features: int = 500, trees: int = 100, seed: int = 42) -> l
     ]
 
 
+def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fit with the training rows held, since every pipeline stage passes over them."""
+    held = train.persist()
+    try:
+        return pipeline.fit(held)
+    finally:
+        held.unpersist()
+
+
 def labels_of(model: PipelineModel) -> list[str]:
     for stage in model.stages:
         if hasattr(stage, "labelsArray"):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import rule_tables as tables
 from shelfmark.functions import rules
+from shelfmark.functions.scale import spread
 from shelfmark.functions.phrases import (
     BIOGRAPHY_NAMES, BIOGRAPHY_PHRASES, DOCUMENTATION_WORDS, LESSON_PHRASES, LETTER_PHRASES, NAME_SCORES, QUOTE_PHRASES,
     SCORED_TYPES,
@@ -38,7 +39,7 @@ def _(t: Tables):
         SELECT lower(name) AS low, split_part(lower(name), '.', 1) AS stem, ltrim(extension, '.') AS ext FROM fx_files_big)
     GROUP BY 1""")
 def _(t: Tables):
-    return classify.with_pattern_type(t.files_big).groupBy("document_type").agg(F.count("*").alias("count"))
+    return classify.with_pattern_type(spread(t.files_big)).groupBy("document_type").agg(F.count("*").alias("count"))
 
 
 CUSTOM = [rules.Rule("notes", "personal_note", 0.99, 99, file="note"), *tables.PATTERN_RULES]

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.scale import spread
 from shelfmark.operators import categories, dedup, flags
 from shelfmark.sources.tabular import read_events
 
@@ -177,7 +178,7 @@ class Tables:
 
     @cached_property
     def base(self) -> DataFrame:
-        return self.read("documents").selectExpr(
+        return spread(self.read("documents")).selectExpr(
             "doc_id", "text", "lang", "source", "n_chars", "cast(octet_length(text) as bigint) n", "sha2(text, 256) h",
             f"concat({STEM_SQL}, cast(doc_id as string)) stem",
         )
@@ -229,7 +230,7 @@ class Tables:
     @cached_property
     def names(self) -> DataFrame:
         mark = "case p_partkey % 3 when 0 then '' when 1 then ' (1)' else ' - Copy' end"
-        return self.read("part").selectExpr(
+        return spread(self.read("part")).selectExpr(
             "concat('p', p_partkey) file_id",
             f"concat('/', replace(p_brand, '#', ''), '/', p_type, '/', p_name, {mark}, '.pdf') path",
             f"concat(p_name, {mark}, '.pdf') name", "'.pdf' extension", "cast(4096 + 64 * p_size as bigint) size_bytes",

@@ -30,7 +30,7 @@ def _(t: Tables):
 @query("rf_train_predict", "M3 M5 M6")
 def _(t: Tables):
     train, test = models.stratified_split(labelled(t), "file_id")
-    model = models.forest_pipeline(features=200, trees=20).fit(train)
+    model = models.fit(models.forest_pipeline(features=200, trees=20), train)
     scored = models.predict(model, test, "file_id").join(test.select("file_id", "label"), "file_id")
     return models.class_report(scored)
 
@@ -38,7 +38,7 @@ def _(t: Tables):
 @query("soft_vote", "M4 M6")
 def _(t: Tables):
     train, test = models.stratified_split(models.with_structured_features(labelled(t)), "file_id")
-    members = [p.fit(train) for p in models.voting_pipelines(features=200, trees=20)]
+    members = [models.fit(p, train) for p in models.voting_pipelines(features=200, trees=20)]
     return models.soft_vote(members, test, "file_id", 0.5).select("file_id", "predicted_category", F.round("confidence", 4).alias("confidence"), "method")
 
 
@@ -55,7 +55,7 @@ def _(t: Tables):
 
 @query("cascade_predict", "M7 M8")
 def _(t: Tables):
-    model = models.forest_pipeline(features=200, trees=20).fit(labelled(t))
+    model = models.fit(models.forest_pipeline(features=200, trees=20), labelled(t))
     docs = models.with_text_features(t.files.withColumn("file_name", F.col("name"))).select("file_id", "path", "text", "model_text")
     available = {"forest": models.model_stage(model, "file_id"), "rule_based": models.keyword_stage()}
     return models.model_usage(models.cascade(docs, models.preset("local_only", available)))
@@ -63,7 +63,7 @@ def _(t: Tables):
 
 @query("predict_with_all", "M8")
 def _(t: Tables):
-    model = models.forest_pipeline(features=200, trees=20).fit(labelled(t))
+    model = models.fit(models.forest_pipeline(features=200, trees=20), labelled(t))
     docs = models.with_text_features(t.files.withColumn("file_name", F.col("name"))).select("file_id", "path", "text", "model_text")
     stages = [("forest", models.model_stage(model, "file_id")), ("rule_based", models.keyword_stage())]
     every = models.predict_with_all(docs, stages, "file_id")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scale import hot_keys, join_groups, number_rows, top_per_group
+from shelfmark.functions.scale import join_groups, largest_groups, number_rows, top_per_group
 from shelfmark.operators import dedup
 
 
@@ -15,8 +15,8 @@ def skewed(spark, n=3000):
 
 def test_hot_keys_are_few_and_found(spark):
     counts = skewed(spark).groupBy("k").agg(F.count("*").alias("n"))
-    assert [r.k for r in hot_keys(counts, ["k"], "n", floor=100).collect()] == ["hot"]
-    assert hot_keys(counts, ["k"], "n").count() == 0
+    assert [r.k for r in largest_groups(counts, "n", floor=100).collect()] == ["hot"]
+    assert largest_groups(counts, "n").count() == 0
 
 
 def test_join_groups_splits_hot_keys_without_losing_rows(spark):
@@ -25,6 +25,22 @@ def test_join_groups_splits_hot_keys_without_losing_rows(spark):
     split = join_groups(rows, groups, ["k"], "n", "id", floor=100)
     plain = rows.join(groups, "k")
     assert sorted(split.select("id", "k", "n", "first").collect()) == sorted(plain.select("id", "k", "n", "first").collect())
+    # rows of the hot key really lie in many partitions
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = join_groups(rows, groups, ["k"], "n", "id", floor=100).where("k = 'hot'")
+        assert spread.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_left_join_keeps_rows_without_a_group(spark):
+    rows = skewed(spark)
+    groups = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 10")
+    kept = join_groups(rows, groups, ["k"], "n", "id", how="left", floor=100)
+    assert kept.count() == 3000 and kept.where("n is null").count() == 2000
 
 
 def test_number_rows_is_gap_free_and_equal_with_and_without_ranges(spark):
