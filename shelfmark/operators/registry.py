@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
@@ -113,27 +111,36 @@ def classifications_with_files(classifications: DataFrame, files: DataFrame) ->
 def dashboard(registry: DataFrame, top_types: int = 15) -> DataFrame:
     """State, type and method counts with totals as (section, key, count) rows.
 
-    One scan: the registry is grouped once by the three keys and rolled up.
+    One pass over the registry: grouping sets for the three keys and the grand total.
     """
-    base = registry.groupBy("canonical_state", "document_type", "classification_method").agg(
+    keys = ["canonical_state", "document_type", "classification_method"]
+    grouped = registry.groupingSets([*[[k] for k in keys], []], *keys).agg(
         F.count("*").alias("n"),
         F.count_if("is_duplicate").alias("dup"),
         F.count_if((F.col("confidence") < 0.70) & (F.col("confidence") > 0)).alias("low"),
+        F.grouping_id().alias("g"),
     )
 
-    def section(name: str, key: Column, value: str = "n") -> DataFrame:
-        return base.groupBy(key.alias("key")).agg(F.sum(value).alias("count")).select(F.lit(name).alias("section"), "key", "count")
-
-    types = section("type", F.col("document_type")).where(F.col("key").isNotNull())
-    parts = [
-        section("total", F.lit("all")),
-        section("state", F.col("canonical_state")),
-        top_rows(types, [F.desc("count"), F.asc("key")], top_types),
-        section("method", F.col("classification_method")).where(F.col("key").isNotNull()),
-        section("duplicates", F.lit("all"), "dup"),
-        section("low_confidence", F.lit("all"), "low"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    def row(level: int, section: str, key: Column, count: str = "n") -> Column:
+        cells = F.struct(F.lit(section).alias("section"), key.alias("key"), F.col(count).alias("count"))
+        return F.when(F.col("g") == level, cells)
+
+    everything = F.lit("all")
+    cells = F.array_compact(
+        F.array(
+            row(7, "total", everything),
+            row(3, "state", F.col("canonical_state")),
+            row(5, "type", F.col("document_type")),
+            row(6, "method", F.col("classification_method")),
+            row(7, "duplicates", everything, "dup"),
+            row(7, "low_confidence", everything, "low"),
+        )
+    )
+    rows = grouped.select(F.inline(cells)).where(F.col("key").isNotNull() | (F.col("section") == "state"))
+    # a few rows per section by now
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("count"), F.asc("key")))
+    ranked = rows.withColumn("rank", place)
+    return ranked.where((F.col("section") != "type") | (F.col("rank") <= top_types)).drop("rank")
 
 
 def run_statistics(results: DataFrame, threshold: float = 0.70, old_type: str | None = None) -> DataFrame:
