@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.scale import join_groups
+
 
 def cross_root_duplicates(files: DataFrame, min_size: int = 0) -> DataFrame:
     """Contents present in several roots.
@@ -32,9 +34,9 @@ def cross_root_duplicates(files: DataFrame, min_size: int = 0) -> DataFrame:
 
 def cross_root_copies(files: DataFrame, duplicates: DataFrame) -> DataFrame:
     """Every path of a content that lies in several roots."""
-    return files.join(duplicates.select("hash_quick"), "hash_quick", "left_semi").select(
-        "hash_quick", "root_id", "relative_path"
-    )
+    contents = duplicates.select("hash_quick", "total_copies")
+    rows = files.select("hash_quick", "root_id", "relative_path")
+    return join_groups(rows, contents, ["hash_quick"], "total_copies", "relative_path").drop("total_copies")
 
 
 def path_conflicts(files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import rule_tables as tables
 from shelfmark.functions.globs import matches_any
+from shelfmark.functions.scale import join_groups
 
 
 def clock(as_of: str | Column | None) -> Column:
@@ -117,6 +118,5 @@ def trainable(registry: DataFrame, min_confidence: float = 0.70, min_per_type: i
         & (F.col("document_type") != "unknown")
         & (F.col("confidence") >= min_confidence)
     )
-    # one row per document type: small, and its size is what AQE decides the join on
-    types = rows.groupBy("document_type").count().where(F.col("count") >= min_per_type).select("document_type")
-    return rows.join(types, "document_type", "left_semi")
+    types = rows.groupBy("document_type").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_per_type)
+    return join_groups(rows, types, ["document_type"], "_n", "file_id").drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -85,32 +85,35 @@ def rate_limited(
     id_col: str = "event_id",
     per_minute: int = 60,
     per_hour: int = 1000,
+    piece_hours: int = 4,
 ) -> DataFrame:
     """Events that find their key over its minute or hour limit, with retry_after.
 
     Exact trailing counts of the events before each one.  A key's events are cut into
-    day-long pieces that each carry the last hour of the piece before, so a hot key is
-    spread over its days instead of filling one task.
+    pieces of ``piece_hours`` that each carry the last hour of the piece before, so a
+    hot key is spread over its pieces instead of filling one task.
     """
+    hour, minute = 3_600_000_000, 60_000_000
     at = F.unix_micros(ts)
-    day = F.floor(at / 86_400_000_000)
-    next_day = F.when(F.floor((at + 3_600_000_000) / 86_400_000_000) > day, day + 1)
-    pieces = F.array_compact(F.array(day, next_day))
+    piece = F.floor(at / (piece_hours * hour))
+    following = F.floor((at + hour) / (piece_hours * hour))
+    pieces = F.array_distinct(F.array(piece, following))
     spread = (
-        events.select(key, id_col, ts, at.alias("_at"), day.alias("_day"), pieces.alias("_pieces"))
+        events.select(key, id_col, at.alias("_at"), piece.alias("_home"), pieces.alias("_pieces"))
         .withColumn("_piece", F.explode("_pieces"))
         .drop("_pieces")
     )
 
-    def trailing(micros: int):
-        # strictly younger than the cutoff, strictly before this event
-        w = Window.partitionBy(key, "_piece").orderBy("_at").rangeBetween(-(micros - 1), -1)
+    def older_than(micros: int) -> Column:
+        # frames that only grow are counted incrementally; a sliding frame is not
+        w = Window.partitionBy(key, "_piece").orderBy("_at").rangeBetween(Window.unboundedPreceding, -micros)
         return F.count("*").over(w)
 
+    before = older_than(1)
     counted = (
-        spread.withColumn("last_minute", trailing(60_000_000))
-        .withColumn("last_hour", trailing(3_600_000_000))
-        .where(F.col("_piece") == F.col("_day"))
+        spread.withColumn("last_minute", before - older_than(minute))
+        .withColumn("last_hour", before - older_than(hour))
+        .where(F.col("_piece") == F.col("_home"))
     )
     wait = F.when(F.col("last_minute") >= per_minute, 60).when(F.col("last_hour") >= per_hour, 3600)
     return counted.withColumn("retry_after", wait).where(F.col("retry_after").isNotNull()).select(
