@@ -8,6 +8,7 @@ most 1/HOT_KEYS_MAX of the rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,8 @@ def join_groups(
     aggregation below ``groups`` is shuffled once.
     """
     values = [c for c in groups.columns if c not in keys]
+    # stated once here, the null check sits below both uses of the aggregation alike
+    groups = groups.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, n_col]]))
     kept = [F.col(c) for c in rows.columns]
     hot = largest_groups(groups, n_col, floor).select(*keys, F.struct(*values).alias("_hot"))
     deal = F.pmod(F.xxhash64(row_id), F.lit(HOT_SPLITS)).cast("int") + 1
@@ -120,6 +123,10 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, value: str, out: str, digits: int = 2) -> DataFrame:
-    """100 * value / sum(value) over an already aggregated (small) frame."""
-    total = df.agg(F.sum(value).alias("t")).scalar()
+    """100 * value / sum(value) over a frame with a few aggregated rows.
+
+    For groupings bounded by configuration (categories, bands, stages): the total comes
+    from a window over those rows, so the input is read once.
+    """
+    total = F.sum(value).over(Window.partitionBy())
     return df.withColumn(out, F.round(F.try_divide(F.col(value) * F.lit(100.0), total), digits))

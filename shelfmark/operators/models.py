@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as tx
 from shelfmark.functions.rule_tables import CASCADE_PRESETS
-from shelfmark.functions.scale import HOT_ROWS_MIN, number_rows
+from shelfmark.functions.scale import HOT_ROWS_MIN, number_rows, share_of_total
 from shelfmark.operators.flags import clock
 
 # --- training data ------------------------------------------------------------
@@ -343,10 +343,9 @@ def predict_with_all(docs: DataFrame, stages: Sequence[tuple[str, Stage]], id_co
 
 
 def model_usage(results: DataFrame) -> DataFrame:
-    """Rows each stage settled and its share of them."""
+    """Rows each stage settled and its share of them in percent."""
     counted = results.groupBy("model_used").agg(F.count("*").alias("rows"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
-    total = counted.agg(F.sum("rows").alias("t")).scalar()
-    return counted.withColumn("share", F.round(F.col("rows") / total, 6))
+    return share_of_total(counted, "rows", "share_pct", 4)
 
 
 def keyword_stage(text_col: str = "text", path_col: str = "path") -> Stage:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
@@ -194,7 +194,8 @@ def extensions_per_category(files: DataFrame, n: int = 20) -> DataFrame:
 def depth_distribution(folder_index: DataFrame) -> DataFrame:
     """Folders per depth with the modal depth marked (the shallower one on ties)."""
     counted = folder_index.groupBy("depth").agg(F.count("*").alias("count"))
-    modal = counted.agg(F.max_by("depth", F.struct("count", -F.col("depth"))).alias("d")).scalar()
+    # a handful of depths: the window covers aggregated rows only
+    modal = F.max_by("depth", F.struct("count", -F.col("depth"))).over(Window.partitionBy())
     return counted.withColumn("is_modal", F.col("depth") == modal)
 
 
@@ -264,12 +265,12 @@ def proposal(files: DataFrame, min_share: float = 0.01, min_bytes: int = 1_000_0
     grouped = files.groupBy("file_category").agg(
         F.count("*").alias("total_count"), F.sum("size_bytes").alias("total_size")
     )
-    total = grouped.agg(F.sum("total_count").alias("t")).scalar()
+    grouped = share_of_total(grouped, "total_count", "_pct", 12)
     chain = F
     for category, target in PROPOSED_TARGETS.items():
         chain = chain.when(F.col("file_category") == category, F.lit(target))
     target = chain.otherwise(F.concat(F.lit("Active/"), F.initcap("file_category"), F.lit("/{YYYY}")))
-    significant = (F.try_divide(F.col("total_count"), total) > min_share) | (F.col("total_size") > min_bytes)
+    significant = (F.col("_pct") > 100 * min_share) | (F.col("total_size") > min_bytes)
     return grouped.where(significant).select(
         "file_category",
         "total_count",
