@@ -6,9 +6,6 @@ with the batch form of the same computation.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,19 +13,10 @@ from pyspark.sql import types as T
 from shelfmark.operators import sync
 from shelfmark.plans.fixtures import Tables
 from shelfmark.plans.registry import query
+from shelfmark.session import shared_folder
 from shelfmark.streaming import changes, windows
 
 
-def work_folder(t: Tables) -> str:
-    """A fresh folder: below the cluster's shared folder, or local when there is none."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", "")
-    if shared:
-        return f"{shared}/shelfmark-{uuid.uuid4().hex}"
-    if not t.spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="shelfmark-stream-")
-
-
 def event_stream(t: Tables) -> DataFrame:
     schema = t.spark.read.parquet(f"{t.folder}/events.parquet").schema
     raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
@@ -37,7 +25,7 @@ def event_stream(t: Tables) -> DataFrame:
 
 def drain(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
     """Run the stream to the end and read its batches back."""
-    folder = work_folder(t)
+    folder = shared_folder(t.spark, "stream")
     changes.run_to_end(stream, f"{folder}/checkpoint", changes.snapshot_writer(f"{folder}/out"), mode)
     return t.spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])).parquet(f"{folder}/out/*")
 

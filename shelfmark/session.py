@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(
@@ -36,25 +37,15 @@ def build_session(
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for checkpoints or written tables.
 
-    A machine-local folder is created only in local mode; on a cluster a missing
-    setting is an error, because lost executors could not read it back.
+    It lies below the shared folder named by ``spark.checkpoint.dir``; a machine-local
+    folder is used only in local mode, because lost executors could not read it back.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    path = spark.conf.get("spark.checkpoint.dir", "")
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        path = tempfile.mkdtemp(prefix="shelfmark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` (survives the loss of executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if shared:
+        return f"{shared}/shelfmark-{purpose}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix=f"shelfmark-{purpose}-")

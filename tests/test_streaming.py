@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.schemas import REGISTRY
@@ -53,3 +54,21 @@ def test_retrain_watch(spark, tmp_path):
     inbox.retrain_watch(store, out, "2024-01-31")(spark.range(1), 0)
     row = spark.read.json(out).collect()[0]
     assert row.should_retrain and "High incorrect count: 120" in row.reasons
+
+
+def test_work_folders_follow_the_cluster_setting(spark):
+    from types import SimpleNamespace
+
+    from shelfmark.session import shared_folder
+
+    assert shared_folder(spark, "x").startswith("/tmp/")
+
+    def session(setting, master):
+        conf = SimpleNamespace(get=lambda key, default: setting if key == "spark.checkpoint.dir" and setting else default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    cluster = session("hdfs://shared/cp", "yarn")
+    first, second = shared_folder(cluster, "x"), shared_folder(cluster, "x")
+    assert first.startswith("hdfs://shared/cp/") and first != second
+    with pytest.raises(ValueError):
+        shared_folder(session("", "yarn"), "x")
