@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, language
+from shelfmark.llm import bpe, language, quality, toxicity
 from shelfmark.llm.common import fold, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -32,9 +32,23 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    out = quality.score(docs, quality.learn(docs.where(fold() != 0), labels.where(fold() != 0)))
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    out = toxicity.score(docs, toxicity.learn(docs.where(fold() != 0), labels.where(fold() != 0)))
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op7_language": op7_language,
+    "op8_quality": op8_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
