@@ -98,7 +98,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(both[0].unionByName(both[1]))  # at most two times per_class ids
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     sample = rows.groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    fitted = sample.groupBy(F.lit(0)).applyInPandas(lambda g: _fit(g, 0.5 if share is None else float(share)), "good binary, bad binary, mean array<double>, scale array<double>, weights array<double>").toPandas()
+    fitted = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda g: _fit(g, 0.5 if share is None else float(share)), "good binary, bad binary, mean array<double>, scale array<double>, weights array<double>").toPandas()
     if not len(fitted):
         return Model(b"", b"", np.zeros(3), np.ones(3), _constant(0.5 if share is None else float(share)))
     r = fitted.iloc[0]

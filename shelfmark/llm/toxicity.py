@@ -29,8 +29,9 @@ PREFIXES = (4, 5, 6)
 POSITIVES = 2000
 UNLABELLED = 6000
 MEMBERS = 3
-# A feature of fewer positives than this gets no weight.
+# A feature gets a weight if it is in so many positives, and so many standard errors more often than in unlabelled texts.
 SEEN_IN_POSITIVES = 4
+ERRORS_APART = 5.0
 STEPS = 150
 RATE = 0.1
 RIDGE = 2e-4
@@ -144,8 +145,11 @@ def _fit(group: pd.DataFrame, prior: float) -> pd.DataFrame:
     lists, pos, unl = group["features"].to_list(), group["pos"].to_numpy(bool), group["unl"].to_numpy(bool)
     lengths = np.array([len(x) for x in lists])
     flat = np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64)
-    in_positives = np.bincount(flat[np.repeat(pos, lengths)], minlength=1 << BITS)
-    used = np.flatnonzero(in_positives >= min(SEEN_IN_POSITIVES, max(1, pos.sum() // 10)))
+    in_positives, in_unlabelled = (np.bincount(flat[np.repeat(x, lengths)], minlength=1 << BITS) for x in (pos, unl))
+    n_p, n_u = max(1, pos.sum()), max(1, unl.sum())
+    spread = np.sqrt((in_unlabelled + 1) / n_u / n_p + (in_unlabelled + 1) / n_u**2)
+    apart = in_positives / n_p - in_unlabelled / n_u > ERRORS_APART * spread
+    used = np.flatnonzero(apart & (in_positives >= min(SEEN_IN_POSITIVES, max(2, n_p // 10))))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     kept = place[flat] >= 0
