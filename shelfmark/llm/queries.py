@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, language, quality, toxicity
+from shelfmark.llm import bpe, impact, language, licenses, mixing, quality, rabitq, toxicity
 from shelfmark.llm.common import fold, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    out = licenses.scan(docs, licenses.build_index(docs))
+    return out.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
+
+
+def op2_rabitq(spark: SparkSession, folder: str) -> DataFrame:
+    return rabitq.nearest(read(spark, folder, "embeddings"), "id % 100 = 0")
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     out = bpe.encode(read(spark, folder, "documents"), VOCABULARY)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -25,6 +35,10 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents")).drop("source")
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     trees = language.learn(docs.where(fold() != 0))
@@ -38,6 +52,10 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
 
 
+def op9_impact(spark: SparkSession, folder: str) -> DataFrame:
+    return impact.top_k(read(spark, folder, "embeddings"), "id % 50 = 0")
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     out = toxicity.score(docs, toxicity.learn(docs.where(fold() != 0), labels.where(fold() != 0)))
@@ -45,10 +63,54 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_bpe": op4_bpe,
-    "op7_language": op7_language,
-    "op8_quality": op8_quality,
-    "op10_toxicity": op10_toxicity,
+    f.__name__: f for f in (op1_licenses, op2_rabitq, op4_bpe, op6_mixing, op7_language, op8_quality, op9_impact, op10_toxicity)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS k
+  FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
+r AS (
+  SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+         source_size * 2.0 AS cap
+  FROM s),
+f AS (
+  SELECT *, (sum(source_size) OVER () * 1.5
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own_level
+  FROM r),
+l AS (
+  SELECT *, first_value(CASE WHEN cap > own_level * weight THEN own_level END IGNORE NULLS)
+              OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level
+  FROM f),
+t AS (
+  SELECT source, source_size::BIGINT AS source_size,
+         CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target
+  FROM l),
+o AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM d)
+SELECT doc_id, size, t.source_size, target,
+       (CASE WHEN t.source_size > 0 THEN floor(target)::BIGINT // t.source_size ELSE 0 END * size
+        + greatest(0, least(size, CASE WHEN t.source_size > 0 THEN floor(target)::BIGINT % t.source_size ELSE 0 END - ahead)))::BIGINT AS taken
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+""",
+    "op9_impact": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM (SELECT vec_id, min(embedding) AS embedding FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        GROUP BY vec_id)),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+WHERE rank <= 5
+""",
+}
