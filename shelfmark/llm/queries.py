@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, impact, language, licenses, mixing, quality, rabitq, toxicity
+from shelfmark.llm import bpe, chosen_path, impact, language, licenses, mixing, quality, rabitq, repair, toxicity
 from shelfmark.llm.common import fold, read
+from shelfmark.session import shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,6 +25,12 @@ def op2_rabitq(spark: SparkSession, folder: str) -> DataFrame:
     return rabitq.nearest(read(spark, folder, "embeddings"), "id % 100 = 0")
 
 
+def op3_repair(spark: SparkSession, folder: str) -> DataFrame:
+    out = shared_folder(spark, "tokens")
+    repair.write(read(spark, folder, "documents"), out, VOCABULARY, end_id=1)
+    return repair.read_documents(spark, out)
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     out = bpe.encode(read(spark, folder, "documents"), VOCABULARY)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -35,6 +42,10 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.join(read(spark, folder, "documents"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents")).drop("source")
 
@@ -63,7 +74,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licenses, op2_rabitq, op4_bpe, op6_mixing, op7_language, op8_quality, op9_impact, op10_toxicity)
+    f.__name__: f for f in (op1_licenses, op2_rabitq, op3_repair, op4_bpe, op5_chosen_path, op6_mixing, op7_language, op8_quality, op9_impact, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {
