@@ -26,6 +26,8 @@ from shelfmark.llm.common import sample_key, slices
 ORDER = 4
 # Expected texts a language of the learning sample; a language with fewer is learnt from all of them.
 TEXTS_PER_LANGUAGE = 1500
+# Languages learnt at most, the most frequent first.
+LANGUAGES_MAX = 1000
 # Most frequent (context, symbol) pairs kept over all languages and orders.
 PAIRS_MAX = 1_500_000
 # From this order up a pair met once is left out of the trees.
@@ -173,7 +175,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), sample_key(*key_cols).alias("key")
     )
     share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    chosen = rows.join(share, "lang").where("key < share").select("lang", "text")
+    share = share.orderBy("share", "lang").limit(LANGUAGES_MAX)
+    chosen = rows.join(F.broadcast(share), "lang").where("key < share").select("lang", "text")
     full = chosen.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sizes = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1)))
     pairs = (
