@@ -55,8 +55,8 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text") -> DataFrame:
-    """``id_col, source, size, source_size, target, taken`` for every row.
+def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, source, size, source_size, target, taken, keep...`` for every row.
 
     ``size`` defaults to the words of the text.  ``taken`` is how much of the row the mix
     uses, repeats counted: whole rows, but for the one at the cut.  The target's fraction
@@ -64,7 +64,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
     take nothing; rows with equal ids stand next to each other in a repeatable order.
     """
     sized = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), (words(text_col) if size is None else size).cast("long").alias("size")
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        (words(text_col) if size is None else size).cast("long").alias("size"),
+        *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)],
     )
     # texts are read once for their sizes
     sized = written(sized.withColumn("key", order_key("id")).withColumn("range", F.substring("key", 1, RANGE_DIGITS)), "mix")
@@ -87,4 +90,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
         "source_size",
         "target",
         (epochs * F.col("size") + once_more).cast("long").alias("taken"),
+        *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)],
     )

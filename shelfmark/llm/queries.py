@@ -31,10 +31,10 @@ def op3_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.read_documents(spark, out)
 
 
-def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    out = bpe.encode(read(spark, folder, "documents"), VOCABULARY)
+def digests(encoded: DataFrame) -> DataFrame:
+    """Counts and digests of encoded rows."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return out.select(
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
@@ -42,6 +42,10 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(bpe.encode(read(spark, folder, "documents"), VOCABULARY))
+
+
 def op5_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.join(read(spark, folder, "documents"))
 

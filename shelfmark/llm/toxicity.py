@@ -160,14 +160,18 @@ def _fit(group: pd.DataFrame, prior: float) -> pd.DataFrame:
     return pd.DataFrame({"member": group["member"].head(1).to_numpy(), "bias": [bias], "buckets": [used.astype(np.int32)], "weights": [w]})
 
 
-def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score`` for every row; a null text is scored as an empty one."""
+def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, keep..., score`` for every row; a null text is scored as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = [f"k{i}" for i in range(1 + len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for k, c in zip(names, (id_col, *keep), strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(part.column(1).to_pylist()))], ["id", "score"])
+                p = shared.value.score(part.column(len(names)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(p)], [*names, "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(run, f"{schema}, score double")
+    return out.select(*[F.col(k).alias(c) for k, c in zip(names, (id_col, *keep), strict=True)], "score")
