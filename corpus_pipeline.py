@@ -5,7 +5,7 @@ the last, which returns what it measured of the encoded rows.  ``run`` writes ev
 stage's rows to the shared folder and reads them back.
 
 =================  ============================================================================
-language           rows go whose text has no letter, or is coded no better than random letters
+language           rows go whose text has no letter, or is in a script no learnt language uses
 toxicity           rows go that score 0.5 or more
 near_duplicates    one row of each group of near copies stays, the one with the smallest doc_id;
                    rows without words or doc_id stay
@@ -26,14 +26,14 @@ from shelfmark.llm.common import fold, read, written
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = language.learn(docs.where(fold() != 0))
-    kept = language.predict(docs, trees, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return kept.where(language.worth_keeping()).select(*docs.columns)
+    kept = language.predict(docs, trees, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="_found_")
+    return kept.where(language.worth_keeping("_found_")).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scorer = toxicity.learn(docs.where(fold() != 0), read(spark, sf_dir, "labels").where(fold() != 0))
-    scored = toxicity.score(docs, scorer, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where("score < 0.5").select(*docs.columns)
+    scored = toxicity.score(docs, scorer, keep=tuple(c for c in docs.columns if c != "doc_id"), out="_toxic")
+    return scored.where("_toxic < 0.5").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

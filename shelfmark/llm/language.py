@@ -109,9 +109,9 @@ class Trees:
 def compile_trees(pairs: pd.DataFrame) -> Trees:
     """Trees from rows ``lang, size, gram, n``: n times the last of ``size`` packed bytes followed the others."""
     languages = sorted(pairs["lang"].unique())
-    lang = pairs["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
+    lang = pairs["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
     size, gram, n = (pairs[c].to_numpy(np.int64) for c in ("size", "gram", "n"))
-    used = np.unique(gram & 255)
+    used = np.union1d(gram & 255, [32])
     code = np.zeros(256, np.int64)
     code[used] = np.arange(1, len(used) + 1)
     width = len(used) + 1
@@ -119,9 +119,11 @@ def compile_trees(pairs: pd.DataFrame) -> Trees:
     shorter = np.zeros(1, np.int64)  # the empty gram
     for m in range(1, ORDER + 2):
         own = size == m
-        keys, at = np.unique(gram[own], return_inverse=True)
+        # the spaces in front of a text are a context even where no pair ends in them
+        front = [int.from_bytes(b" " * m, "big")] if m <= ORDER and len(languages) else []
+        keys, at = np.unique(np.concatenate([gram[own], np.array(front, np.int64)]), return_inverse=True)
         counts = np.zeros((len(keys), len(languages)))
-        np.add.at(counts, (at, lang[own]), n[own])
+        np.add.at(counts, (at[: own.sum()], lang[own]), n[own])
         # pairs whose context was left out cannot be reached; their context then escapes nowhere
         place = np.searchsorted(shorter, keys >> 8)
         reached = (place < len(shorter)) & (shorter[np.minimum(place, len(shorter) - 1)] == keys >> 8)
@@ -191,8 +193,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     return compile_trees(pairs.toPandas())
 
 
-def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, keep..., lang_pred, score, bits_per_symbol`` for every row.
+def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """``id_col, keep..., lang_pred, score, bits_per_symbol`` for every row; ``prefix`` goes before the three new names.
 
     ``score`` is the share of the best language in the sum of all 2^-bits.  Text that is
     null or has no letter, and any text when no language was learnt, is ``und`` with score 0.
@@ -212,7 +214,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pred, score, rate], [*names, "lang_pred", "score", "bits"])
 
     out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double, bits double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate((id_col, *keep))], "lang_pred", "score", F.col("bits").alias("bits_per_symbol"))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate((id_col, *keep))], *[F.col(c).alias(f"{prefix}{name}") for c, name in (("lang_pred", "lang_pred"), ("score", "score"), ("bits", "bits_per_symbol"))])
 
 
 def _choose(trees: Trees, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -229,6 +231,10 @@ def _choose(trees: Trees, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Arra
     return pa.array(pred, pa.string()), pa.array(np.where(blank, 0.0, score)), pa.array(rate, pa.float64(), mask=blank)
 
 
-def worth_keeping(min_symbols: int = 20, max_bits: float = 4.75) -> Column:
-    """Of predicted rows: not ``und``, and coded in fewer bits a symbol than letters drawn at random."""
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_symbol") < max_bits)
+def worth_keeping(prefix: str = "", max_bits: float = 12.0) -> Column:
+    """Of predicted rows: not ``und``, and coded in fewer than ``max_bits`` a symbol.
+
+    A uniform byte after an escape from every order costs over eight bits; only text whose
+    script no learnt language uses comes near twelve.
+    """
+    return (F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}bits_per_symbol") < max_bits)

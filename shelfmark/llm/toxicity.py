@@ -160,8 +160,8 @@ def _fit(group: pd.DataFrame, prior: float) -> pd.DataFrame:
     return pd.DataFrame({"member": group["member"].head(1).to_numpy(), "bias": [bias], "buckets": [used.astype(np.int32)], "weights": [w]})
 
 
-def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, keep..., score`` for every row; a null text is scored as an empty one."""
+def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """``id_col, keep..., out`` for every row: the score; a null text is scored as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     names = [f"k{i}" for i in range(1 + len(keep))]
     rows = docs.select(*[F.col(c).alias(k) for k, c in zip(names, (id_col, *keep), strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -173,5 +173,5 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
                 p = shared.value.score(part.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(p)], [*names, "score"])
 
-    out = rows.mapInArrow(run, f"{schema}, score double")
-    return out.select(*[F.col(k).alias(c) for k, c in zip(names, (id_col, *keep), strict=True)], "score")
+    scored = rows.mapInArrow(run, f"{schema}, score double")
+    return scored.select(*[F.col(k).alias(c) for k, c in zip(names, (id_col, *keep), strict=True)], F.col("score").alias(out))
