@@ -332,7 +332,6 @@ MIME_CATEGORIES = (
 EXCLUDED_NAMES = ("*.tmp", "*.temp", "~$*", "desktop.ini", "Thumbs.db", ".DS_Store")
 EXCLUDED_FOLDERS = ("node_modules", ".git", ".svn", "$RECYCLE.BIN", "System Volume Information", "__pycache__",
                     ".venv", "venv")
-SCAN_SIZE_LIMIT = 10_737_418_240
 
 # Temporary suffixes, low-value globs.
 TEMP_SUFFIXES = (".tmp", ".bak", ".old", ".temp", ".cache")

@@ -98,31 +98,39 @@ def audit_sync(comparisons: DataFrame, threshold: float = 95.0) -> DataFrame:
 
 
 def reconcile(disk: DataFrame, registry: DataFrame) -> DataFrame:
-    """Disk against registry by content hash: new, missing, moved or in_place.
+    """Disk against registry: new, missing, moved or in_place, for every registry row.
 
-    Both sides are reduced to one row per hash; a hash found at several paths is in
-    place when its registered path is among them.
+    A registry row whose own path holds its content is in place; any other whose content
+    lies somewhere on disk has moved to the smallest path no row of that content is at
+    (else to the smallest of all); the rest is missing.  Content on disk that no row has
+    is new, once per content.  Rows meet per (content, path) and then per content.
     """
-    on_disk = disk.where(F.col("content_hash").isNotNull()).groupBy("content_hash", "path").count()
-    known = registry.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(
-        F.min(F.struct("file_id", "canonical_path")).alias("r")
+    at = disk.where(F.col("content_hash").isNotNull()).groupBy("content_hash", F.col("path").alias("disk_path")).agg(F.lit(True).alias("_there"))
+    rows = registry.where(F.col("content_hash").isNotNull()).select("content_hash", "file_id", "canonical_path")
+    homes = rows.select("content_hash", F.col("canonical_path").alias("disk_path"), F.lit(True).alias("_taken")).distinct()
+    spots = at.join(homes, ["content_hash", "disk_path"], "left")
+    contents = spots.groupBy("content_hash").agg(
+        F.min(F.when(F.col("_taken").isNull(), F.col("disk_path"))).alias("_free"), F.min("disk_path").alias("_any")
     )
-    paths = on_disk.groupBy("content_hash").agg(F.min("path").alias("disk_path"))
-    at_home = known.select("content_hash", F.col("r.canonical_path").alias("path")).join(
-        on_disk, ["content_hash", "path"], "left_semi"
-    ).select("content_hash", F.lit(True).alias("_home"))
-    status = (
-        F.when(F.col("r").isNull(), "new")
-        .when(F.col("disk_path").isNull(), "missing")
-        .when(F.col("_home"), "in_place")
-        .otherwise("moved")
+    home = spots.where("_taken").select("content_hash", F.col("disk_path").alias("canonical_path"), F.lit(True).alias("_home"))
+    placed = rows.join(home, ["content_hash", "canonical_path"], "left").join(contents, "content_hash", "left")
+    status = F.when(F.col("_home"), "in_place").when(F.col("_any").isNotNull(), "moved").otherwise("missing")
+    own = placed.select(
+        "content_hash",
+        "file_id",
+        "canonical_path",
+        F.when(F.col("_home"), F.col("canonical_path")).otherwise(F.coalesce("_free", "_any")).alias("disk_path"),
+        status.alias("status"),
     )
-    return (
-        paths.join(known, "content_hash", "full_outer")
-        .join(at_home, "content_hash", "left")
-        .select("content_hash", F.col("r.file_id").alias("file_id"), F.col("r.canonical_path").alias("canonical_path"),
-                "disk_path", status.alias("status"))
+    none = F.lit(None)
+    new = contents.join(rows.select("content_hash"), "content_hash", "left_anti").select(
+        "content_hash",
+        none.cast(registry.schema["file_id"].dataType).alias("file_id"),
+        none.cast("string").alias("canonical_path"),
+        F.col("_any").alias("disk_path"),
+        F.lit("new").alias("status"),
     )
+    return own.unionByName(new)
 
 
 def scan_difference(before: DataFrame, after: DataFrame, source_col: str = "source_id") -> DataFrame:

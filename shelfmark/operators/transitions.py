@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.hashing import stable_id
 from shelfmark.functions.rule_tables import FUNCTION_FOLDERS
@@ -17,35 +18,56 @@ from shelfmark.functions.scale import HOT_ROWS_MIN, join_groups
 from shelfmark.operators.flags import clock
 
 
-def apply_changes(current: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Take ``columns`` from ``changes`` where the key occurs there, else keep them."""
-    renamed = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns]).withColumn("_hit", F.lit(True))
+def one_per_key(rows: DataFrame, key: str, order: Sequence[str] = (), first: bool = False) -> DataFrame:
+    """One row per key: the last in the order of ``order``, then of the whole row; or the first.
+
+    Rows without a key are not merged.  Reduced by one aggregation with map-side partials.
+    """
+    rest = [c for c in rows.columns if c not in (key, *order)]
+    # maps and other values without an order cannot rank rows; they only travel along
+    sortable = [c for c in rest if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]
+    rank = F.struct(*[F.col(c) for c in (*order, *sortable)]) if order or sortable else F.lit(0)
+    pick = F.min_by if first else F.max_by
+    keyed = rows.where(F.col(key).isNotNull()).groupBy(key).agg(pick(F.struct(*rows.columns), rank).alias("_row")).select("_row.*")
+    return keyed.unionByName(rows.where(F.col(key).isNull()))
+
+
+def apply_changes(current: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Take ``columns`` from ``changes`` where the key occurs there, else keep them.
+
+    Of several changes of a key the last in the order of ``order`` counts.
+    """
+    renamed = changes.select(key, *[c for c in order if c != key and c not in columns], *columns)
+    renamed = one_per_key(renamed, key, order).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns]).withColumn("_hit", F.lit(True))
     joined = current.join(renamed, key, "left")
     for c in columns:
         joined = joined.withColumn(c, F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)))
     return joined.drop("_hit", *[f"_new_{c}" for c in columns])
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Insert or replace by key."""
-    return current.join(incoming.select(key), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
+def upsert(current: DataFrame, incoming: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Insert or replace by key; of several incoming rows the last in the order of ``order`` counts."""
+    once = one_per_key(incoming, key, order)
+    return current.join(once.select(key), key, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
-def insert_absent(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Insert rows whose key is new; existing rows win."""
-    return current.unionByName(incoming.join(current.select(key), key, "left_anti"), allowMissingColumns=True)
+def insert_absent(current: DataFrame, incoming: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Insert rows whose key is new; existing rows win, then the first incoming row in the order of ``order``."""
+    fresh = one_per_key(incoming, key, order, first=True).join(current.select(key), key, "left_anti")
+    return current.unionByName(fresh, allowMissingColumns=True)
 
 
 def register_batch(incoming: DataFrame, registry: DataFrame, floor: int = HOT_ROWS_MIN) -> DataFrame:
-    """Pending rows for new content, duplicate rows for content already known.
+    """Pending rows for new content, duplicate rows for content already known, error rows for unreadable files.
 
     ``incoming``: original_path, content_hash, file_size.  Known means registered
-    before or earlier (by path) in this batch.  Registry and batch are both reduced to
-    one row per hash before they meet.
+    before or earlier (by path) in this batch; a file that comes a second time with the
+    same content is a duplicate like any other.  Registry and batch are both reduced to
+    one row per hash before they meet.  Rows without a hash get the state ``error``.
     """
-    rows = incoming.where(F.col("content_hash").isNotNull()).withColumn(
-        "file_id", stable_id("original_path", "content_hash")
-    )
+    incoming = incoming.withColumn("file_id", stable_id("original_path", "content_hash"))
+    # one file delivered twice in a batch is one row
+    rows = incoming.where(F.col("content_hash").isNotNull()).dropDuplicates(["file_id"])
     batch = rows.groupBy("content_hash").agg(
         F.count("*").alias("_copies"),
         F.min(F.struct("original_path", "file_id")).getField("file_id").alias("_first"),
@@ -55,31 +77,37 @@ def register_batch(incoming: DataFrame, registry: DataFrame, floor: int = HOT_RO
     known = registry.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(
         F.min(F.struct(copy.alias("copy"), F.col("file_id").cast("string").alias("id"))).getField("id").alias("_known")
     )
-    owners = batch.join(known, "content_hash", "left").withColumn("_owner", F.coalesce("_known", "_first"))
+    owners = batch.join(known, "content_hash", "left")
     joined = join_groups(rows, owners, ["content_hash"], "_copies", "file_id", floor=floor)
-    duplicate = F.col("file_id") != F.col("_owner")
-    return joined.select(
+    duplicate = F.col("_known").isNotNull() | (F.col("file_id") != F.col("_first"))
+    done = joined.select(
         "file_id",
         "original_path",
         "content_hash",
         "file_size",
         F.when(duplicate, "duplicate").otherwise("pending").alias("canonical_state"),
         duplicate.alias("is_duplicate"),
-        F.when(duplicate, F.col("_owner")).alias("duplicate_of"),
+        F.when(duplicate, F.coalesce("_known", "_first")).alias("duplicate_of"),
     )
+    none = F.lit(None).cast("string")
+    failed = incoming.where(F.col("content_hash").isNull()).select(
+        "file_id", "original_path", "content_hash", "file_size", F.lit("error").alias("canonical_state"), F.lit(False).alias("is_duplicate"), none.alias("duplicate_of")
+    )
+    return done.unionByName(failed)
 
 
 def registration_summary(registered: DataFrame) -> DataFrame:
     return registered.agg(
         F.count("*").alias("scanned"),
-        F.count_if(~F.col("is_duplicate")).alias("registered"),
+        F.count_if(~F.col("is_duplicate") & (F.col("canonical_state") != "error")).alias("registered"),
         F.count_if("is_duplicate").alias("duplicates"),
+        F.count_if(F.col("canonical_state") == "error").alias("errors"),
     )
 
 
 def add_by_path(inbox: DataFrame, documents: DataFrame, path_col: str = "file_path") -> DataFrame:
-    """Inbox rows whose path is not stored yet."""
-    return inbox.join(documents.select(path_col), path_col, "left_anti")
+    """Inbox rows whose path is not stored yet, one per path (the first of its rows)."""
+    return one_per_key(inbox, path_col, first=True).join(documents.select(path_col), path_col, "left_anti")
 
 
 def add_documents(incoming: DataFrame, documents: DataFrame) -> DataFrame:
@@ -135,19 +163,24 @@ def mark_organised(registry: DataFrame, plan: DataFrame, as_of=None) -> tuple[Da
 
 
 def correct_types(registry: DataFrame, corrections: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
-    """(next registry, correction log) for (path, correct_type) rows.
+    """(next registry, correction log) for (path, correct_type[, corrected_at]) rows.
 
-    A path may be the original or the canonical one; two equi joins find it.
+    A path may be the original or the canonical one; two equi joins find it.  Every
+    correction is logged; the newest of a file sets its type (without ``corrected_at``
+    the last by type, so that reruns agree).
     """
-    wanted = corrections.select("path", "correct_type")
-    by_original = registry.join(wanted, registry.original_path == wanted.path).select("file_id", "document_type", "correct_type")
-    by_canonical = registry.join(wanted, registry.canonical_path == wanted.path).select("file_id", "document_type", "correct_type")
-    # one correction per file: the two joins may find the same row
-    found = by_original.unionByName(by_canonical).groupBy("file_id").agg(
-        F.min("document_type").alias("wrong_type"), F.max("correct_type").alias("correct_type")
+    at = F.col("corrected_at") if "corrected_at" in corrections.columns else F.lit(None).cast("timestamp")
+    wanted = corrections.select("path", "correct_type", at.alias("corrected_at"))
+    columns = ["file_id", "document_type", "correct_type", "corrected_at"]
+    by_original = registry.join(wanted, registry.original_path == wanted.path).select(*columns)
+    by_canonical = registry.join(wanted, registry.canonical_path == wanted.path).select(*columns)
+    # the two joins may find the same row
+    found = by_original.unionByName(by_canonical).distinct()
+    log = found.select(
+        "file_id", F.col("document_type").alias("wrong_type"), "correct_type", F.coalesce("corrected_at", clock(as_of)).alias("correction_timestamp")
     )
-    log = found.select("file_id", "wrong_type", "correct_type", clock(as_of).alias("correction_timestamp"))
-    return set_types(registry, found.select("file_id", F.col("correct_type").alias("document_type"))), log
+    newest = one_per_key(found.select("file_id", "corrected_at", "correct_type"), "file_id", ["corrected_at"])
+    return set_types(registry, newest.select("file_id", F.col("correct_type").alias("document_type"))), log
 
 
 def set_types(registry: DataFrame, typed: DataFrame, confidence: float = 1.0, method: str = "manual") -> DataFrame:
@@ -203,6 +236,24 @@ def predictions_to_append(results: DataFrame, model_version: str, as_of=None) ->
     )
 
 
+def add_source(sources: DataFrame, source: Mapping[str, object]) -> DataFrame:
+    """Next version of the sources with one more; an id that exists is replaced."""
+    row = sources.sparkSession.createDataFrame([tuple(source.get(c) for c in sources.columns)], sources.schema)
+    return upsert(sources, row, "source_id")
+
+
+def scan_history_rows(counts: DataFrame, as_of=None) -> DataFrame:
+    """History rows to append after a scan: one per source with what it found."""
+    return counts.select(
+        stable_id("source_id", clock(as_of).cast("string")).alias("scan_id"),
+        "source_id",
+        F.coalesce("new_files", F.lit(0)).alias("files_added"),
+        F.coalesce("updated_files", F.lit(0)).alias("files_updated"),
+        F.coalesce("deleted_files", F.lit(0)).alias("files_removed"),
+        clock(as_of).alias("scanned_at"),
+    )
+
+
 def set_source_state(sources: DataFrame, source_id: str, active: bool) -> DataFrame:
     return sources.withColumn(
         "active", F.when(F.col("source_id") == source_id, F.lit(active)).otherwise(F.col("active"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.plans.fixtures import Tables, with_views
+from shelfmark.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -18,6 +19,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         return self.build(Tables(spark, folder))
 
 
@@ -39,6 +41,7 @@ def load_all() -> dict[str, Query]:
     from shelfmark.plans import (  # noqa: F401
         classify_queries,
         dedup_queries,
+        file_queries,
         model_queries,
         plan_queries,
         quality_queries,

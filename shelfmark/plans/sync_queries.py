@@ -137,14 +137,19 @@ def _(t: Tables):
     return compare.audit_sync(compare.compare_roots(t.roots, "F", "O"))
 
 
-RECONCILED = """WITH disk AS (SELECT content_hash, CASE WHEN canonical_state = 'organized' THEN canonical_path ELSE original_path END AS path
+RECONCILED = """WITH disk AS (SELECT DISTINCT content_hash, CASE WHEN canonical_state = 'organized' THEN canonical_path ELSE original_path END AS path
         FROM fx_registry WHERE document_type IS DISTINCT FROM 'unknown'),
-    reg AS (SELECT content_hash, arg_min(canonical_path, file_id) AS canonical_path, min(file_id) AS file_id FROM (
-        SELECT content_hash, file_id, coalesce(canonical_path, '/lost/' || file_name) AS canonical_path FROM fx_registry
-        WHERE classification_method IS NOT NULL) GROUP BY 1)
-    SELECT coalesce(d.content_hash, r.content_hash) AS content_hash, r.file_id, CASE WHEN r.content_hash IS NULL THEN 'new'
-           WHEN d.content_hash IS NULL THEN 'missing' WHEN list_contains(d.paths, r.canonical_path) THEN 'in_place' ELSE 'moved' END AS status
-    FROM (SELECT content_hash, list(path) AS paths FROM disk GROUP BY 1) d FULL JOIN reg r ON d.content_hash = r.content_hash"""
+    reg AS (SELECT content_hash, file_id, coalesce(canonical_path, '/lost/' || file_name) AS canonical_path FROM fx_registry
+        WHERE classification_method IS NOT NULL),
+    spots AS (SELECT d.content_hash, min(d.path) FILTER (h.path IS NULL) AS free_path, min(d.path) AS any_path
+        FROM disk d LEFT JOIN (SELECT DISTINCT content_hash, canonical_path AS path FROM reg) h ON d.content_hash = h.content_hash AND d.path = h.path
+        GROUP BY 1),
+    placed AS (SELECT r.*, CASE WHEN d.path IS NOT NULL THEN 'in_place' WHEN s.any_path IS NOT NULL THEN 'moved' ELSE 'missing' END AS status,
+            coalesce(d.path, s.free_path, s.any_path) AS disk_path
+        FROM reg r LEFT JOIN disk d ON r.content_hash = d.content_hash AND r.canonical_path = d.path LEFT JOIN spots s ON r.content_hash = s.content_hash)"""
+RECONCILED_ROWS = RECONCILED + """
+    SELECT content_hash, file_id, disk_path, status FROM placed
+    UNION ALL SELECT content_hash, NULL, any_path, 'new' FROM spots WHERE content_hash NOT IN (SELECT content_hash FROM reg)"""
 
 
 def reconciled(t: Tables):
@@ -155,9 +160,9 @@ def reconciled(t: Tables):
     return compare.reconcile(disk, known)
 
 
-@query("reconcile_hash", "J14 U10", RECONCILED)
+@query("reconcile_hash", "J14 U10", RECONCILED_ROWS)
 def _(t: Tables):
-    return reconciled(t).select("content_hash", "file_id", "status")
+    return reconciled(t).select("content_hash", "file_id", "disk_path", "status")
 
 
 @query("scan_difference", "J18", """

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import models, transitions
+from shelfmark.operators import compare, models, transitions
 from shelfmark.plans.fixtures import REGISTRY_CLOCK, Tables
 from shelfmark.plans.registry import query
+from shelfmark.plans.sync_queries import RECONCILED, reconciled
 
 REGISTER = """WITH batch AS (SELECT path, hash_full AS h, size_bytes, sha256(concat_ws('|', path, hash_full)) AS id FROM fx_files
         WHERE access_count > 0),
@@ -32,8 +33,8 @@ def _(t: Tables):
 
 
 @query("register_summary", "S6 A46", f"""
-    SELECT count(*) AS scanned, count(*) FILTER (NOT is_duplicate) AS registered, count(*) FILTER (is_duplicate) AS duplicates
-    FROM ({REGISTER})""")
+    SELECT count(*) AS scanned, count(*) FILTER (NOT is_duplicate) AS registered, count(*) FILTER (is_duplicate) AS duplicates,
+           CAST(0 AS BIGINT) AS errors FROM ({REGISTER})""")
 def _(t: Tables):
     return transitions.registration_summary(registered(t))
 
@@ -227,10 +228,93 @@ def _(t: Tables):
     return models.with_text_features(t.registry).select("file_id", F.sha2("model_text", 256).alias("features"))
 
 
-@query("missing_and_moved", "U10 J14", """
-    SELECT file_id, document_type = 'unknown' AS is_missing FROM fx_registry WHERE document_type IS NOT NULL""")
+@query("missing_and_moved", "U10 J14", RECONCILED + """
+    SELECT f.file_id, coalesce(p.status = 'missing', FALSE) AS is_missing,
+           CASE WHEN p.status = 'moved' THEN p.disk_path ELSE f.canonical_path END AS canonical_path
+    FROM fx_registry f LEFT JOIN placed p ON f.file_id = p.file_id""")
 def _(t: Tables):
-    rows = t.registry.where("document_type is not null")
-    status = rows.select("file_id", F.when(F.col("document_type") == "unknown", "missing").otherwise("in_place").alias("status"),
-                         F.col("original_path").alias("disk_path"))
-    return transitions.mark_missing_and_moved(rows, status).select("file_id", "is_missing")
+    return transitions.mark_missing_and_moved(t.registry, reconciled(t)).select("file_id", "is_missing", "canonical_path")
+
+
+
+
+@query("register_again", "U1 D7", """
+    SELECT canonical_state, count(*) AS files, count(DISTINCT duplicate_of) AS owners FROM (
+        SELECT 'duplicate' AS canonical_state, o.owner AS duplicate_of FROM fx_files f
+        JOIN (SELECT hash_full, min(file_id) AS owner FROM fx_files GROUP BY 1) o ON f.hash_full = o.hash_full) GROUP BY 1
+    UNION ALL SELECT 'error', 1, 0""")
+def _(t: Tables):
+    """Every registered file is dropped a second time, and one that cannot be read."""
+    rows = t.files.select("file_id", F.col("path").alias("original_path"), F.col("hash_full").alias("content_hash"), F.col("size_bytes").alias("file_size"))
+    broken = t.spark.sql("SELECT '/broken' original_path, CAST(NULL AS STRING) content_hash, 0L file_size")
+    again = transitions.register_batch(rows.drop("file_id").unionByName(broken), rows)
+    return again.groupBy("canonical_state").agg(F.count("*").alias("files"), F.count_distinct("duplicate_of").alias("owners"))
+
+
+def versions(t: Tables):
+    """Many incoming rows a key: the files of each root, in the order of their ids."""
+    return t.files.select("root_id", F.col("doc_id").alias("version"), F.col("name").alias("value"))
+
+
+@query("upsert_repeated_keys", "O3 U7", """
+    SELECT root_id, max(doc_id) AS version, arg_max(name, doc_id) AS value FROM fx_files GROUP BY 1
+    UNION ALL SELECT 'kept', CAST(-1 AS BIGINT), 'old'""")
+def _(t: Tables):
+    current = t.spark.sql("SELECT 'src1' root_id, -1L version, 'old' value UNION ALL SELECT 'kept', -1L, 'old'")
+    return transitions.upsert(current, versions(t), "root_id", ["version"])
+
+
+@query("insert_repeated_keys", "O3 U11", """
+    SELECT root_id, CASE root_id WHEN 'src1' THEN -1 ELSE min(doc_id) END AS version,
+           CASE root_id WHEN 'src1' THEN 'old' ELSE arg_min(name, doc_id) END AS value FROM fx_files GROUP BY 1""")
+def _(t: Tables):
+    current = t.spark.sql("SELECT 'src1' root_id, -1L version, 'old' value")
+    return transitions.insert_absent(current, versions(t), "root_id", ["version"])
+
+
+@query("change_repeated_keys", "U2 U5 U6", """
+    SELECT r.root_id, coalesce(n.value, 'unchanged') AS value FROM (SELECT DISTINCT root_id FROM fx_files) r
+    LEFT JOIN (SELECT root_id, arg_max(name, doc_id) AS value FROM fx_files WHERE root_id <> 'src2' GROUP BY 1) n ON r.root_id = n.root_id""")
+def _(t: Tables):
+    current = t.files.select("root_id").distinct().withColumn("value", F.lit("unchanged"))
+    return transitions.apply_changes(current, versions(t).where("root_id <> 'src2'"), "root_id", ["value"], ["version"])
+
+
+def corrected_twice(t: Tables):
+    unknown = t.registry.where("document_type = 'unknown'").select(F.coalesce("canonical_path", "original_path").alias("path"), "created_at")
+    both = [unknown.select("path", F.lit(kind).alias("correct_type"), F.expr(f"created_at + INTERVAL {day} DAYS").alias("corrected_at"))
+            for kind, day in (("technical_manual", 1), ("medical", 2))]
+    return transitions.correct_types(t.registry, both[0].unionByName(both[1]), REGISTRY_CLOCK)
+
+
+@query("correct_types_newest", "U4 U5", """
+    SELECT file_id, CASE WHEN document_type = 'unknown' THEN 'medical' ELSE document_type END AS document_type FROM fx_registry""")
+def _(t: Tables):
+    return corrected_twice(t)[0].select("file_id", "document_type")
+
+
+@query("correction_log_all", "U4", """
+    SELECT file_id, 'unknown' AS wrong_type, kind AS correct_type FROM fx_registry, (VALUES ('technical_manual'), ('medical')) v(kind)
+    WHERE document_type = 'unknown'""")
+def _(t: Tables):
+    return corrected_twice(t)[1].drop("correction_timestamp")
+
+
+@query("source_history", "U8 J18", """
+    SELECT source_id, count(*) FILTER (document_type IS NULL) AS files_added, CAST(0 AS BIGINT) AS files_updated,
+           count(*) FILTER (document_type = 'unknown') AS files_removed, TIMESTAMP '2024-01-31 00:00:00' AS scanned_at
+    FROM fx_registry GROUP BY 1""")
+def _(t: Tables):
+    rows = t.registry.selectExpr("source_id", "original_path path", "content_hash", "file_size size_bytes", "created_at modified_at", "document_type")
+    found = compare.scan_difference(rows.where("document_type is not null"), rows.where("document_type is distinct from 'unknown'"))
+    return transitions.scan_history_rows(found, REGISTRY_CLOCK).drop("scan_id")
+
+
+@query("source_add", "U8", """
+    SELECT source_id, active FROM (SELECT DISTINCT source_id, TRUE AS active FROM fx_registry) WHERE source_id <> 'src1'
+    UNION ALL SELECT 'src1', FALSE UNION ALL SELECT 'usb', TRUE""")
+def _(t: Tables):
+    sources = t.registry.select("source_id").distinct().withColumn("active", F.lit(True))
+    for source in ({"source_id": "usb", "active": True}, {"source_id": "src1", "active": False}):
+        sources = transitions.add_source(sources, source)
+    return sources

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -34,7 +37,25 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, unless the session has it: Python functions are sent by name."""
+    shared = spark.sparkContext
+    if any(os.path.basename(p).startswith("shelfmark-") for p in shared.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="shelfmark-code-"), f"shelfmark-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("shelfmark", os.path.relpath(path, root)))
+    shared.addPyFile(target)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -46,6 +67,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if shared:
         return f"{shared}/shelfmark-{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix=f"shelfmark-{purpose}-")

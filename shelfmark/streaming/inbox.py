@@ -12,11 +12,11 @@ from shelfmark.sources.files import plain_path
 from shelfmark.functions.hashing import full_hash
 
 
-def watch(spark: SparkSession, folder: str, max_files: int = 1000, lateness: str = "1 hour") -> DataFrame:
+def watch(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """New files of a folder tree, hidden and temporary names skipped.
 
-    Producers must move finished files in; there is no settle delay, because the
-    source remembers a file from the first time it lists it.
+    Producers must move finished files in; there is no settle delay.  The source's own
+    checkpoint emits each path once, whatever the file's modification time.
     """
     raw = (
         spark.readStream.format("binaryFile")
@@ -28,8 +28,6 @@ def watch(spark: SparkSession, folder: str, max_files: int = 1000, lateness: str
     name = paths.name(F.col("path"))
     return (
         raw.where(~F.startswith(name, F.lit(".")) & ~F.startswith(name, F.lit("~")))
-        .withWatermark("modificationTime", lateness)
-        .dropDuplicatesWithinWatermark(["path"])
         .select(
             plain_path(F.col("path")).alias("original_path"),
             full_hash(F.col("content")).alias("content_hash"),
@@ -65,16 +63,17 @@ def process(batch: DataFrame, registry: DataFrame, root: str = "/Canonical", as_
 def batch_processor(registry_path: str, out_path: str, root: str = "/Canonical", as_of=None):
     """foreachBatch function: earlier batches and the base registry are what is known.
 
-    Output folders carry the batch id; a repeated batch overwrites its own folder and
-    never counts its own earlier output as known content.
+    Output is one table partitioned by ``batch``; a repeated batch overwrites its own
+    partition and never counts its own earlier output as known content.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = spark.read.schema(REGISTRY).parquet(registry_path).select("file_id", "content_hash", "is_duplicate")
         if batch_id > 0:
-            earlier = spark.read.parquet(*[f"{out_path}/batch={i}" for i in range(batch_id)])
-            known = known.unionByName(earlier.select("file_id", "content_hash", "is_duplicate"))
-        process(batch, known, root, as_of).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            earlier = spark.read.schema("file_id string, content_hash string, is_duplicate boolean, batch long").parquet(out_path)
+            known = known.unionByName(earlier.where(F.col("batch") < batch_id).drop("batch"))
+        done = process(batch, known, root, as_of).withColumn("batch", F.lit(batch_id).cast("long"))
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out_path)
 
     return run
 
