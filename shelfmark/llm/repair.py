@@ -38,7 +38,7 @@ SHARD_IDS = 1 << 21
 # A pair is frequent if it stands in so large a share of the shard's symbols.
 FREQUENT = 1 / 8192
 ROUNDS = 16
-_BUCKETS = 22
+_BUCKET_BITS = 18
 NO_ID = -(1 << 63)
 
 
@@ -52,22 +52,25 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
     for _ in range(ROUNDS):
         least = max(4, int(len(seq) * FREQUENT))
         pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-        bucket[last[:-1]] = -1
-        counts = np.bincount(bucket + 1, minlength=(1 << _BUCKETS) + 1)
-        counts[0] = 0
-        often = np.flatnonzero((counts >= least)[bucket + 1])
-        if not len(often):
+        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+        bucket[last[:-1]] = 1 << _BUCKET_BITS
+        counts = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
+        counts[-1] = 0
+        often = np.flatnonzero((counts >= least)[bucket])
+        kinds, n = np.unique(pair[often], return_counts=True)
+        order = np.argsort(n, kind="stable")
+        order = order[n[order] >= least]
+        if not len(order):
             break
-        kinds, kind, n = np.unique(pair[often], return_inverse=True, return_counts=True)
-        chosen = np.where(n >= least)[0]
-        if not len(chosen):
-            break
-        chosen = chosen[np.argsort(-n[chosen], kind="stable")]
+        # of pairs in one bucket the most frequent has its turn now
+        owner = np.full((1 << _BUCKET_BITS) + 1, -1, np.int32)
+        owner[((kinds[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)] = order
+        chosen = np.sort(owner[owner >= 0])
         symbol = np.zeros(len(kinds), np.uint32)
         symbol[chosen] = first_rule + n_rules + np.arange(len(chosen), dtype=np.uint32)
-        hit = symbol[kind] > 0
-        at, new = often[hit], symbol[kind[hit]]
+        own = owner[bucket[often]]
+        hit = (own >= 0) & (kinds[own] == pair[often])
+        at, new = often[hit], symbol[own[hit]]
         # of pairs that overlap in a run, every other one is replaced
         run = np.cumsum(np.diff(at, prepend=-2) != 1)
         first = np.searchsorted(run, run)
