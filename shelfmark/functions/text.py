@@ -19,8 +19,8 @@ NEGATIVE_WORDS = ("bad", "error", "failure", "denied", "rejected", "urgent", "ov
 
 # Text patterns.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-# one character class: an alternation inside a repeated group recurses with the length of the address
-URL = r"http[s]?://(?:[a-zA-Z0-9$-_@.&+!*\\(),]|%[0-9a-fA-F]{2})[a-zA-Z0-9$-_@.&+!*\\(),%]*"
+# one character class ($-_ holds the percent sign): an alternation inside a repeated group recurses with the length of the address
+URL = r"http[s]?://[a-zA-Z0-9$-_@.&+!*\\(),]+"
 NUMERIC_DATE = r"\b(\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2})\b"
 AMOUNT = r"\$\s?([\d,]+\.?\d{0,2})"
 INVOICE_NUMBER = r"(?i)(?:invoice|inv|bill)[\s#:]*([A-Z0-9-]+)"
