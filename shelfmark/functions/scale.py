@@ -1,8 +1,8 @@
 """Building blocks that keep group-shaped work safe when a few keys are hot.
 
-The HOT_KEYS_MAX largest keys (above a floor) are *hot*.  Their number is bounded by
-construction, which is what makes them safe to broadcast, and any other key holds at
-most 1/HOT_KEYS_MAX of the rows.
+The HOT_KEYS_MAX largest keys are *hot*, whatever the size of the input.  Their number is
+bounded by construction, which is what makes them safe to broadcast, and any other key
+holds at most 1/HOT_KEYS_MAX of the rows.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_KEYS_MAX = 1000
-HOT_ROWS_MIN = 100_000
-HOT_SPLITS = 64
+# Rows a hot key must have; callers may raise it where splitting small keys is not worth a row range.
+HOT_ROWS_MIN = 0
 # Two hex digits of an md5: 256 ordered sub-ranges of a hot key.
 RANK_PREFIX = 2
 
@@ -51,26 +51,19 @@ def join_groups(
     """Join each row to its one-row-per-key group, without gathering a hot group.
 
     ``groups`` carries the member count in ``n_col``.  Rows of the largest groups get
-    their group from a broadcast of at most HOT_KEYS_MAX rows and are dealt over
-    HOT_SPLITS partitions by a hash of ``row_id``; all other rows meet their group in
-    an ordinary shuffle join.  Both uses need the same aggregated columns, so the
-    aggregation below ``groups`` is shuffled once.
+    their group from a broadcast of at most HOT_KEYS_MAX rows and are not shuffled at
+    all; the other rows meet theirs in an ordinary shuffle join.  Callers keep texts out
+    of ``rows``.  ``row_id`` names the rows and is kept for callers that number them.
     """
     values = [c for c in groups.columns if c not in keys]
     # stated once here, the null check sits below both uses of the aggregation alike
     groups = groups.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, n_col]]))
     kept = [F.col(c) for c in rows.columns]
-    hot = largest_groups(groups, n_col, floor).select(*keys, F.struct(*values).alias("_hot"))
-    deal = F.pmod(F.xxhash64(row_id), F.lit(HOT_SPLITS)).cast("int") + 1
-    left = rows.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_part", F.when(F.col("_hot").isNotNull(), deal).otherwise(F.lit(0))
-    )
-    # always zero, but no literal: a literal would be folded out of the join keys
-    right = groups.select(*keys, F.struct(*values).alias("_cold"), F.pmod(F.col(n_col), F.lit(1)).cast("int").alias("_part"))
-    joined = left.join(right, [*keys, "_part"], "left").withColumn("_group", F.coalesce("_hot", "_cold"))
-    if how == "inner":
-        joined = joined.where(F.col("_group").isNotNull())
-    return joined.select(*kept, *[F.col(f"_group.{v}").alias(v) for v in values])
+    hot = largest_groups(groups, n_col, floor).select(*keys, F.struct(*values).alias("_group"))
+    marked = rows.join(F.broadcast(hot), list(keys), "left")
+    few = marked.where(F.col("_group").isNotNull()).select(*kept, *[F.col(f"_group.{v}").alias(v) for v in values])
+    rest = marked.where(F.col("_group").isNull()).select(*kept)
+    return few.unionByName(rest.join(groups.select(*keys, *values), list(keys), how).select(*kept, *values))
 
 
 def number_rows(

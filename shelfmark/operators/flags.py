@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import rule_tables as tables
 from shelfmark.functions.globs import matches_any
-from shelfmark.functions.scale import join_groups
 
 
 def clock(as_of: str | Column | None) -> Column:
@@ -76,8 +75,8 @@ def classify_candidates(files: DataFrame, min_size: int = 0, extensions: Sequenc
     return files.where(keep)
 
 
-def movable(files: DataFrame, exclude: str = "members") -> DataFrame:
-    """Files a plan may move: not temporary, not stale, not duplicates.
+def is_movable(exclude: str = "members") -> Column:
+    """Not temporary, not stale, no duplicate.
 
     ``exclude="members"`` leaves out whole duplicate groups (keeper included);
     ``"non_canonical"`` keeps each group's keeper.
@@ -85,7 +84,12 @@ def movable(files: DataFrame, exclude: str = "members") -> DataFrame:
     duplicate = F.coalesce(F.col("is_duplicate"), F.lit(False))
     if exclude == "non_canonical":
         duplicate = duplicate & ~F.coalesce(F.col("is_canonical"), F.lit(False))
-    return files.where(~duplicate & ~F.col("is_orphaned") & ~F.col("is_temp"))
+    return ~duplicate & ~F.col("is_orphaned") & ~F.col("is_temp")
+
+
+def movable(files: DataFrame, exclude: str = "members") -> DataFrame:
+    """Files a plan may move."""
+    return files.where(is_movable(exclude))
 
 
 def placeholder_decision(status: Column, behavior: str | Column, error: Column | None = None) -> Column:
@@ -119,4 +123,5 @@ def trainable(registry: DataFrame, min_confidence: float = 0.70, min_per_type: i
         & (F.col("confidence") >= min_confidence)
     )
     types = rows.groupBy("document_type").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_per_type)
-    return join_groups(rows, types, ["document_type"], "_n", "file_id").drop("_n")
+    # left to the planner: it broadcasts the types when their measured size is small
+    return rows.join(types.select("document_type"), "document_type", "left_semi").select(*registry.columns)

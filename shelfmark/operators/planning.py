@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from shelfmark.functions.hashing import stable_id
 from shelfmark.functions.rule_tables import CATEGORY_TEMPLATES
 from shelfmark.functions.scale import HOT_ROWS_MIN, number_rows
 from shelfmark.operators.dedup import redundant_copies
-from shelfmark.operators.flags import clock, movable
+from shelfmark.operators.flags import clock, is_movable, movable
 
 ROOT = "/Repository"
 PATH_LIMIT = 260
@@ -34,18 +33,17 @@ def action_rows(df: DataFrame, target: Column, rule: Column, reason: Column) ->
     )
 
 
-def quarantine(files: DataFrame, members: DataFrame, as_of=None) -> DataFrame:
-    """Every copy but the keeper goes to a dated quarantine folder."""
-    copies = redundant_copies(files, members)
+def _quarantine(group: Column, as_of=None) -> tuple[Column, Column, Column]:
+    """(target, rule, reason) of a copy in a duplicate group."""
     target = F.concat(
         F.lit("Quarantine/Duplicates_"), F.date_format(clock(as_of), "yyyy-MM-dd"), F.lit("/"), F.col("name")
     )
-    return action_rows(
-        copies,
-        target,
-        F.lit("duplicate_quarantine"),
-        F.concat(F.lit("Duplicate (group "), F.col("group_id"), F.lit(")")),
-    )
+    return target, F.lit("duplicate_quarantine"), F.concat(F.lit("Duplicate (group "), group, F.lit(")"))
+
+
+def quarantine(files: DataFrame, members: DataFrame, as_of=None) -> DataFrame:
+    """Every copy but the keeper goes to a dated quarantine folder."""
+    return action_rows(redundant_copies(files, members), *_quarantine(F.col("group_id"), as_of))
 
 
 def category_targets(
@@ -79,6 +77,11 @@ def category_targets(
     return F.concat(F.lit(root + "/"), folder, F.lit("/"), name)
 
 
+def _reorganise(target: Column) -> tuple[Column, Column, Column]:
+    category = F.col("file_category")
+    return target, F.concat(F.lit("reorganize_"), category), F.concat(F.lit("Reorganize to "), category, F.lit(" structure"))
+
+
 def reorganise(
     files: DataFrame,
     root: str = ROOT,
@@ -88,32 +91,48 @@ def reorganise(
 ) -> DataFrame:
     """Files whose category template puts them somewhere else."""
     placed = movable(files, exclude).withColumn("_target", category_targets(root, category_templates, rename))
-    category = F.col("file_category")
-    return action_rows(
-        placed.where(F.col("_target").isNotNull() & (F.col("_target") != F.col("path"))),
-        F.col("_target"),
-        F.concat(F.lit("reorganize_"), category),
-        F.concat(F.lit("Reorganize to "), category, F.lit(" structure")),
-    )
+    elsewhere = F.col("_target").isNotNull() & (F.col("_target") != F.col("path"))
+    return action_rows(placed.where(elsewhere), *_reorganise(F.col("_target")))
 
 
-def archive(files: DataFrame, root: str = ROOT, as_of=None) -> DataFrame:
-    """Stale files go to Archive/category/year."""
+def _archive(root: str, as_of=None) -> tuple[Column, Column, Column]:
     target = F.concat_ws(
         "/", F.lit(root), F.lit("Archive"), F.col("file_category"), F.date_format(clock(as_of), "yyyy"), F.col("name")
     )
-    return action_rows(
-        files.where("is_orphaned"),
-        target,
-        F.lit("lifecycle_archive"),
-        F.lit("Orphaned file (not accessed recently)"),
-    )
+    return target, F.lit("lifecycle_archive"), F.lit("Orphaned file (not accessed recently)")
+
+
+def archive(files: DataFrame, root: str = ROOT, as_of=None) -> DataFrame:
+    """Stale files go to Archive/category/year."""
+    return action_rows(files.where("is_orphaned"), *_archive(root, as_of))
 
 
-def full_plan(files: DataFrame, members: DataFrame, root: str = ROOT, as_of=None, **options) -> DataFrame:
-    """Quarantine, reorganisation and archive actions together."""
-    parts = [quarantine(files, members, as_of), reorganise(files, root, **options), archive(files, root, as_of)]
-    return reduce(DataFrame.unionByName, parts)
+def full_plan(
+    files: DataFrame,
+    members: DataFrame,
+    root: str = ROOT,
+    as_of=None,
+    category_templates: Mapping[str, str] = CATEGORY_TEMPLATES,
+    rename: bool = False,
+    exclude: str = "members",
+) -> DataFrame:
+    """Quarantine, reorganisation and archive actions together, in one pass over the files.
+
+    Each file meets the groups it is a copy in (a handful at most) once, and unfolds into
+    its actions.
+    """
+    def action(parts: tuple[Column, Column, Column]) -> Column:
+        return F.struct(*[c.alias(n) for c, n in zip(parts, ("target", "rule", "reason"), strict=True)])
+
+    copies = members.where(~F.col("is_canonical")).groupBy("file_id").agg(F.collect_list("group_id").alias("_groups"))
+    placed = files.join(copies, "file_id", "left").withColumn("_target", category_targets(root, category_templates, rename))
+    elsewhere = is_movable(exclude) & F.col("_target").isNotNull() & (F.col("_target") != F.col("path"))
+    quarantined = F.transform(F.coalesce("_groups", F.array().cast("array<string>")), lambda g: action(_quarantine(g, as_of)))
+    moved = F.array_compact(
+        F.array(F.when(elsewhere, action(_reorganise(F.col("_target")))), F.when(F.col("is_orphaned"), action(_archive(root, as_of))))
+    )
+    unfolded = placed.withColumn("_action", F.explode(F.concat(quarantined, moved)))
+    return action_rows(unfolded, F.col("_action.target"), F.col("_action.rule"), F.col("_action.reason"))
 
 
 def plan_summary(actions: DataFrame) -> DataFrame:
@@ -245,6 +264,23 @@ def suffixed(path: Column, n: Column) -> Column:
     return F.concat(F.left(path, F.length(path) - F.length(ext)), F.lit("_"), n.cast("string"), ext)
 
 
+def _taken_numbers(taken: DataFrame) -> DataFrame:
+    """``target_path, _gaps``: for each name, how many free numbers lie below each of its taken ones, in order.
+
+    ``/a/x_2.pdf`` is number 2 of ``/a/x.pdf``.  Numbers are distinct, so the i-th taken
+    number t leaves t - i free ones below it.
+    """
+    path = F.col("resolved_path")
+    ext = paths.suffix_of_name(paths.name(path))
+    stem = F.left(path, F.length(path) - F.length(ext))
+    numbered = taken.select(
+        F.concat(F.regexp_extract(stem, r"(?s)^(.*)_([1-9][0-9]{0,8})$", 1), ext).alias("target_path"),
+        F.regexp_extract(stem, r"_([1-9][0-9]{0,8})$", 1).alias("_number"),
+    ).where("_number <> ''")
+    lists = numbered.groupBy("target_path").agg(F.array_sort(F.collect_set(F.col("_number").cast("long"))).alias("_numbers"))
+    return lists.select("target_path", F.transform("_numbers", lambda t, i: t - i - 1).alias("_gaps"))
+
+
 def resolve_names(
     actions: DataFrame,
     inventory: DataFrame | None = None,
@@ -253,34 +289,26 @@ def resolve_names(
 ) -> DataFrame:
     """Give every action its own free target in ``resolved_path``.
 
-    The first claimant keeps a free target; later ones get ``_1``, ``_2``, ... (all of
-    them when the target already exists).  Numbered names of different targets never
-    meet, so the only remaining clash is with a path that exists or that somebody asks
-    for; such a name also gets a part of its action id.
+    The first claimant keeps a free target; each later one (all of them when the target
+    already exists) takes the next number whose name is neither on disk nor asked for by
+    another action: the k-th claimant gets the k-th free number.  Numbered names of
+    different targets never meet, because a name that is also a target counts as taken.
     """
     taken = actions.select(F.col("target_path").alias("resolved_path"))
     numbered = number_rows(actions, ["target_path"], row_id, "_n", floor)
-    offset = F.col("_n") - 1
+    turn = F.col("_n") - 1
     if inventory is not None:
         paths_on_disk = inventory.select(F.col("path").alias("resolved_path"))
         taken = taken.unionByName(paths_on_disk)
         existing = paths_on_disk.distinct().select(F.col("resolved_path").alias("target_path"), F.lit(1).alias("_exists"))
         numbered = numbered.join(existing, "target_path", "left")
-        offset = offset + F.coalesce("_exists", F.lit(0))
-    named = numbered.withColumn("_offset", offset).withColumn(
-        "resolved_path",
-        F.when(F.col("_offset") > 0, suffixed(F.col("target_path"), F.col("_offset"))).otherwise(F.col("target_path")),
-    )
-    clash = taken.distinct().withColumn("_clash", F.lit(True))
-    unique = suffixed(F.col("resolved_path"), F.left(F.sha2(F.col(row_id).cast("string"), 256), F.lit(12)))
-    return (
-        named.join(clash, "resolved_path", "left")
-        .withColumn(
-            "resolved_path",
-            F.when(F.col("_clash") & (F.col("_offset") > 0), unique).otherwise(F.col("resolved_path")),
-        )
-        .drop("_n", "_offset", "_exists", "_clash")
-    )
+        turn = turn + F.coalesce("_exists", F.lit(0))
+    named = numbered.withColumn("_turn", turn).join(_taken_numbers(taken), "target_path", "left")
+    skipped = F.coalesce(F.size(F.filter("_gaps", lambda g: g < F.col("_turn"))), F.lit(0))
+    number = F.col("_turn") + F.greatest(skipped, F.lit(0))
+    return named.withColumn(
+        "resolved_path", F.when(F.col("_turn") > 0, suffixed(F.col("target_path"), number)).otherwise(F.col("target_path"))
+    ).drop("_n", "_turn", "_exists", "_gaps")
 
 
 def apply_conflict_policy(actions: DataFrame, strategy: str, floor: int = HOT_ROWS_MIN) -> DataFrame:
@@ -300,6 +328,8 @@ def apply_conflict_policy(actions: DataFrame, strategy: str, floor: int = HOT_RO
         "newest": F.struct(F.col("modified_at"), F.col("action_id")) if "modified_at" in actions.columns else None,
         "largest": F.struct(F.col("file_size"), F.col("action_id")),
     }[strategy]
+    if order is None:
+        raise ValueError("the policy 'newest' needs a column modified_at")
     pick = F.min_by if strategy == "skip" else F.max_by
     # map-side combined: one surviving row per target, never a whole group in one task
     winners = actions.groupBy("target_path").agg(pick(F.struct(*[c for c in actions.columns if c != "target_path"]), order).alias("w"))

@@ -92,9 +92,11 @@ def _(t: Tables):
     SELECT action_id, CASE WHEN k = 0 THEN target_path ELSE regexp_replace(target_path, '\\.pdf$', '') || '_' || k || '.pdf' END
            AS resolved_path FROM (
         SELECT *, row_number() OVER (PARTITION BY target_path ORDER BY md5(action_id), action_id) - 1
-               + CASE WHEN contains(target_path, 'red') THEN 1 ELSE 0 END AS k FROM ({BIG_ACTIONS}))""")
+               + CASE WHEN contains(target_path, 'red') THEN 2 ELSE 0 END AS k FROM ({BIG_ACTIONS}))""")
 def _(t: Tables):
-    on_disk = part_actions(t).where(F.contains("target_path", F.lit("red"))).select(F.col("target_path").alias("path"))
+    """Names with red exist already, and so do their first numbers."""
+    red = part_actions(t).where(F.contains("target_path", F.lit("red"))).select(F.col("target_path").alias("path"))
+    on_disk = red.unionByName(red.select(F.regexp_replace("path", r"\.pdf$", "_1.pdf").alias("path")))
     return planning.resolve_names(part_actions(t), on_disk).select("action_id", "resolved_path")
 
 
