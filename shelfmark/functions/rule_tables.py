@@ -267,50 +267,53 @@ DOMAIN_INDICATORS = {
     },
 }
 
-# Common extensions per (category, subcategory), later definitions already
-# applied.  Larger taxonomies come from a file: sources.tabular.read_taxonomy.
+# Extensions per (category, subcategory).  Where an extension stands twice the
+# later one counts.  Other taxonomies come from a file: sources.tabular.read_taxonomy.
 TAXONOMY = {
-    ("documents", "text_documents"): ".txt .rtf .md .markdown .csv .tsv",
-    ("documents", "word_processing"): ".doc .docx .odt .pages",
-    ("documents", "spreadsheets"): ".xls .xlsx .xlsm .ods",
-    ("documents", "presentations"): ".ppt .pptx .pps .odp",
-    ("documents", "pdfs"): ".pdf",
-    ("documents", "ebooks"): ".epub .mobi .azw3",
-    ("documents", "notes"): ".one .enex",
-    ("media", "photos"): ".jpg .jpeg .png .gif .bmp .tiff .tif .webp .heic .raw .cr2 .nef .arw .dng",
-    ("media", "vector_graphics"): ".svg .ai .eps",
-    ("media", "videos"): ".mp4 .mkv .avi .mov .wmv .flv .webm .m4v .mpg .mpeg",
-    ("media", "audio"): ".mp3 .wav .flac .aac .m4a .ogg .wma",
-    ("media", "graphics_projects"): ".psd .xcf .sketch .fig",
-    ("code", "source_code"): ".py .js .ts .jsx .tsx .java .cpp .c .h .hpp .cs .rb .go .rs .php .swift .kt .scala .r",
-    ("code", "web"): ".html .htm .css .scss .vue",
-    ("code", "scripts"): ".sh .bash .ps1 .vbs",
-    ("code", "config"): ".json .yaml .yml .toml .conf .cfg .env .properties .xml",
-    ("code", "notebooks"): ".ipynb .rmd",
-    ("code", "sql"): ".sql",
-    ("archives", "compressed"): ".zip .rar .7z .tar .gz .bz2 .xz",
-    ("archives", "tar_archives"): ".tgz",
-    ("archives", "disk_images"): ".iso .img",
-    ("executables", "windows_executables"): ".bat .cmd .com",
-    ("executables", "linux_binaries"): ".so .appimage .snap",
-    ("executables", "macos_binaries"): ".app .dmg .dylib",
-    ("executables", "installers"): ".msi .exe .pkg .deb .rpm .run",
-    ("design", "cad"): ".dwg .dxf .stl .step .stp .iges .obj .fbx .blend",
-    ("email", "email_messages"): ".eml .msg .mbox",
-    ("email", "email_databases"): ".pst .ost",
-    ("virtual_machines", "vm_disks"): ".vmdk .vdi .vhd .vhdx .qcow2",
-    ("virtual_machines", "vm_configs"): ".vmx .ovf .ova",
-    ("fonts", "truetype"): ".ttf",
-    ("fonts", "opentype"): ".otf",
-    ("fonts", "web_fonts"): ".woff .woff2 .eot",
-    ("system", "temp_files"): ".tmp .temp .cache",
-    ("system", "logs"): ".log .trace .out .err",
-    ("system", "system_files"): ".sys .ini .dat .dll .ico .lnk",
-    ("backups", "backup_archives"): ".bak .backup .old .save",
-    ("databases", "sqlite"): ".db .sqlite .sqlite3",
-    ("databases", "other_dbs"): ".mdb .accdb .nsf .dbf",
-    ("security", "certificates"): ".crt .cer .p12 .pfx",
-    ("security", "keys"): ".key .pub .ppk .pem",
+    ("documents", "text_documents"): (".txt", ".rtf", ".md", ".markdown", ".log", ".csv", ".tsv"),
+    ("documents", "word_processing"): (".doc", ".docx", ".odt", ".pages", ".wpd", ".wps"),
+    ("documents", "spreadsheets"): (".xls", ".xlsx", ".xlsm", ".xlsb", ".ods", ".numbers", ".gnumeric"),
+    ("documents", "presentations"): (".ppt", ".pptx", ".pps", ".ppsx", ".odp", ".key"),
+    ("documents", "pdfs"): (".pdf",),
+    ("documents", "ebooks"): (".epub", ".mobi", ".azw", ".azw3", ".fb2", ".lit", ".lrf", ".cbr", ".cbz"),
+    ("documents", "notes"): (".one", ".onenote", ".note", ".enex", ".nb"),
+    ("media", "photos"): (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".heic", ".heif", ".raw", ".cr2", ".nef", ".arw", ".dng"),
+    ("media", "vector_graphics"): (".svg", ".ai", ".eps", ".ps", ".cdr", ".emf", ".wmf"),
+    ("media", "videos"): (".mp4", ".mkv", ".avi", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".mpg", ".mpeg", ".3gp", ".ogv", ".vob", ".mts", ".m2ts"),
+    ("media", "audio"): (".mp3", ".wav", ".flac", ".aac", ".m4a", ".ogg", ".wma", ".opus", ".ape", ".alac", ".aiff"),
+    ("media", "graphics_projects"): (".psd", ".xcf", ".kra", ".clip", ".sai", ".psb", ".sketch", ".fig", ".xd"),
+    ("code", "source_code"): (".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".cpp", ".c", ".h", ".hpp", ".cs", ".rb", ".go", ".rs", ".php", ".swift", ".kt", ".scala", ".r", ".m", ".mm"),
+    ("code", "web"): (".html", ".htm", ".css", ".scss", ".sass", ".less", ".vue", ".svelte", ".asp", ".aspx", ".jsp"),
+    ("code", "scripts"): (".sh", ".bash", ".zsh", ".fish", ".ps1", ".bat", ".cmd", ".vbs", ".ahk"),
+    ("code", "config"): (".json", ".yaml", ".yml", ".toml", ".ini", ".conf", ".cfg", ".env", ".properties", ".xml"),
+    ("code", "notebooks"): (".ipynb", ".rmd", ".qmd"),
+    ("code", "sql"): (".sql", ".sqlite", ".db", ".mdb", ".accdb"),
+    ("archives", "compressed"): (".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz", ".lz", ".lzma", ".z"),
+    ("archives", "tar_archives"): (".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz"),
+    ("archives", "disk_images"): (".iso", ".img", ".dmg", ".vhd", ".vhdx", ".vmdk", ".qcow2"),
+    ("executables", "windows_executables"): (".exe", ".msi", ".dll", ".sys", ".bat", ".cmd", ".com", ".scr"),
+    ("executables", "linux_binaries"): (".so", ".deb", ".rpm", ".appimage", ".snap", ".flatpak"),
+    ("executables", "macos_binaries"): (".app", ".dmg", ".pkg", ".dylib", ".bundle"),
+    ("executables", "installers"): (".msi", ".exe", ".pkg", ".deb", ".rpm", ".run"),
+    ("design", "cad"): (".dwg", ".dxf", ".dgn", ".stl", ".step", ".stp", ".iges", ".igs", ".obj", ".fbx", ".3ds", ".blend", ".max", ".c4d"),
+    ("design", "design_projects"): (".indd", ".idml", ".afdesign", ".afphoto", ".afpub"),
+    ("email", "email_messages"): (".eml", ".msg", ".emlx", ".mbox"),
+    ("email", "email_databases"): (".pst", ".ost", ".nsf", ".dbx"),
+    ("virtual_machines", "vm_disks"): (".vmdk", ".vdi", ".vhd", ".vhdx", ".qcow2", ".hdd"),
+    ("virtual_machines", "vm_configs"): (".vmx", ".ovf", ".ova", ".vbox"),
+    ("virtual_machines", "containers"): (".dockerfile", ".docker"),
+    ("fonts", "truetype"): (".ttf", ".ttc"),
+    ("fonts", "opentype"): (".otf",),
+    ("fonts", "web_fonts"): (".woff", ".woff2", ".eot"),
+    ("system", "temp_files"): (".tmp", ".temp", ".cache", ".bak", ".old", ".~*"),
+    ("system", "logs"): (".log", ".trace", ".out", ".err"),
+    ("system", "system_files"): (".sys", ".ini", ".dat", ".dll", ".ico", ".lnk"),
+    ("backups", "backup_archives"): (".bak", ".backup", ".old", ".save"),
+    ("backups", "time_machine"): (".sparsebundle", ".backupbundle"),
+    ("databases", "sqlite"): (".db", ".sqlite", ".sqlite3", ".db3"),
+    ("databases", "other_dbs"): (".mdb", ".accdb", ".fdb", ".gdb", ".nsf", ".dbf"),
+    ("security", "certificates"): (".pem", ".crt", ".cer", ".der", ".p12", ".pfx", ".p7b", ".p7c"),
+    ("security", "keys"): (".key", ".pub", ".ppk", ".pem"),
 }
 
 # Name patterns that decide the category before the extension does.

@@ -167,8 +167,10 @@ def labels_of(model: PipelineModel) -> list[str]:
 
 
 def _probability_map(probability: Column, labels: Sequence[str]) -> Column:
-    # index len(labels) is the bucket for unseen labels and is never predicted
-    values = F.slice(probability, 1, len(labels))
+    # index len(labels) is the bucket for unseen labels: its share goes to the known ones
+    known = F.slice(probability, 1, len(labels))
+    total = F.aggregate(known, F.lit(0.0), lambda a, b: a + b)
+    values = F.transform(known, lambda p: F.try_divide(p, total))
     return F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), values)
 
 
@@ -199,15 +201,21 @@ def _with_method(df: DataFrame, threshold: float | None) -> DataFrame:
 
 
 def soft_vote(models: Sequence[PipelineModel], docs: DataFrame, id_col: str, threshold: float | None = None) -> DataFrame:
-    """Average of the members' probabilities, largest wins."""
-    parts = [
-        predict(m, docs, id_col).select(id_col, F.explode("probabilities").alias("category", "p")) for m in models
-    ]
-    mean = reduce(DataFrame.unionByName, parts).groupBy(id_col, "category").agg((F.sum("p") / len(models)).alias("p"))
-    # one entry per class and document: the list is bounded by the number of classes
-    voted = mean.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("category", "p"))).alias("probabilities")
-    )
+    """Average of the members' probabilities, largest wins.
+
+    The members run one after the other on the same rows and are averaged in the row, so
+    nothing is shuffled.
+    """
+    rows, members = docs, []
+    for k, model in enumerate(models):
+        labels = labels_of(model)
+        scored = model.transform(rows if "label" in rows.columns else rows.withColumn("label", F.lit(labels[0])))
+        own = _probability_map(vector_to_array("probability"), labels).alias(f"_member{k}")
+        members.append((F.col(f"_member{k}"), labels))
+        rows = scored.select(*rows.columns, own)
+    categories = sorted({c for _, labels in members for c in labels})
+    mean = [reduce(lambda a, b: a + b, [F.coalesce(m[c], F.lit(0.0)) for m, _ in members]) / len(members) for c in categories]
+    voted = rows.withColumn("probabilities", F.map_from_arrays(F.array(*[F.lit(c) for c in categories]), F.array(*mean)))
     return _with_method(_best(voted, []).select(id_col, "predicted_category", "confidence", "probabilities"), threshold)
 
 
@@ -323,9 +331,16 @@ def _cascade_result(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def preset(name: str, available: dict[str, Stage]) -> list[tuple[str, float, Stage]]:
-    """Stages of a named preset that have an implementation here."""
-    wanted = CASCADE_PRESETS.get(name, CASCADE_PRESETS["default"])
-    return [(stage, cut, available[stage]) for stage, cut in wanted if stage in available]
+    """Stages of a named preset, in order; a stage without an implementation is an error.
+
+    ``CASCADE_PRESETS[name]`` lists what to supply; hosted and transformer models are the
+    caller's own functions.
+    """
+    wanted = CASCADE_PRESETS[name]
+    missing = [stage for stage, _ in wanted if stage not in available]
+    if missing:
+        raise ValueError(f"preset {name!r} needs stages that were not supplied: {', '.join(missing)}")
+    return [(stage, cut, available[stage]) for stage, cut in wanted]
 
 
 def predict_with_all(docs: DataFrame, stages: Sequence[tuple[str, Stage]], id_col: str) -> DataFrame:

@@ -88,6 +88,22 @@ def _(t: Tables):
     return categories.with_category(t.files).select("file_id", "file_category", "file_subcategory")
 
 
+ALL_EXTENSIONS = categories.extension_rows(tables.TAXONOMY)
+TAXONOMY_VALUES = ", ".join(f"({i}, {rs.text(e)}, {rs.text(c)}, {rs.text(u)})" for i, (e, c, u) in enumerate(ALL_EXTENSIONS))
+
+
+@query("classify_all_extensions", "C7 J12", f"""
+    SELECT f.file_id, v.extension, CASE WHEN v.extension IN ('.tmp', '.temp') THEN 'system' WHEN v.extension IN ('.cache', '.log', '.trace')
+           THEN 'system' ELSE v.category END AS file_category, CASE WHEN v.extension IN ('.tmp', '.temp') THEN 'temp_files'
+           WHEN v.extension IN ('.cache', '.log', '.trace') THEN 'logs' ELSE v.sub END AS file_subcategory
+    FROM fx_files f JOIN (VALUES {TAXONOMY_VALUES}) v(i, extension, category, sub) ON f.doc_id % {len(ALL_EXTENSIONS)} = v.i""")
+def _(t: Tables):
+    """Every extension of the table in turn."""
+    ext = F.element_at(F.array(*[F.lit(e) for e, _, _ in ALL_EXTENSIONS]), (F.col("doc_id") % len(ALL_EXTENSIONS) + 1).cast("int"))
+    files = t.files.withColumn("extension", ext).withColumn("name", F.concat(F.lit("f"), F.col("doc_id"), F.col("extension")))
+    return categories.with_category(files).select("file_id", "extension", "file_category", "file_subcategory")
+
+
 @query("classify_category_by_mime", "C7 X9", """
     SELECT file_id, CASE WHEN extension IN ('.tmp', '.log') THEN 'system' WHEN extension IN ('.txt', '.md', '.py', '.pdf')
            THEN 'documents' WHEN extension = '.jpg' THEN 'media' WHEN extension = '.zip' THEN 'archives' ELSE 'other' END

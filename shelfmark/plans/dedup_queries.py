@@ -114,7 +114,7 @@ def normalized_sql(column: str) -> str:
     return f"trim(lower({column}))"
 
 
-@query("fuzzy_names_levenshtein", "D3 J13 X1", f"""
+FUZZY_PAIRS = f"""
     WITH rows_ AS (SELECT file_id, folder, size_bytes, size_bytes // 1024 AS kb, {normalized_sql('name')} AS norm FROM fx_names),
     prof AS (SELECT folder, kb, norm, size_bytes, min(file_id) AS rep FROM rows_ GROUP BY ALL)
     SELECT p.rep AS file_a, r.file_id AS file_b, CAST(1 AS DOUBLE) AS similarity, 'same_name' AS relation
@@ -124,10 +124,26 @@ def normalized_sql(column: str) -> str:
         SELECT a.rep AS file_a, b.rep AS file_b, round(1 - levenshtein(a.norm, b.norm)
                / CAST(greatest(length(a.norm), length(b.norm), 1) AS DOUBLE), 6) AS similarity, 'similar_name' AS relation
         FROM prof a JOIN prof b ON a.folder = b.folder AND a.kb = b.kb AND a.rep < b.rep
-         AND abs(a.size_bytes - b.size_bytes) <= CAST(a.size_bytes AS DOUBLE) * 0.1) WHERE similarity >= 0.7""")
+         AND abs(a.size_bytes - b.size_bytes) <= CAST(a.size_bytes AS DOUBLE) * 0.1) WHERE similarity >= 0.7"""
+
+
+@query("fuzzy_names_levenshtein", "D3 J13 X1", FUZZY_PAIRS)
+def _(t: Tables):
+    return levenshtein_pairs(t).withColumn("similarity", F.round("similarity", 6))
+
+
+def levenshtein_pairs(t: Tables):
+    return fuzzy.fuzzy_pairs(flags.exact_candidates(t.names, 1024), threshold=0.7, measure="levenshtein")
+
+
+@query("dup_components", "D8", f"""SELECT * FROM (
+    WITH RECURSIVE p AS (SELECT file_a, file_b FROM ({FUZZY_PAIRS})),
+    e AS (SELECT file_a AS x, file_b AS y FROM p UNION SELECT file_b, file_a FROM p),
+    r AS (SELECT x AS file_id, x AS reached FROM e UNION SELECT r.file_id, e.y FROM r JOIN e ON r.reached = e.x)
+    SELECT file_id, min(reached) AS group_id FROM r GROUP BY 1)""")
 def _(t: Tables):
-    pairs = fuzzy.fuzzy_pairs(flags.exact_candidates(t.names, 1024), threshold=0.7, measure="levenshtein")
-    return pairs.withColumn("similarity", F.round("similarity", 6))
+    return fuzzy.linked_groups(levenshtein_pairs(t))
+
 
 
 @query("fuzzy_names_ratio", "D3 X25")

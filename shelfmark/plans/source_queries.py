@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.operators import categories
-from shelfmark.plans.fixtures import Tables
+from shelfmark.plans.fixtures import EXTENSIONS, Tables
 from shelfmark.plans.registry import query
 from shelfmark.sources import files as file_source
 from shelfmark.sources import tabular
@@ -39,13 +41,13 @@ def _(t: Tables):
     return rows.select("file_id", F.to_json(F.struct("file_id", "file_name", "canonical_state")).alias("value"))
 
 
-@query("mime_types", "X9", """
-    SELECT extension, CASE extension WHEN '.pdf' THEN 'application/pdf' WHEN '.txt' THEN 'text/plain' WHEN '.jpg' THEN 'image/jpeg'
-           WHEN '.json' THEN 'application/json' WHEN '.zip' THEN 'application/zip' END AS mime_type, count(*) AS count
-    FROM fx_files WHERE extension IN ('.pdf', '.txt', '.jpg', '.json', '.zip') GROUP BY 1""")
+MIME = {e: mimetypes.guess_type(f"x{e}")[0] for e in EXTENSIONS}
+MIME_CASE = " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in MIME.items() if m)
+
+
+@query("mime_types", "X9", f"SELECT extension, CASE extension {MIME_CASE} END AS mime_type, count(*) AS count FROM fx_files GROUP BY 1")
 def _(t: Tables):
-    typed = categories.with_mime_type(t.files, [".pdf", ".txt", ".jpg", ".json", ".zip"])
-    return typed.where("mime_type is not null").groupBy("extension", "mime_type").agg(F.count("*").alias("count"))
+    return categories.with_mime_type(t.files, EXTENSIONS).groupBy("extension", "mime_type").agg(F.count("*").alias("count"))
 
 
 @query("catalog_records", "F1 S5", """
