@@ -10,13 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.session import shared_folder
+from shelfmark.session import shared_folder, ship_package
 
 # Text bytes a Python task works on at a time; longer texts form a slice of their own.
 SLICE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 

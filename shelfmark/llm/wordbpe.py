@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import operator
 import re
 import unicodedata
 from array import array
@@ -43,6 +44,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_ID = operator.attrgetter("id")
 _MAPPED = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
 
@@ -93,7 +95,7 @@ class WordBpe:
         return [token[1:]] if token[0] == "\0" else [mapped(p) for p in _PIECES.findall(token)]
 
     def ids_of_piece(self, piece: str) -> list[int]:
-        return [t.id for t in self._whole.tokenize(piece)] if len(piece) <= 2 * _LEAF else self.tree(piece)
+        return list(map(_ID, self._whole.tokenize(piece))) if len(piece) <= 2 * _LEAF else self.tree(piece)
 
     def _new(self, token: str) -> int:
         """Merge the pieces of a token not met before; a piece is remembered as a token of its own."""
@@ -101,7 +103,7 @@ class WordBpe:
         if token[0] == "\0":
             flat.extend(self.ids_of_piece(token[1:]))
         else:
-            pieces = _PIECES.findall(token)
+            pieces = [token] if token.isalpha() else _PIECES.findall(token)
             if len(pieces) == 1:
                 flat.extend(self.ids_of_piece(mapped(token)))
             else:

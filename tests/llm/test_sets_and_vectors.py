@@ -7,7 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from shelfmark.llm import chosen_path, components, impact, licenses, mixing, rabitq, vectors
+from shelfmark.functions import components
+from shelfmark.llm import chosen_path, impact, licenses, mixing, rabitq, vectors
 from tests.llm.conftest import PROSE
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
