@@ -72,21 +72,6 @@ def largest_folders(files: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def folder_prefix_rollup(files: DataFrame, folder_index: DataFrame) -> DataFrame:
-    """Parity form: a folder also absorbs siblings whose path merely starts with it.
-
-    Kept for comparison runs on small catalogs only; the prefix condition cannot use
-    a hash join.  ``folders`` is the scalable form.
-    """
-    f = files.select(F.col("path").alias("file_path"), "file_id", "size_bytes")
-    return (
-        folder_index.select("path")
-        .join(f, F.ilike(F.col("file_path"), F.concat("path", F.lit("%"))), "left")
-        .groupBy("path")
-        .agg(F.count_distinct("file_id").alias("file_count"), F.sum("size_bytes").alias("total_size"))
-    )
-
-
 def by_category(files: DataFrame) -> DataFrame:
     grouped = files.groupBy("file_category").agg(F.count("*").alias("count"), F.sum("size_bytes").alias("total_size"))
     return share_of_total(grouped, "total_size", "pct_of_total")

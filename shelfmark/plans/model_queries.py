@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import flags, models
 from shelfmark.plans.classify_queries import KEYWORD_BEST, KEYWORD_EXT
-from shelfmark.plans.fixtures import Tables
+from shelfmark.plans.fixtures import REGISTRY_CLOCK, Tables
 from shelfmark.plans.registry import query
+from shelfmark.session import shared_folder
 
 
 def labelled(t: Tables):
@@ -124,3 +125,26 @@ def _(t: Tables):
         F.count("*").alias("rows"),
         F.bool_and(F.col("model_used").isin("forest", "rule_based", "none")).alias("known_models"),
         F.count_if(F.col("success") | (F.col("model_used") == "none")).alias("answered_or_none"))
+
+
+@query("model_saved_and_loaded", "M9", f"SELECT count(*) AS rows, TRUE AS same FROM ({TESTED})")
+def _(t: Tables):
+    train, test = models.stratified_split(labelled(t), "file_id")
+    model = models.fit(models.forest_pipeline(), train)
+    folder = shared_folder(t.spark, "model")
+    models.save(model, folder)
+    first = models.predict(model, test, "file_id").select("file_id", "predicted_category", F.round("confidence", 9).alias("c"))
+    again = models.predict(models.load(folder), test, "file_id").select(
+        "file_id", F.col("predicted_category").alias("again"), F.round("confidence", 9).alias("d"))
+    same = (F.col("predicted_category") == F.col("again")) & (F.col("c") == F.col("d"))
+    return first.join(again, "file_id").agg(F.count("*").alias("rows"), F.bool_and(same).alias("same"))
+
+
+@query("training_session", "M11", f"""
+    SELECT 's1' AS session_id, (SELECT count(*) FROM ({TESTED.replace('n % 5 = 0', 'n % 5 <> 0')})) AS training_size,
+           (SELECT count(*) FROM ({TESTED})) AS test_size, CAST(1 AS DOUBLE) AS accuracy, TIMESTAMP '2024-01-31 00:00:00' AS trained_at""")
+def _(t: Tables):
+    """The record of a session; accuracy of the labels against themselves, so that it is known."""
+    train, test = models.stratified_split(labelled(t), "file_id")
+    known = models.accuracy(test.withColumn("predicted_category", F.col("label"))).first()
+    return models.session_record(t.spark, "s1", train.count(), known.rows, known.accuracy, REGISTRY_CLOCK)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import rule_tables as tables
-from shelfmark.operators import lifecycle, organise, planning
+from shelfmark.operators import flags, lifecycle, organise, planning
 from shelfmark.plans import rule_sql as rs
 from shelfmark.plans.fixtures import CATALOG_CLOCK, REGISTRY_CLOCK, Tables
 from shelfmark.plans.registry import query
@@ -286,3 +286,51 @@ def _(t: Tables):
     typed = t.files.join(t.corrections.select(F.col("file_id").alias("doc_id"), F.col("correct_type").alias("document_type")), "doc_id")
     kept = lifecycle.retention(organise.with_domain(typed), archive_days=4000, as_of="2034-01-01 00:00:00")
     return kept.select("file_id", "domain", F.col("retention_years").cast("int").alias("retention_years"), "retention_over", "archive_target")
+
+
+@query("movable_files", "F12", f"SELECT file_id FROM fx_flagged WHERE NOT is_duplicate AND NOT is_temp AND NOT ({MIXED_STALE})")
+def _(t: Tables):
+    return flags.movable(flagged(t)).select("file_id")
+
+
+@query("movable_with_keepers", "F12", f"""
+    SELECT file_id FROM fx_flagged WHERE (NOT is_duplicate OR is_canonical) AND NOT is_temp AND NOT ({MIXED_STALE})""")
+def _(t: Tables):
+    return flags.movable(flagged(t), "non_canonical").select("file_id")
+
+
+CLAIMS = """SELECT 'p' || p_partkey AS action_id, '/flat/' || left(p_name, 6) || '.pdf' AS target_path, CAST(p_size AS BIGINT) AS file_size,
+    TIMESTAMP '2024-01-01' + to_days(CAST(p_size AS INTEGER)) AS modified_at,
+    CASE WHEN p_name LIKE 'a%' THEN 'existing_file' END AS conflict_type FROM part"""
+
+
+def claims(t: Tables):
+    """Many actions a target, and targets that exist already."""
+    return t.read("part").selectExpr(
+        "concat('p', p_partkey) action_id", "concat('/flat/', left(p_name, 6), '.pdf') target_path", "CAST(p_size AS BIGINT) file_size",
+        "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, p_size) modified_at", "CASE WHEN p_name LIKE 'a%' THEN 'existing_file' END conflict_type")
+
+
+def _winner(policy: str, order: str, condition: str = "TRUE") -> None:
+    @query(f"plan_conflict_{policy}", "P8", f"""
+        SELECT action_id, target_path, '{policy}' AS resolution_strategy FROM (
+            SELECT *, row_number() OVER (PARTITION BY target_path ORDER BY {order}) AS n FROM ({CLAIMS})) WHERE n = 1 AND {condition}""")
+    def _(t: Tables):
+        return planning.apply_conflict_policy(claims(t), policy).select("action_id", "target_path", "resolution_strategy")
+
+
+_winner("skip", "action_id", "conflict_type IS NULL")
+_winner("replace", "action_id DESC")
+_winner("newest", "modified_at DESC, action_id DESC")
+
+
+@query("plan_conflict_ask", "P8", f"SELECT action_id, target_path AS resolved_path FROM ({CLAIMS})")
+def _(t: Tables):
+    return planning.apply_conflict_policy(claims(t), "ask").select("action_id", "resolved_path")
+
+
+@query("plan_conflict_rename", "P8 W3", f"""
+    SELECT action_id, CASE WHEN n = 1 THEN target_path ELSE regexp_replace(target_path, '\\.pdf$', '') || '_' || (n - 1) || '.pdf' END AS resolved_path
+    FROM (SELECT *, row_number() OVER (PARTITION BY target_path ORDER BY md5(action_id), action_id) AS n FROM ({CLAIMS}))""")
+def _(t: Tables):
+    return planning.apply_conflict_policy(claims(t), "rename").select("action_id", "resolved_path")

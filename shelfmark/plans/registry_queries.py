@@ -207,6 +207,14 @@ def _(t: Tables):
     return registry.search(rows, "technical_manual", 0.2, 0.9, "%REPORT%")
 
 
+@query("search_hits", "F7", """
+    SELECT file_id, file_name, document_type, confidence FROM fx_registry WHERE document_type = 'technical_manual'
+    AND confidence >= 0.2 AND confidence <= 0.9 AND file_name ILIKE '%CONTRACT%' ORDER BY confidence, file_id LIMIT 50""")
+def _(t: Tables):
+    rows = t.registry.select("file_id", "file_name", "document_type", "confidence")
+    return registry.search(rows, "technical_manual", 0.2, 0.9, "%CONTRACT%")
+
+
 @query("search_names", "F8", """
     SELECT file_id, file_name FROM fx_registry WHERE contains(lower(file_name), 'invoice') ORDER BY file_id DESC LIMIT 50""")
 def _(t: Tables):

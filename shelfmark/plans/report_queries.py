@@ -204,3 +204,10 @@ def _(t: Tables):
     AND access_count = 0""")
 def _(t: Tables):
     return lifecycle.archive_due(t.files, as_of=CATALOG_CLOCK).select("file_id")
+
+
+@query("lifecycle_quarantine_due", "P15", """
+    SELECT file_id FROM fx_files WHERE date_diff('day', CAST(modified_at AS DATE), DATE '2025-01-01') >= 30""")
+def _(t: Tables):
+    held = t.files.withColumnRenamed("modified_at", "quarantined_at")
+    return lifecycle.quarantine_review_due(held, as_of=CATALOG_CLOCK).select("file_id")

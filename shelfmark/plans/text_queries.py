@@ -260,3 +260,12 @@ def _(t: Tables):
                        F.round(F.abs(F.col("n") - F.col("n_chars")) / F.col("n"), 6).alias("difference"),
                        F.array_join(F.slice(F.array_distinct("w"), 1, 5), "-").alias("first_words"),
                        F.array_contains("w", "the").alias("has_the"))
+
+
+@query("path_projects_default", "X4", """
+    SELECT file_id, CASE doc_id % 6 WHEN 5 THEN NULL ELSE lang END AS project FROM fx_files""")
+def _(t: Tables):
+    """Each default marker folder in turn, and a path without one."""
+    markers = F.array(*[F.lit(m) for m in ("projects", "Work", "dev", "development", "CODE", "other")])
+    path = F.concat(F.lit("/home/"), F.element_at(markers, (F.col("doc_id") % 6 + 1).cast("int")), F.lit("/"), "lang", F.lit("/"), "name")
+    return t.files.select("file_id", F.nullif(paths.project(path), F.lit("")).alias("project"))

@@ -82,12 +82,9 @@ def test_histograms_keep_every_row(spark):
     assert storage.size_histogram(t.files).count() == 6
 
 
-def test_prefix_rollup_absorbs_siblings_but_folders_do_not(spark):
+def test_folders_do_not_absorb_siblings_with_a_common_prefix(spark):
     files = spark.createDataFrame([("1", "/a/b/x.txt", 1), ("2", "/a/bc/y.txt", 2)], "file_id string, path string, size_bytes long")
-    index = storage.folders(files)
-    true = {r.path: r.total_size for r in index.collect()}
-    loose = {r.path: r.total_size for r in storage.folder_prefix_rollup(files, index).collect()}
-    assert true == {"/a": 3, "/a/b": 1, "/a/bc": 2} and loose["/a/b"] == 3
+    assert {r.path: r.total_size for r in storage.folders(files).collect()} == {"/a": 3, "/a/b": 1, "/a/bc": 2}
 
 
 def test_empty_inputs(spark):
