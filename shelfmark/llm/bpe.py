@@ -31,7 +31,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     id_type = rows.schema["id"].dataType.simpleString()
     out = f"id {id_type}, ids array<int>, decoded string"
     near = rows.where(F.length("text") <= long_chars).mapInArrow(lambda batches: _encode_texts(batches, path), out)
-    far = rows.where(F.length("text") > long_chars).withColumn("row", F.expr("uuid()"))
+    # the same number for a row when its partition is computed again
+    far = rows.where(F.length("text") > long_chars).withColumn("row", F.monotonically_increasing_id().cast("string"))
     cuts = far.mapInArrow(
         lambda batches: _cut(batches, path, cut_chars), f"id {id_type}, row string, seq long, part string, open boolean, last boolean"
     )

@@ -32,6 +32,8 @@ LANGUAGES_MAX = 1000
 PAIRS_MAX = 1_500_000
 # From this order up a pair met once is left out of the trees.
 ONCE_FROM = 3
+# Text bytes scored at a time: a row of costs for every byte and language is held.
+SCORED_BYTES = 1 << 19
 UNKNOWN = "und"
 
 _LATIN = re.compile(r"[A-Za-z]")
@@ -183,14 +185,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     sizes = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1)))
     pairs = (
         full.withColumn("size", sizes)
-        .withColumn("gram", F.expr(f"gram & (shiftleft(1L, 8 * size) - 1)"))
+        .withColumn("gram", F.expr("gram & (shiftleft(1L, 8 * size) - 1)"))
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
         .where((F.col("size") <= ONCE_FROM) | (F.col("n") > 1))
         .orderBy(F.desc("n"), "lang", "size", "gram")
         .limit(PAIRS_MAX)
     )
-    return compile_trees(pairs.toPandas())
+    return compile_trees(pairs.toArrow().to_pandas())
 
 
 def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
@@ -208,7 +210,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SCORED_BYTES):
                 texts = [x if x is not None and has_letter(x) else "" for x in part.column(len(names)).to_pylist()]
                 pred, score, rate = _choose(t, texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pred, score, rate], [*names, "lang_pred", "score", "bits"])

@@ -3,8 +3,9 @@
 A text is cut into blocks of BLOCK bytes, each compressed on its own under both
 dictionaries, so that a long text cannot become its own dictionary.  The measure is
 (size under good - size under bad) / (their sum); beside it stands how far the text
-compresses at all, because repeated words compress under any dictionary.  A logistic
-curve over bins of both, fitted on held-back labelled texts, turns them into a score.
+compresses with and without a dictionary, because repeated words compress under any.  A
+logistic curve over these and their products, fitted on held-back labelled texts, turns
+them into a score.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ LEVEL = 3
 # Bounds of the learning sample: labelled texts of each class, and bytes of each that go into a dictionary.
 TEXTS_PER_CLASS = 1500
 BYTES_PER_TEXT = 16 << 10
-STEPS = 400
 
 
 def _measures(good: int, bad: int, size: int, own: int) -> tuple[float, float, float]:
@@ -98,7 +98,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(both[0].unionByName(both[1]))  # at most two times per_class ids
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     sample = rows.groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    fitted = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda g: _fit(g, 0.5 if share is None else float(share)), "good binary, bad binary, mean array<double>, scale array<double>, weights array<double>").toPandas()
+    fitted = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda g: _fit(g, 0.5 if share is None else float(share)), "good binary, bad binary, mean array<double>, scale array<double>, weights array<double>").toArrow().to_pandas()
     if not len(fitted):
         return Model(b"", b"", np.zeros(3), np.ones(3), _constant(0.5 if share is None else float(share)))
     r = fitted.iloc[0]

@@ -116,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.mapInArrow(_features_of, "pos boolean, unl boolean, part int, features array<int>")
     # each positive serves every member, each unlabelled text one
     dealt = found.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1)))).withColumn("unl", F.expr(f"unl and part % {members} = member")).where("pos or unl")
-    fitted = dealt.groupBy("member").applyInPandas(lambda group: _fit(group, prior), "member int, bias double, buckets array<int>, weights array<double>").toPandas()
+    fitted = dealt.groupBy("member").applyInPandas(lambda group: _fit(group, prior), "member int, bias double, buckets array<int>, weights array<double>").toArrow().to_pandas()
     total, bias = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
     for b, w in zip(fitted["buckets"], fitted["weights"], strict=True):
         total[np.asarray(b, np.int64)] += np.asarray(w) / len(fitted)
