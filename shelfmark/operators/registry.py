@@ -275,6 +275,14 @@ def page(registry: DataFrame, page_no: int = 1, per_page: int = 50, document_typ
     )
 
 
+def page_after(registry: DataFrame, last_id=None, per_page: int = 50, document_type=None, state=None) -> DataFrame:
+    """The page after the id the last one ended with: an ordered limit, so no row is sorted only to be skipped."""
+    rows = _filtered(registry, document_type, state)
+    if last_id is not None:
+        rows = rows.where(F.col("file_id") < last_id)
+    return top_rows(rows, [F.desc("file_id")], per_page)
+
+
 def page_total(registry: DataFrame, document_type=None, state=None) -> DataFrame:
     return _filtered(registry, document_type, state).agg(F.count("*").alias("total"))
 

@@ -100,8 +100,8 @@ def sync_totals(decisions: DataFrame) -> DataFrame:
     )
 
 
-def latest_state(changes: DataFrame) -> DataFrame:
-    """Latest state per path; a rename is a delete of the old and a create of the new path."""
+def partial_state(changes: DataFrame) -> DataFrame:
+    """``path, newest, changes`` of some changes; ``merge_states`` puts several such tables together."""
     renames = (F.col("change_type") == "renamed") & F.col("old_path").isNotNull()
     both = F.array(
         F.struct(
@@ -111,10 +111,27 @@ def latest_state(changes: DataFrame) -> DataFrame:
         F.struct(F.col("old_path").alias("path"), F.lit("deleted").alias("change_type")),
     )
     spread = changes.withColumn("_s", F.explode(F.when(renames, both).otherwise(F.slice(both, 1, 1))))
-    newest = F.max_by(
-        F.struct(F.col("_s.change_type").alias("change_type"), "size", "modified_at"), F.struct("modified_at", "event_id")
-    )
-    return spread.groupBy(F.col("_s.path").alias("path")).agg(newest.alias("s"), F.count("*").alias("changes")).select(
-        "path", F.col("s.change_type").alias("last_change"), F.col("s.size").alias("size"),
-        F.col("s.modified_at").alias("modified_at"), (F.col("s.change_type") != "deleted").alias("exists"), "changes",
+    newest = F.max(F.struct("modified_at", "event_id", F.col("_s.change_type").alias("change_type"), "size"))
+    return spread.groupBy(F.col("_s.path").alias("path")).agg(newest.alias("newest"), F.count("*").alias("changes"))
+
+
+def merge_states(partials: DataFrame) -> DataFrame:
+    """One ``path, newest, changes`` row per path from many."""
+    return partials.groupBy("path").agg(F.max("newest").alias("newest"), F.sum("changes").alias("changes"))
+
+
+def _state(partials: DataFrame) -> DataFrame:
+    return partials.select(
+        "path", F.col("newest.change_type").alias("last_change"), F.col("newest.size").alias("size"),
+        F.col("newest.modified_at").alias("modified_at"), (F.col("newest.change_type") != "deleted").alias("exists"), "changes",
     )
+
+
+def latest_state(changes: DataFrame) -> DataFrame:
+    """Latest state per path; a rename is a delete of the old and a create of the new path."""
+    return _state(partial_state(changes))
+
+
+def state_of(partials: DataFrame) -> DataFrame:
+    """Latest state per path from the partial states of many batches."""
+    return _state(merge_states(partials))

@@ -228,6 +228,13 @@ def _(t: Tables):
     return registry.page(t.registry.select("file_id", "file_name", "canonical_state"), 2, state="pending")
 
 
+@query("registry_page_after", "S14 L5", """
+    SELECT file_id, file_name, canonical_state FROM fx_registry WHERE canonical_state = 'pending' AND file_id < 150
+    ORDER BY file_id DESC LIMIT 50""")
+def _(t: Tables):
+    return registry.page_after(t.registry.select("file_id", "file_name", "canonical_state"), 150, state="pending")
+
+
 @query("registry_page_total", "S14", """
     SELECT count(*) AS total FROM fx_registry WHERE document_type = 'financial_invoice' AND canonical_state = 'pending'""")
 def _(t: Tables):

@@ -46,6 +46,17 @@ def _(t: Tables):
     return newest_per(drain(t, state, "update"), ["path"]).select("path", "last_change", "changes")
 
 
+@query("change_state_table", "R4", """
+    WITH spread AS (
+        SELECT event_id, path, CASE WHEN change_type = 'renamed' THEN 'created' ELSE change_type END AS change_type, modified_at FROM fx_changes
+        UNION ALL SELECT event_id, old_path, 'deleted', modified_at FROM fx_changes WHERE change_type = 'renamed')
+    SELECT path, arg_max(change_type, (modified_at, event_id)) AS last_change, count(*) AS changes FROM spread GROUP BY path""")
+def _(t: Tables):
+    folder = shared_folder(t.spark, "state")
+    changes.run_to_end(t.changes_of(event_stream(t)), f"{folder}/checkpoint", changes.state_writer(f"{folder}/table"))
+    return sync.state_of(t.spark.read.parquet(f"{folder}/table")).select("path", "last_change", "changes")
+
+
 @query("conflict_stream", "R5 J15", """
     SELECT c.event_id, CASE WHEN change_type = 'deleted' THEN 'ignore' WHEN l.local_modified > c.modified_at THEN 'local_wins'
            ELSE 'download' END AS action FROM fx_changes c LEFT JOIN fx_local l ON c.path = l.path""")
