@@ -4,9 +4,10 @@ One byte context tree a language, of order 0 to ORDER, with escape method C: a s
 seen n(c, s) times after context c costs -log2(n(c, s) / (N + D)) bits, where N symbols of
 D kinds followed c; an unseen one costs the escape -log2(D / (N + D)) and then what it
 costs after the next shorter context, down to a uniform byte.  The statistics are frozen
-after learning, so the code length of a text is a sum of table entries: all trees share
-one union of contexts, and the cost of each seen (context, symbol) pair under every
-language is worked out once.
+after learning, so the code length of a text is a sum of table entries: the trees of a
+block of languages share one union of contexts, and the cost of each seen (context,
+symbol) pair under every language of the block is worked out once.  Every language is
+learnt; blocks keep the tables in proportion to the pairs seen.
 """
 
 from __future__ import annotations
@@ -26,10 +27,8 @@ from shelfmark.llm.common import sample_key, slices
 ORDER = 4
 # Expected texts a language of the learning sample; a language with fewer is learnt from all of them.
 TEXTS_PER_LANGUAGE = 1500
-# Languages learnt at most, the most frequent first.
-LANGUAGES_MAX = 1000
-# Most frequent (context, symbol) pairs kept over all languages and orders.
-PAIRS_MAX = 1_500_000
+# Languages that share one union of contexts; the number of blocks is not bounded.
+LANGUAGES_PER_BLOCK = 8
 # From this order up a pair met once is left out of the trees.
 ONCE_FROM = 3
 # Text bytes scored at a time: a row of costs for every byte and language is held.
@@ -74,9 +73,12 @@ class Trees:
     def lengths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code length in bits of each text under each language, and the number of coded symbols."""
         data, starts = symbols(texts)
+        return self.bits(data, starts), np.diff(starts) - ORDER
+
+    def bits(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         n_lang = len(self.languages)
-        if not len(texts):
-            return np.zeros((0, n_lang)), np.zeros(0, np.int64)
+        if len(starts) < 2:
+            return np.zeros((0, n_lang))
         coded = self.code[data]
         width = int(self.code.max()) + 1
         grams = [np.zeros(len(data), np.int32)]
@@ -89,8 +91,7 @@ class Trees:
             bits[rest] = self._escaped(grams, rest)
         for k in range(ORDER):  # the spaces in front are context only
             bits[starts[:-1] + k] = 0
-        sums = np.add.reduceat(np.vstack([bits, np.zeros((1, n_lang), bits.dtype)]).astype(np.float64), starts[:-1], axis=0)
-        return sums, np.diff(starts) - ORDER
+        return np.add.reduceat(np.vstack([bits, np.zeros((1, n_lang), bits.dtype)]).astype(np.float64), starts[:-1], axis=0)
 
     def _escaped(self, grams: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rest), len(self.languages)), np.float32)
@@ -108,6 +109,29 @@ class Trees:
         return out
 
 
+@dataclass
+class Forest:
+    """The trees of all languages, block by block."""
+
+    blocks: list[Trees]
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for block in self.blocks for x in block.languages]
+
+    def lengths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code length in bits of each text under each language, and the number of coded symbols."""
+        data, starts = symbols(texts)
+        bits = [block.bits(data, starts) for block in self.blocks]
+        return np.hstack([np.zeros((len(texts), 0)), *bits]), np.diff(starts) - ORDER
+
+
+def compile_forest(pairs: pd.DataFrame, per_block: int = LANGUAGES_PER_BLOCK) -> Forest:
+    """``compile_trees`` for each block of languages; a language costs the same bits in any block."""
+    block = pairs["lang"].map({x: i // per_block for i, x in enumerate(sorted(pairs["lang"].unique()))})
+    return Forest([compile_trees(part) for _, part in pairs.groupby(block)])
+
+
 def compile_trees(pairs: pd.DataFrame) -> Trees:
     """Trees from rows ``lang, size, gram, n``: n times the last of ``size`` packed bytes followed the others."""
     languages = sorted(pairs["lang"].unique())
@@ -173,13 +197,12 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_cols: tuple[str, ...] = ("doc_id",), per_language: int = TEXTS_PER_LANGUAGE) -> Trees:
-    """Trees from rows with a text and a language: a bounded random sample of texts, counted by Spark."""
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_cols: tuple[str, ...] = ("doc_id",), per_language: int = TEXTS_PER_LANGUAGE) -> Forest:
+    """Trees of every language from rows with a text and a language: a random sample of about ``per_language`` texts each, counted by Spark."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), sample_key(*key_cols).alias("key")
     )
     share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    share = share.orderBy("share", "lang").limit(LANGUAGES_MAX)
     chosen = rows.join(F.broadcast(share), "lang").where("key < share").select("lang", "text")
     full = chosen.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sizes = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1)))
@@ -189,13 +212,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
         .where((F.col("size") <= ONCE_FROM) | (F.col("n") > 1))
-        .orderBy(F.desc("n"), "lang", "size", "gram")
-        .limit(PAIRS_MAX)
     )
-    return compile_trees(pairs.toArrow().to_pandas())
+    return compile_forest(pairs.toArrow().to_pandas())
 
 
-def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+def predict(docs: DataFrame, trees: Forest, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """``id_col, keep..., lang_pred, score, bits_per_symbol`` for every row; ``prefix`` goes before the three new names.
 
     ``score`` is the share of the best language in the sum of all 2^-bits.  Text that is
@@ -219,16 +240,17 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate((id_col, *keep))], *[F.col(c).alias(f"{prefix}{name}") for c, name in (("lang_pred", "lang_pred"), ("score", "score"), ("bits", "bits_per_symbol"))])
 
 
-def _choose(trees: Trees, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+def _choose(trees: Forest, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
     blank = np.array([not x for x in texts])
-    if not trees.languages:
+    languages = trees.languages
+    if not languages:
         n = len(texts)
         return pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([None] * n, pa.float64())
     bits, n = trees.lengths(texts)
     best = bits.argmin(axis=1)
     low = bits[np.arange(len(texts)), best]
     score = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
-    pred = [UNKNOWN if b else trees.languages[k] for b, k in zip(blank, best, strict=True)]
+    pred = [UNKNOWN if b else languages[k] for b, k in zip(blank, best, strict=True)]
     rate = low / np.maximum(n, 1)
     return pa.array(pred, pa.string()), pa.array(np.where(blank, 0.0, score)), pa.array(rate, pa.float64(), mask=blank)
 

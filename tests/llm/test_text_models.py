@@ -75,6 +75,22 @@ def test_code_lengths_follow_the_definition():
         assert got[0] == pytest.approx([slow_bits(pairs, x, text) for x in trees.languages], rel=1e-5, abs=1e-5)
 
 
+def test_every_language_is_learnt_whole(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=600)) * 2, f"l{i:04}") for i in range(1010)]
+    rows.append((1010, "zyx wvut " * 3, "rare"))  # the last by any count
+    learnt = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(learnt.languages) == sorted(lang for _, _, lang in rows)
+    docs = spark.createDataFrame(rows[-30:], "doc_id long, text string, lang string")
+    got = language.predict(docs, learnt, keep=("lang",)).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    # a tree holds what it would hold if no other language were there
+    alone = language.learn(docs.where("lang = 'rare'"))
+    at = learnt.languages.index("rare")
+    for text in ("zyx wvut", "zyx other"):
+        assert learnt.lengths([text])[0][0, at] == pytest.approx(alone.lengths([text])[0][0, 0])
+
+
 def test_language_awkward(spark, trees, awkward, no_docs):
     rows = language.predict(awkward, trees, keep=("text", "k0"), prefix="").collect()
     assert len(rows) == awkward.count()
