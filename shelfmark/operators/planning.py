@@ -264,21 +264,56 @@ def suffixed(path: Column, n: Column) -> Column:
     return F.concat(F.left(path, F.length(path) - F.length(ext)), F.lit("_"), n.cast("string"), ext)
 
 
-def _taken_numbers(taken: DataFrame) -> DataFrame:
-    """``target_path, _gaps``: for each name, how many free numbers lie below each of its taken ones, in order.
+# Taken numbers ranked at a time, and claimants of one name that meet its intervals in one group.
+NUMBERS_A_RANGE = 1 << 15
+TURNS_A_BUCKET = 256
 
-    ``/a/x_2.pdf`` is number 2 of ``/a/x.pdf``.  Numbers are distinct, so the i-th taken
-    number t leaves t - i free ones below it.
-    """
+
+def _taken_numbers(taken: DataFrame, on_disk: DataFrame | None) -> DataFrame:
+    """``target_path, _number``, distinct: ``/a/x_2.pdf`` is number 2 of ``/a/x.pdf``, the name itself on disk is number 0."""
     path = F.col("resolved_path")
     ext = paths.suffix_of_name(paths.name(path))
     stem = F.left(path, F.length(path) - F.length(ext))
-    numbered = taken.select(
+    numbers = taken.select(
         F.concat(F.regexp_extract(stem, r"(?s)^(.*)_([1-9][0-9]{0,8})$", 1), ext).alias("target_path"),
         F.regexp_extract(stem, r"_([1-9][0-9]{0,8})$", 1).alias("_number"),
-    ).where("_number <> ''")
-    lists = numbered.groupBy("target_path").agg(F.array_sort(F.collect_set(F.col("_number").cast("long"))).alias("_numbers"))
-    return lists.select("target_path", F.transform("_numbers", lambda t, i: t - i - 1).alias("_gaps"))
+    ).where("_number <> ''").withColumn("_number", F.col("_number").cast("long"))
+    if on_disk is not None:
+        numbers = numbers.unionByName(on_disk.select(path.alias("target_path"), F.lit(0).cast("long").alias("_number")))
+    return numbers.distinct()
+
+
+def _skips(numbers: DataFrame, actions: DataFrame) -> DataFrame:
+    """``_path, _bucket, _from, _to, _skipped``: claimants ``_from`` to ``_to`` of a name leave out ``_skipped`` taken numbers.
+
+    The i-th taken number t has t - i + 1 free ones below it, so the claimants after that
+    many, up to those below the next taken number, leave out i.  Numbers are ranked per
+    range and an interval is repeated for each bucket of claimants it meets: no name is
+    gathered.  A number has at most nine digits, so a name has a bounded number of ranges.
+    """
+    ranged = numbers.withColumn("_range", F.floor(F.col("_number") / NUMBERS_A_RANGE))
+    counts = ranged.groupBy("target_path", "_range").agg(F.count("*").alias("_in_range"), F.min("_number").alias("_low"))
+    claims = actions.groupBy("target_path").agg(F.count("*").alias("_claims"))
+    by_range = Window.partitionBy("target_path").orderBy("_range")
+    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        counts.join(claims, "target_path")
+        .withColumn("_start", F.coalesce(F.sum("_in_range").over(before), F.lit(0)))
+        .withColumn("_next_range", F.lead(F.col("_low") - F.col("_start")).over(by_range))
+        .drop("_in_range", "_low")
+    )
+    within = Window.partitionBy("target_path", "_range").orderBy("_number")
+    ranked = (
+        ranged.join(ranges, ["target_path", "_range"])
+        .withColumn("_skipped", F.col("_start") + F.row_number().over(within))
+        .withColumn("_free", F.col("_number") - F.col("_skipped") + 1)
+        .withColumn("_next", F.coalesce(F.lead("_free").over(within), "_next_range", "_claims"))
+    )
+    spans = ranked.select(
+        F.col("target_path").alias("_path"), (F.col("_free") + 1).alias("_from"), F.least("_next", "_claims").alias("_to"), "_skipped"
+    ).where("_from <= _to")
+    bucket = lambda c: F.floor(F.col(c) / TURNS_A_BUCKET)
+    return spans.withColumn("_bucket", F.explode(F.sequence(bucket("_from"), bucket("_to"))))
 
 
 def resolve_names(
@@ -295,20 +330,20 @@ def resolve_names(
     different targets never meet, because a name that is also a target counts as taken.
     """
     taken = actions.select(F.col("target_path").alias("resolved_path"))
-    numbered = number_rows(actions, ["target_path"], row_id, "_n", floor)
-    turn = F.col("_n") - 1
+    on_disk = None
     if inventory is not None:
-        paths_on_disk = inventory.select(F.col("path").alias("resolved_path"))
-        taken = taken.unionByName(paths_on_disk)
-        existing = paths_on_disk.distinct().select(F.col("resolved_path").alias("target_path"), F.lit(1).alias("_exists"))
-        numbered = numbered.join(existing, "target_path", "left")
-        turn = turn + F.coalesce("_exists", F.lit(0))
-    named = numbered.withColumn("_turn", turn).join(_taken_numbers(taken), "target_path", "left")
-    skipped = F.coalesce(F.size(F.filter("_gaps", lambda g: g < F.col("_turn"))), F.lit(0))
-    number = F.col("_turn") + F.greatest(skipped, F.lit(0))
-    return named.withColumn(
-        "resolved_path", F.when(F.col("_turn") > 0, suffixed(F.col("target_path"), number)).otherwise(F.col("target_path"))
-    ).drop("_n", "_turn", "_exists", "_gaps")
+        on_disk = inventory.select(F.col("path").alias("resolved_path"))
+        taken = taken.unionByName(on_disk)
+    numbered = number_rows(actions, ["target_path"], row_id, "_n", floor)
+    kept = [c for c in numbered.columns if c != "_n"]
+    met = numbered.withColumn("_turns", F.floor(F.col("_n") / TURNS_A_BUCKET)).join(
+        _skips(_taken_numbers(taken, on_disk), actions),
+        (F.col("target_path") == F.col("_path")) & (F.col("_turns") == F.col("_bucket")) & F.col("_n").between(F.col("_from"), F.col("_to")),
+        "left",
+    )
+    number = F.col("_n") - 1 + F.coalesce("_skipped", F.lit(0))
+    named = F.when(number > 0, suffixed(F.col("target_path"), number)).otherwise(F.col("target_path"))
+    return met.select(*[c for c in kept if c != "resolved_path"], named.alias("resolved_path"))
 
 
 def apply_conflict_policy(actions: DataFrame, strategy: str, floor: int = HOT_ROWS_MIN) -> DataFrame:

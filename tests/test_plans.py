@@ -1,6 +1,7 @@
 """Planning properties."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -128,3 +129,26 @@ def test_correction_matches_either_path_once(spark):
     wanted = spark.createDataFrame([("/p", "medical")], "path string, correct_type string")
     nxt, log = transitions.correct_types(registry, wanted, REGISTRY_CLOCK)
     assert nxt.collect()[0].document_type == "medical" and log.count() == 1
+
+
+def test_taken_numbers_stay_rows(spark, monkeypatch):
+    """Hot names with many taken numbers: ranked in ranges, met in buckets of claimants, never one array a name."""
+    monkeypatch.setattr(planning, "NUMBERS_A_RANGE", 5)
+    monkeypatch.setattr(planning, "TURNS_A_BUCKET", 4)
+    rng = random.Random(3)
+    claims = {"/a/x.pdf": 40, "/a/y.pdf": 30, "/a/z": 25, "/a/w.txt": 1, "/a/v.txt": 3}
+    disk = {f"/a/x_{n}.pdf" for n in rng.sample(range(1, 90), 45)} | {f"/a/y_{n}.pdf" for n in range(1, 21)} | {"/a/x.pdf", "/a/z", "/a/w.txt"}
+    disk |= {f"/a/z_{n}" for n in (1, 2, 3, 11, 12, 30, 999999999)} | {"/a/nobody_7.pdf"}
+    rows = [(f"{name}#{i}", name) for name, n in claims.items() for i in range(n)]
+    actions = spark.createDataFrame([*rows, ("null", None)], "action_id string, target_path string")
+    inventory = spark.createDataFrame([(x,) for x in sorted(disk)] * 2, "path string")
+    for on_disk in (inventory, None):
+        out = planning.resolve_names(actions, on_disk)
+        assert "collect_set" not in out._jdf.queryExecution().toString()
+        got = out.collect()
+        taken = disk if on_disk is not None else set()
+        for name, n in claims.items():
+            stem, dot, ext = name.partition(".")
+            free = [x for x in [name, *(f"{stem}_{k}{dot}{ext}" for k in range(1, 200))] if x not in taken]
+            assert sorted(r.resolved_path for r in got if r.target_path == name) == sorted(free[:n])
+        assert len(got) == len(rows) + 1
