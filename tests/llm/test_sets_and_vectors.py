@@ -59,6 +59,14 @@ def test_notices_need_their_phrase(spark, make_docs, no_docs):
     assert licenses.scan(no_docs, licenses.build_index(no_docs)).count() == 0
 
 
+def test_sketches_lose_no_pair_at_the_threshold():
+    rng = np.random.default_rng(11)
+    pairs = rng.integers(0, 1 << 63, (4000, 100), dtype=np.uint64)
+    left, right = chosen_path.sketches([p[:90] for p in pairs]), chosen_path.sketches([p[10:] for p in pairs])  # 80 of 100 shared
+    n = np.full(len(pairs), 90)
+    assert chosen_path._similar(left, n, right, n, chosen_path.THRESHOLD).all()
+
+
 @pytest.fixture(scope="module")
 def vector_rows():
     rng = np.random.default_rng(5)
