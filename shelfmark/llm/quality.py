@@ -10,6 +10,7 @@ them into a score.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import sample_key, slices, text_bytes
+from shelfmark.llm.common import mix, sample_key, slices, text_bytes
 
 BLOCK = 1024
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-# Bounds of the learning sample: labelled texts of each class, and bytes of each that go into a dictionary.
+# Bounds of the learning sample: labelled texts of each class, and blocks of each that go into a dictionary.
 TEXTS_PER_CLASS = 1500
-BYTES_PER_TEXT = 16 << 10
+BLOCKS_PER_TEXT = 16
 
 
 def _measures(good: int, bad: int, size: int, own: int) -> tuple[float, float, float]:
@@ -86,9 +87,10 @@ def calibrate(m: np.ndarray, label: np.ndarray, share_good: float) -> tuple[np.n
     return mean, scale, w
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = TEXTS_PER_CLASS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = TEXTS_PER_CLASS, per_text: int = BLOCKS_PER_TEXT) -> Model:
     """Dictionaries from half of a bounded sample of labelled texts, calibration from the other half.
 
+    A text gives a dictionary ``per_text`` of its blocks, chosen by hash from the whole text.
     A document with several labels is good only if all are 1.  Without texts of both
     classes every score is the share of good labels (0.5 without any).
     """
@@ -98,7 +100,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(both[0].unionByName(both[1]))  # at most two times per_class ids
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     sample = rows.groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    fitted = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda g: _fit(g, 0.5 if share is None else float(share)), "good binary, bad binary, mean array<double>, scale array<double>, weights array<double>").toArrow().to_pandas()
+    fitted = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda g: _fit(g, 0.5 if share is None else float(share), per_text), "good binary, bad binary, mean array<double>, scale array<double>, weights array<double>").toArrow().to_pandas()
     if not len(fitted):
         return Model(b"", b"", np.zeros(3), np.ones(3), _constant(0.5 if share is None else float(share)))
     r = fitted.iloc[0]
@@ -111,7 +113,7 @@ def _constant(share: float) -> np.ndarray:
     return w
 
 
-def _fit(group: pd.DataFrame, share: float) -> pd.DataFrame:
+def _fit(group: pd.DataFrame, share: float, per_text: int) -> pd.DataFrame:
     """One task: the sample holds at most twice ``per_class`` texts."""
     group = group.sort_values("id")
     texts = [t.encode() for t in group["text"]]
@@ -119,7 +121,7 @@ def _fit(group: pd.DataFrame, share: float) -> pd.DataFrame:
     half = np.zeros(len(texts), bool)
     for k in (0, 1):
         half[np.flatnonzero(label == k)[::2]] = True
-    dictionaries = [_dictionary([texts[i] for i in np.flatnonzero(half & (label == k))]) for k in (1, 0)]
+    dictionaries = [_dictionary([texts[i] for i in np.flatnonzero(half & (label == k))], per_text) for k in (1, 0)]
     model = Model(*dictionaries, np.zeros(3), np.ones(3), _constant(share))
     rest = np.flatnonzero(~half)
     if len(set(label[rest])) == 2:
@@ -129,8 +131,15 @@ def _fit(group: pd.DataFrame, share: float) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, min(len(t), BYTES_PER_TEXT), BLOCK)]
+def _sampled(text: bytes, per_text: int) -> list[bytes]:
+    """At most ``per_text`` blocks from anywhere in the text, in order; the choice is repeatable."""
+    starts = np.arange(0, len(text), BLOCK)
+    order = np.argsort(mix(starts.astype(np.uint64) + np.uint64(zlib.crc32(text) << 32)), kind="stable")
+    return [text[i : i + BLOCK] for i in np.sort(starts[order[:per_text]]).tolist()]
+
+
+def _dictionary(texts: list[bytes], per_text: int) -> bytes:
+    blocks = [b for t in texts for b in _sampled(t, per_text)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
     except zstandard.ZstdError:  # too few texts to train on: their own bytes serve

@@ -165,6 +165,22 @@ def test_quality_of_unseen_texts(spark, make_labels):
     assert np.mean([(got[i] >= 0.5) == bool(good) for i, good, _ in labels]) > 0.97
 
 
+def test_quality_learns_from_the_whole_of_long_texts(spark, make_labels):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(60):
+        tail = sentence(rng, "en", 4000)
+        rows.append((i, sentence(rng, "en", 5000) + " " + (tail if i % 2 else tail.replace(" ", " %%% "))))
+        labels.append((i, i % 2, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.learn(docs, make_labels(labels))
+    assert b"%%%" in model.bad and b"%%%" not in model.good
+    text = rows[0][1].encode()
+    every = [text[i : i + quality.BLOCK] for i in range(0, len(text), quality.BLOCK)]
+    assert quality._sampled(text, len(every)) == every and len(quality._sampled(text, 5)) == 5
+    assert len(quality.learn(docs, make_labels(labels), per_text=1).bad) < len(model.bad)
+
+
 def test_quality_awkward(spark, awkward, no_docs, make_labels):
     for labels in ([], [(0, 1, 0)], [(0, 1, 0), (1, 0, 0), (7, 0, 0), (8, 1, 0), (None, 1, 0), (3, None, None)]):
         model = quality.learn(awkward, make_labels(labels))
