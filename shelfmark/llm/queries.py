@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chosen_path, impact, language, licenses, mixing, quality, rabitq, repair, toxicity
+from shelfmark.llm import bpe, chosen_path, hard_negatives, impact, language, licenses, mixing, quality, rabitq, repair, toxicity
 from shelfmark.llm.common import fold, read
 from shelfmark.session import shared_folder
 
@@ -77,8 +77,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_segments(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").withColumn("label", F.col("label").cast("long"))
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", changed), "id % 50 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licenses, op2_rabitq, op3_repair, op4_bpe, op5_chosen_path, op6_mixing, op7_language, op8_quality, op9_impact, op10_toxicity)
+    f.__name__: f for f in (op1_licenses, op2_rabitq, op3_repair, op4_bpe, op5_chosen_path, op6_mixing, op7_language, op8_quality, op9_impact, op10_toxicity, op11_segments)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,5 +133,25 @@ p AS (
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 WHERE rank <= 5
+""",
+    "op11_segments": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS no
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.no AS anchor, a.vec_id AS anchor_id, x.no, x.vec_id, x.label = a.label AS same, list_dot_product(a.v, x.v)::BIGINT AS score
+  FROM v a JOIN v x ON len(a.v) = len(x.v) AND a.no <> x.no
+  WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, no) AS turn FROM s WHERE same) WHERE turn <= 5),
+r AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.turn ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same
+   AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
 """,
 }
