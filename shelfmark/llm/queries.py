@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chosen_path, hard_negatives, impact, language, licenses, mixing, quality, rabitq, repair, toxicity
+from shelfmark.llm import bpe, chosen_path, hard_negatives, impact, language, licenses, mixing, quality, rabitq, repair, token_counts, toxicity
 from shelfmark.llm.common import fold, read
 from shelfmark.session import shared_folder
 
@@ -83,8 +83,13 @@ def op11_segments(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", changed), "id % 50 = 0")
 
 
+def op12_heap(spark: SparkSession, folder: str) -> DataFrame:
+    out = token_counts.count(read(spark, folder, "documents"), VOCABULARY)
+    return out.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licenses, op2_rabitq, op3_repair, op4_bpe, op5_chosen_path, op6_mixing, op7_language, op8_quality, op9_impact, op10_toxicity, op11_segments)
+    f.__name__: f for f in (op1_licenses, op2_rabitq, op3_repair, op4_bpe, op5_chosen_path, op6_mixing, op7_language, op8_quality, op9_impact, op10_toxicity, op11_segments, op12_heap)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -48,6 +48,10 @@ _ID = operator.attrgetter("id")
 _MAPPED = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
 
+def byte_letter(b: int) -> str:
+    return chr(b).translate(_MAPPED)
+
+
 def mapped(piece: str) -> str:
     return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_MAPPED)
 
