@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chosen_path, hard_negatives, impact, language, licenses, mixing, quality, rabitq, repair, token_counts, toxicity
+from shelfmark.llm import bpe, chosen_path, collocations, hard_negatives, impact, language, licenses, mixing, quality, rabitq, repair, token_counts, toxicity
 from shelfmark.llm.common import fold, read
 from shelfmark.session import shared_folder
 
@@ -88,8 +88,12 @@ def op12_heap(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op13_tries(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licenses, op2_rabitq, op3_repair, op4_bpe, op5_chosen_path, op6_mixing, op7_language, op8_quality, op9_impact, op10_toxicity, op11_segments, op12_heap)
+    f.__name__: f for f in (op1_licenses, op2_rabitq, op3_repair, op4_bpe, op5_chosen_path, op6_mixing, op7_language, op8_quality, op9_impact, op10_toxicity, op11_segments, op12_heap, op13_tries)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -158,5 +162,36 @@ r AS (
   FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same
    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+""",
+    "op13_tries": r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+i AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p),
+f AS (
+  SELECT lang, phrase, count(*) AS a
+  FROM (SELECT lang, w[i] AS phrase FROM i
+        UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] FROM i WHERE i + 1 <= len(w)
+        UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM i WHERE i + 2 <= len(w))
+  GROUP BY lang, phrase),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE a >= 10 AND len(string_split(phrase, ' ')) > 1),
+k AS (
+  SELECT lang, phrase, a, 1 AS k, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM c
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE len(w) = 3),
+s AS (
+  SELECT k.lang, k.phrase, k.a, l.a AS l, r.a AS r, k, (1000000::HUGEINT * k.a * k.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.x JOIN f r ON r.lang = k.lang AND r.phrase = k.y),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS turn FROM s) WHERE turn = 1),
+inner_pairs AS (
+  SELECT lang, phrase, max(a) AS a
+  FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE len(w) = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE len(w) = 3)
+  GROUP BY lang, phrase),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN inner_pairs i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.a IS NULL OR 100 * i.a < 50 * b.a)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
 """,
 }
