@@ -81,15 +81,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
+# a second set, for hashes independent of the first
+OTHER_CODES = mix(np.arange(257, 513, dtype=np.uint64) * _STEP)
 
 
 class Spans:
     """Polynomial hashes of any spans of one byte string, from prefix sums."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, codes: np.ndarray = _BYTE_CODES):
         up, self._down = _powers(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=self._sums[1:])
+        np.cumsum(codes[data] * up[: len(data)], out=self._sums[1:])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sums[ends] - self._sums[starts]) * self._down[starts])
