@@ -14,7 +14,7 @@ from shelfmark.operators import sync
 from shelfmark.plans.fixtures import Tables
 from shelfmark.plans.registry import query
 from shelfmark.session import shared_folder
-from shelfmark.streaming import changes, windows
+from shelfmark.streaming import changes, limits, windows
 
 
 def event_stream(t: Tables) -> DataFrame:
@@ -127,3 +127,15 @@ def _(t: Tables):
 def _(t: Tables):
     limited = windows.rate_limit_windows(event_stream(t), width="1 hour", slide="30 minutes", limit=3)
     return newest_per(drain(t, limited, "update"), ["user_id", "window_start", "window_end"])
+
+
+@query("rate_limit_trailing_stream", "R10", """
+    SELECT user_id, event_id, last_minute, last_hour, CASE WHEN last_minute >= 1 THEN 60 ELSE 3600 END AS retry_after FROM (
+        SELECT user_id, event_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND 1 PRECEDING)
+               AS last_minute, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING)
+               AS last_hour FROM events)
+    WHERE (last_minute >= 1 OR last_hour >= 2) AND epoch_us(ts) < ((SELECT epoch_ms(max(ts)) FROM events) - 600000) * 1000""")
+def _(t: Tables):
+    limited = limits.rate_limited_stream(event_stream(t), per_minute=1, per_hour=2)
+    with limits.state_on_disk(t.spark):
+        return drain(t, limited, "append").drop("batch_id")

@@ -72,3 +72,38 @@ def test_work_folders_follow_the_cluster_setting(spark):
     assert first.startswith("hdfs://shared/cp/") and first != second
     with pytest.raises(ValueError):
         shared_folder(session("", "yarn"), "x")
+
+
+def test_trailing_limits_as_the_batch_form(spark, tmp_path):
+    """Files out of order, a restart between them, and an event behind the watermark."""
+    import random
+
+    from shelfmark.streaming import limits, windows
+
+    rng = random.Random(12)
+    start = 1_704_067_200_000_000
+    rows = [(i, f"u{rng.choice([1, 1, 1, 2, 3])}", start + rng.randrange(0, 4 * 3600) * 1_000_000 + rng.randrange(3)) for i in range(900)]
+    rows.sort(key=lambda r: r[2] + rng.randrange(0, 500) * 1_000_000)  # within the lateness of ten minutes
+    rows += [(900 + k, "u1", rows[-1][2]) for k in range(5)]  # at one instant
+    late = (1000, "u1", start)
+    box, schema = str(tmp_path / "events"), "event_id long, user_id string, at long"
+    frame = lambda part: spark.createDataFrame(part, schema).selectExpr("event_id", "user_id", "timestamp_micros(at) ts")
+
+    def run():
+        stream = spark.readStream.schema("event_id long, user_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(box)
+        limited = limits.rate_limited_stream(stream, per_minute=3, per_hour=60)
+        with limits.state_on_disk(spark):
+            changes.run_to_end(limited, str(tmp_path / "cp"), changes.snapshot_writer(str(tmp_path / "out")))
+
+    for k in range(6):
+        part = rows[k * 151 : (k + 1) * 151] + ([late] if k == 5 else [])
+        frame(part).coalesce(1).write.mode("append").parquet(box)
+        if k in (2, 5):
+            run()
+    newest = max(r[2] for r in rows)
+    settled = frame(rows).where(F.unix_micros("ts") < (newest // 1000 - 600_000) * 1000)
+    want = windows.rate_limited(settled, per_minute=3, per_hour=60)
+    columns = ["user_id", "event_id", "last_minute", "last_hour", "retry_after"]
+    got = spark.read.parquet(str(tmp_path / "out") + "/*").select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert want.count() > 100
