@@ -15,6 +15,7 @@ from shelfmark.plans.fixtures import Tables
 from shelfmark.plans.registry import query
 from shelfmark.session import shared_folder
 from shelfmark.streaming import changes, limits, windows
+from shelfmark.streaming.state_table import ChangeStateTable
 
 
 def event_stream(t: Tables) -> DataFrame:
@@ -139,3 +140,20 @@ def _(t: Tables):
     limited = limits.rate_limited_stream(event_stream(t), per_minute=1, per_hour=2)
     with limits.state_on_disk(t.spark):
         return drain(t, limited, "append").drop("batch_id")
+
+
+@query("change_state_compacted", "R3 R4", """
+    WITH spread AS (
+        SELECT event_id, path, CASE WHEN change_type = 'renamed' THEN 'created' ELSE change_type END AS change_type, modified_at FROM fx_changes
+        UNION ALL SELECT event_id, old_path, 'deleted', modified_at FROM fx_changes WHERE change_type = 'renamed')
+    SELECT path, arg_max(change_type, (modified_at, event_id)) AS last_change, count(*) AS changes, 2 AS segments FROM spread GROUP BY path""")
+def _(t: Tables):
+    """The feed as five batches: four merge into one segment, the fifth is one of its own."""
+    folder = shared_folder(t.spark, "state")
+    feed = t.changes
+    feed.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(5))).repartition(5, "part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{folder}/feed")
+    table = ChangeStateTable(t.spark, f"{folder}/table")
+    for part in range(5):
+        stream = t.spark.readStream.schema(feed.schema).parquet(f"{folder}/feed/part={part}")
+        changes.run_to_end(stream, f"{folder}/checkpoint/{part}", lambda batch, _, part=part: table.append(batch, part))
+    return table.read().select("path", "last_change", "changes", F.lit(len(table.manifest()["segments"])).alias("segments"))

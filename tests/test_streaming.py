@@ -107,3 +107,58 @@ def test_trailing_limits_as_the_batch_form(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out") + "/*").select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*columns).collect()))
     assert want.count() > 100
+
+
+def test_change_state_is_compacted_while_it_is_read(spark, tmp_path):
+    from shelfmark.operators import sync
+    from shelfmark.schemas import CHANGES
+    from shelfmark.streaming.state_table import ChangeStateTable
+
+    table = ChangeStateTable(spark, str(tmp_path / "state"), fan=3, retain=2)
+    rows, batches, held = [], [], {}
+    for b in range(10):
+        kind = ["created", "modified", "deleted", "renamed"][b % 4]
+        part = [(b * 10 + k, f"/p{(b + k) % 7}", kind, None, b * 10 + k, f"/p{k}" if kind == "renamed" else None, None, None) for k in range(6)]
+        batch = spark.createDataFrame(part, CHANGES).withColumn("modified_at", F.timestamp_micros(F.col("event_id") * 7 % 50))
+        batches.append(batch)
+        rows += part
+        table.append(batch, b)
+        if b == 6:
+            held = {g: table.read(g) for g in table.generations()}  # readers of now
+            before = {g: sorted(map(tuple, df.collect())) for g, df in held.items()}
+        if b == 7:  # the newest generation of then still has its segments
+            assert sorted(map(tuple, held[6].collect())) == before[6]
+        levels = [level for _, level in table.manifest()["segments"]]
+        assert max(levels.count(x) for x in levels) < 3
+        assert len(table._names("segments")) <= 3 * 6 and len(table.generations()) <= 3
+    whole = batches[0]
+    for batch in batches[1:]:
+        whole = whole.unionByName(batch)
+    want = sorted(map(tuple, sync.latest_state(whole).collect()))
+    assert sorted(map(tuple, table.read().collect())) == want
+    table.append(batches[-1], 9)  # the stream starts again and repeats its last batch
+    assert sorted(map(tuple, table.read().collect())) == want
+    assert sorted(map(tuple, ChangeStateTable(spark, str(tmp_path / "state")).read().collect())) == want
+    assert ChangeStateTable(spark, str(tmp_path / "none")).read().count() == 0
+
+
+def test_a_failed_batch_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    from shelfmark.schemas import CHANGES
+    from shelfmark.streaming.state_table import ChangeStateTable
+
+    table = ChangeStateTable(spark, str(tmp_path / "state"))
+    batch = lambda k: spark.createDataFrame([(k, f"/p{k}", "created", None, 1, None, None, None)], CHANGES)
+    table.append(batch(0), 0)
+    write = table._write
+
+    def broken(*args):
+        write(*args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(table, "_write", broken)
+    with pytest.raises(RuntimeError):
+        table.append(batch(1), 1)
+    monkeypatch.undo()
+    assert [r.path for r in table.read().collect()] == ["/p0"]
+    table.append(batch(1), 1)
+    assert sorted(r.path for r in table.read().collect()) == ["/p0", "/p1"]
