@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import shared_folder
+from shelfmark.functions.scale import join_groups
+from shelfmark.session import remove_folder, shared_folder
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -32,3 +33,53 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         labels = moved.select("id", "label")
         if moved.where("label < old").isEmpty():
             return labels
+
+
+def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """As ``connected``, for graphs with hubs and long chains.
+
+    Two steps alternate until the edges stay as they are.  The large star links every
+    larger neighbour of a vertex to the smallest id around it, the small star every
+    smaller one and the vertex itself, so that chains halve and hubs end at their
+    component's smallest id; each takes the smallest id from one aggregation.  Edges meet
+    the minimum of their vertex through ``join_groups``: those of the largest hubs stay
+    where they are and get it from a broadcast of bounded size.
+    """
+    spark = edges.sparkSession
+    folders: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        folders.append(shared_folder(spark, "stars"))
+        df.write.parquet(folders[-1])
+        for done in folders[:-1]:
+            remove_folder(spark, done)
+        del folders[:-1]
+        return spark.read.schema(df.schema).parquet(folders[-1])
+
+    def around(df: DataFrame) -> DataFrame:
+        return df.groupBy("x").agg(F.min("y").alias("low"), F.count("*").alias("n"))
+
+    def large(links: DataFrame) -> DataFrame:
+        """``links`` lead from the larger to the smaller id, and so does the result."""
+        up = links.select(F.col("y").alias("x"), F.col("x").alias("y"))
+        near = join_groups(up, around(links.unionByName(up)), ["x"], "n", "y")
+        return near.select(F.col("y").alias("x"), F.least("x", "low").alias("y")).distinct()
+
+    def small(links: DataFrame) -> DataFrame:
+        lows = around(links)
+        others = join_groups(links, lows, ["x"], "n", "y").where("y != low").select(F.col("y").alias("x"), F.col("low").alias("y"))
+        return others.unionByName(lows.select("x", F.col("low").alias("y"))).distinct()
+
+    def seal(links: DataFrame) -> tuple:
+        """Equal for equal sets of edges."""
+        h = F.xxhash64("x", "y")
+        return tuple(links.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+
+    ends = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
+    links = kept(ends.distinct())
+    before = None
+    while (now := seal(links)) != before:
+        before = now
+        links = kept(small(kept(large(links))))
+    roots = links.select(F.col("y").alias("id"), F.col("y").alias("label")).distinct()
+    return links.select(F.col("x").alias("id"), F.col("y").alias("label")).unionByName(roots)

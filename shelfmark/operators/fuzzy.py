@@ -19,7 +19,7 @@ from shelfmark.functions import paths
 from shelfmark.functions.hashing import stable_id
 from shelfmark.functions.names import normalize
 from shelfmark.functions.rules import with_struct
-from shelfmark.functions.components import connected
+from shelfmark.functions.components import star_components
 from shelfmark.functions.scale import HOT_ROWS_MIN, join_groups
 from shelfmark.functions.similarity import sequence_ratio
 
@@ -173,4 +173,4 @@ def pair_groups(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
 def linked_groups(pairs: DataFrame) -> DataFrame:
     """``file_id, group_id`` of every linked file: the smallest file id its links lead to."""
-    return connected(pairs, "file_a", "file_b").select(F.col("id").alias("file_id"), F.col("label").alias("group_id"))
+    return star_components(pairs, "file_a", "file_b").select(F.col("id").alias("file_id"), F.col("label").alias("group_id"))

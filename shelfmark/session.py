@@ -70,3 +70,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix=f"shelfmark-{purpose}-")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder written earlier that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

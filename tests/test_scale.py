@@ -72,3 +72,46 @@ def test_members_of_a_hot_group_are_complete(spark):
     assert members.count() == 900
     hot = members.join(groups.where("hash_full = 'h'").select("group_id"), "group_id")
     assert hot.count() == 300 and hot.where("is_canonical").count() == 1
+
+
+def components_of(edges):
+    parent = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {v: root(v) for v in parent}
+
+
+def test_star_components_of_random_graphs(spark):
+    import random
+
+    from shelfmark.functions.components import star_components
+
+    rng = random.Random(3)
+    for n, m in ((300, 280), (1, 0)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        got = star_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+        assert {r.id: r.label for r in got} == components_of(edges) and len(got) == len({r.id for r in got})
+
+
+def test_star_components_of_a_chain_and_of_hubs(spark):
+    """A chain in shuffled order, a hub with the largest id and one with the smallest."""
+    from pyspark.sql import functions as F
+
+    from shelfmark.functions.components import star_components
+
+    chain = spark.range(10_000).select(((F.col("id") * 7919) % 10_007).alias("a"), (((F.col("id") + 1) * 7919) % 10_007).alias("b"))
+    low = spark.range(100_001, 400_000).select(F.lit(100_000).cast("long").alias("a"), F.col("id").alias("b"))
+    high = spark.range(1_000_000, 1_300_000).select(F.col("id").alias("a"), F.lit(9_000_000).cast("long").alias("b"))
+    got = star_components(chain.unionByName(low).unionByName(high), "a", "b")
+    sizes = {r.label: r["count"] for r in got.groupBy("label").count().collect()}
+    assert sizes == {0: 10_001, 100_000: 300_000, 1_000_000: 300_001}
+    assert got.where("label > id").isEmpty()
