@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import flags, registry
+from shelfmark.operators import flags, keyed, registry
 from shelfmark.plans import rule_sql as rs
 from shelfmark.plans.fixtures import Tables
 from shelfmark.plans.registry import query
 from shelfmark.operators.registry import LIKELY, SUGGESTIONS
+from shelfmark.session import shared_folder
 
 
 @query("registry_overview", "A15", """
@@ -347,3 +348,27 @@ def _(t: Tables):
     WHEN document_type = 'unknown' THEN 2 WHEN confidence < 0.75 THEN 3 ELSE 4 END, confidence ASC NULLS FIRST, file_name LIMIT 100""")
 def _(t: Tables):
     return registry.review_list(t.registry).orderBy(*registry.review_order()).limit(100).select("file_id", "file_name", "confidence")
+
+
+@query("lookup_by_hash_keyed", "F20", f"SELECT file_id, hash_quick, path FROM fx_files WHERE hash_quick = ({DIGEST})")
+def _(t: Tables):
+    folder = shared_folder(t.spark, "keyed")
+    keyed.write_keyed(t.files.select("file_id", "hash_quick", "path"), folder, "hash_quick", "file_id")
+    smallest = t.files.agg(F.min("hash_full").alias("h")).scalar()
+    value = t.spark.range(1).select(smallest.alias("h")).first().h
+    return keyed.by_key(t.spark, folder, "hash_quick", value)
+
+
+@query("search_names_indexed", "F8", """
+    SELECT file_id, file_name FROM fx_registry WHERE contains(lower(file_name), 'voice #1') ORDER BY file_id DESC LIMIT 50""")
+def _(t: Tables):
+    folder = shared_folder(t.spark, "names")
+    keyed.write_names(t.registry, folder, "file_id", "file_name")
+    return keyed.search(t.spark, folder, "Voice #1", 50, like=False).toDF("file_id", "file_name")
+
+
+@query("search_like_indexed", "F7 F8", "SELECT file_id, file_name FROM fx_registry WHERE file_name ILIKE '%Contract%_1_.%df'")
+def _(t: Tables):
+    folder = shared_folder(t.spark, "names")
+    keyed.write_names(t.registry, folder, "file_id", "file_name")
+    return keyed.search(t.spark, folder, "%Contract%_1_.%df").toDF("file_id", "file_name")
