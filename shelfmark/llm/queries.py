@@ -130,17 +130,16 @@ FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
 """,
     "op9_impact": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
-  FROM (SELECT vec_id, min(embedding) AS embedding FROM embeddings
-        WHERE vec_id IS NOT NULL AND len(embedding) > 0
-          AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
-        GROUP BY vec_id)),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS no
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id
+  SELECT q.no, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.no <> c.no
   WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+FROM (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id) AS rank FROM p)
 WHERE rank <= 5
 """,
     "op11_segments": """

@@ -70,14 +70,14 @@ def build_index(rows: DataFrame, per_block: int = vectors.CANDIDATES) -> tuple[D
     shared = rows.sparkSession.sparkContext.broadcast(center)
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        ids, vecs = vectors.matrix(group)
+        nos, ids, vecs = vectors.matrix(group)
         c = shared.value[vecs.shape[1]]
         codes, norm, own = encode(vecs, c)
         return pd.DataFrame(
-            [{"dim": vecs.shape[1], "block": group["block"].iloc[0], "ids": ids.tobytes(), "codes": codes.tobytes(), "scalars": np.stack([norm, own]).tobytes(), "vecs": vecs.tobytes(), "center": c.tobytes()}]
+            [{"dim": vecs.shape[1], "block": group["block"].iloc[0], "nos": nos.tobytes(), "ids": ids.tobytes(), "codes": codes.tobytes(), "scalars": np.stack([norm, own]).tobytes(), "vecs": vecs.tobytes(), "center": c.tobytes()}]
         )
 
-    return dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, codes binary, scalars binary, vecs binary, center binary"), n
+    return dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, nos binary, ids binary, codes binary, scalars binary, vecs binary, center binary"), n
 
 
 def nearest(df: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -85,7 +85,7 @@ def nearest(df: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", v
 
     ``is_query`` is a condition on ``id``.  Vectors that are null, zero or hold a null or
     non-finite component take no part; vectors meet only others of their dimension; equal
-    distances go to the smaller id.
+    distances go to the smaller id.  Rows that share an id are rows of their own.
     """
     rows = vectors.usable(df, id_col, vec_col, zero=False)
     index, n_blocks = build_index(rows)
@@ -95,7 +95,7 @@ def nearest(df: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", v
         return pd.concat([_search(r, k) for r in group.to_dict("records")])
 
     found = vectors.cells(index, n_blocks, queries, n_query_blocks).groupBy("dim", "block", "qblock").applyInPandas(
-        search, "query_id long, vec_id long, score double"
+        search, "no long, query_id long, vec_id long, score double"
     )
     return vectors.best(found, k, F.col("score"))
 
@@ -103,18 +103,19 @@ def nearest(df: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", v
 def _search(cell: dict, k: int) -> pd.DataFrame:
     dim = cell["dim"]
     take = lambda name, kind=np.float64: np.frombuffer(cell[name], kind)
-    ids, q_ids = take("ids", np.int64), take("q_ids", np.int64)
+    nos, ids = take("nos", np.int64), take("ids", np.int64)
+    q_nos, q_ids = take("q_nos", np.int64), take("q_ids", np.int64)
     vecs, q_vecs = take("vecs").reshape(-1, dim), take("q_vecs").reshape(-1, dim)
     codes = take("codes", np.uint64).reshape(len(ids), -1)
     (norm, own), center = take("scalars").reshape(2, -1), take("center")
     out = []
-    for q_id, q in zip(q_ids, q_vecs, strict=True):
+    for q_no, q_id, q in zip(q_nos, q_ids, q_vecs, strict=True):
         guess, error = estimate(codes, norm, own, q, center)
-        others = np.flatnonzero(ids != q_id)
+        others = np.flatnonzero(nos != q_no)
         upper, lower = (guess + error)[others], (guess - error)[others]
         reach = np.partition(upper, k - 1)[k - 1] if len(others) > k else np.inf
         near = others[lower <= reach]
         exact = np.sqrt(((vecs[near] - q) ** 2).sum(axis=1))
         first = np.lexsort((ids[near], exact))[:k]
-        out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[near][first], "score": exact[first]}))
+        out.append(pd.DataFrame({"no": q_no, "query_id": q_id, "vec_id": ids[near][first], "score": exact[first]}))
     return pd.concat(out)

@@ -7,45 +7,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import written
+
 # Rows of a candidate block and of a query block: what one task holds, whatever the input.
 CANDIDATES = 8192
 QUERIES = 1024
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
-    """``id long, vec array<double>, dim``: rows with an id and only finite components; all-zero ones if ``zero``.
+    """``no, id long, vec array<double>, dim``: rows with an id and only finite components; all-zero ones if ``zero``.
 
-    Of rows that share an id the smallest vector counts.
+    ``no`` tells rows apart, also those that share an id or are equal; it is written
+    once, so that it stays the same when a task runs again.
     """
-    x = F.col(vec_col).cast("array<double>")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), x.alias("vec")).where("id is not null and vec is not null and size(vec) > 0")
+    rows = df.select(F.monotonically_increasing_id().alias("no"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = rows.where("id is not null and vec is not null and size(vec) > 0")
     rows = rows.where(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
     if not zero:
         rows = rows.where(F.exists("vec", lambda v: v != 0))
-    return rows.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    return written(rows.withColumn("dim", F.size("vec")), "vectors")
 
 
 def dealt(rows: DataFrame, per_block: int, out: str, salt: int) -> tuple[DataFrame, int]:
-    """Add block number ``out`` by a hash of the id, and return how many blocks there are."""
+    """Add block number ``out`` by a hash of the row's number, and return how many blocks there are."""
     n = max(1, -(-rows.count() // per_block))
-    return rows.withColumn(out, F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")), n
+    return rows.withColumn(out, F.pmod(F.xxhash64("no", F.lit(salt)), F.lit(n)).cast("int")), n
 
 
-def matrix(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a group in ascending id order."""
-    group = group.sort_values("id")
-    return group["id"].to_numpy(np.int64), np.stack(group["vec"].to_list()).astype(np.float64)
+def matrix(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, ids and vectors of a group in ascending id order."""
+    group = group.sort_values(["id", "no"])
+    return group["no"].to_numpy(np.int64), group["id"].to_numpy(np.int64), np.stack(group["vec"].to_list()).astype(np.float64)
 
 
 def pack_queries(rows: DataFrame, per_block: int) -> tuple[DataFrame, int]:
-    """One row a query block: ``dim, qblock, q_ids binary, q_vecs binary``."""
+    """One row a query block: ``dim, qblock, q_nos, q_ids, q_vecs``, the last three binary."""
     rows, n = dealt(rows, per_block, "qblock", 1)
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        ids, vecs = matrix(group)
-        return pd.DataFrame([{"dim": vecs.shape[1], "qblock": group["qblock"].iloc[0], "q_ids": ids.tobytes(), "q_vecs": vecs.tobytes()}])
+        nos, ids, vecs = matrix(group)
+        return pd.DataFrame([{"dim": vecs.shape[1], "qblock": group["qblock"].iloc[0], "q_nos": nos.tobytes(), "q_ids": ids.tobytes(), "q_vecs": vecs.tobytes()}])
 
-    return rows.groupBy("dim", "qblock").applyInPandas(pack, "dim int, qblock int, q_ids binary, q_vecs binary"), n
+    return rows.groupBy("dim", "qblock").applyInPandas(pack, "dim int, qblock int, q_nos binary, q_ids binary, q_vecs binary"), n
 
 
 def cells(index: DataFrame, n_blocks: int, queries: DataFrame, n_query_blocks: int) -> DataFrame:
@@ -56,6 +59,6 @@ def cells(index: DataFrame, n_blocks: int, queries: DataFrame, n_query_blocks: i
 
 
 def best(found: DataFrame, k: int, score: Column) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the first k of each query by ``score`` and vec_id."""
-    w = Window.partitionBy("query_id").orderBy(score, "vec_id")
+    """``query_id, rank, vec_id, score``: the first k of each query row ``no`` by ``score`` and vec_id."""
+    w = Window.partitionBy("no").orderBy(score, "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

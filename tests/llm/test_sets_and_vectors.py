@@ -82,30 +82,28 @@ SCHEMA = "vec_id long, embedding array<double>, id int"
 
 
 def usable(rows, zero):
-    out = {}
-    for i, v, _ in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v)):
-            out[i] = np.array(v)
-    return out
+    """Rows that take part, each one its own."""
+    return [(i, np.array(v)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v))]
+
+
+def brute(rows, is_query, score, k):
+    """Sorted (query id, rank, id, score) with a smaller score first."""
+    out = []
+    for a, (q, x) in enumerate(rows):
+        if is_query(q):
+            others = sorted((score(x, v), i) for b, (i, v) in enumerate(rows) if a != b and len(v) == len(x))
+            out += [(q, rank, i, s) for rank, (s, i) in enumerate(others[:k], 1)]
+    return sorted(out)
 
 
 def test_nearest_found_and_ordered(spark, vector_rows, monkeypatch):
     monkeypatch.setattr(rabitq.build_index, "__defaults__", (150,))
     df = spark.createDataFrame(vector_rows, SCHEMA).repartition(5)
-    got = defaultdict(dict)
-    for r in rabitq.nearest(df, "id % 10 = 0", k=7).collect():
-        got[r.query_id][r.rank] = (r.vec_id, r.score)
-    vecs = usable(vector_rows, zero=False)
-    hits = total = 0
-    for q in (i for i in vecs if i % 10 == 0):
-        true = sorted((float(np.sqrt(((v - vecs[q]) ** 2).sum())), i) for i, v in vecs.items() if i != q and len(v) == len(vecs[q]))[:7]
-        mine = [got[q][k + 1] for k in range(len(true))]
-        assert len(got[q]) == len(true) and [(s, i) for i, s in mine] == sorted((s, i) for i, s in mine)
-        for i, s in mine:
-            assert s == pytest.approx(np.sqrt(((vecs[i] - vecs[q]) ** 2).sum()), abs=1e-12)
-        hits += len({i for i, _ in mine} & {i for _, i in true})
-        total += len(true)
-    assert hits / total > 0.99
+    got = sorted(map(tuple, rabitq.nearest(df, "id % 10 = 0", k=7).collect()))
+    want = brute(usable(vector_rows, zero=False), lambda i: i % 10 == 0, lambda x, v: float(np.sqrt(((v - x) ** 2).sum())), 7)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    hits = sum(g[2] == w[2] and g[3] == pytest.approx(w[3], abs=1e-12) for g, w in zip(got, want, strict=True))
+    assert hits / len(want) > 0.99
     assert rabitq.nearest(spark.createDataFrame([], SCHEMA), "id % 10 = 0").count() == 0
 
 
@@ -124,20 +122,29 @@ def test_estimates_stay_inside_their_bounds():
 def test_exact_top_k(spark, vector_rows, monkeypatch):
     monkeypatch.setattr(impact.build_index, "__defaults__", (150,))
     monkeypatch.setattr(vectors, "QUERIES", 20)
-    df = spark.createDataFrame(vector_rows, SCHEMA).repartition(5)
-    got = defaultdict(list)
-    for r in impact.top_k(df, "id % 5 = 0").orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    vecs = {i: np.floor(256 * v).astype(int) for i, v in usable(vector_rows, zero=True).items()}
-    want = {}
-    for q in (i for i in vecs if i % 5 == 0):
-        scored = sorted((-int(v @ vecs[q]), i) for i, v in vecs.items() if i != q and len(v) == len(vecs[q]))[:5]
-        if scored:
-            want[q] = [(i, -s) for s, i in scored]
-    assert dict(got) == want
+    rows = [*vector_rows, (0, [1.0] * 24, 1), (1000, [1e17, 2.0, 3.0], 1), (1005, [1e17, -3e16, 3.0], 1), (1010, [-4.0, 3e16, 2.0], 1), (1015, [1.0, 2.0, 3.0], 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sorted((r.query_id, r.rank, r.vec_id, -r.score) for r in impact.top_k(df, "id % 5 = 0").collect())
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in usable(rows, zero=True)]
+    product = lambda x, v: -max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, v, strict=True))))
+    assert got == brute(whole, lambda i: i % 5 == 0, product, 5)
     assert impact.top_k(spark.createDataFrame([], SCHEMA), "id % 5 = 0").count() == 0
 
 
+def test_reading_stops_on_proof():
+    """Random vectors: reading stops before the end, and few rows are left for exact scores."""
+    rng = np.random.default_rng(7)
+    vecs = np.floor(256 * rng.standard_normal((4000, 64)) / 8)
+    index = impact.Segments(vecs, *impact.segments_of(vecs))
+    left = 0
+    for at, possible in index.possible(vecs[:100], np.arange(100)[:, None] != np.arange(4000), 5):
+        true = vecs @ vecs[at]
+        true[at] = -np.inf
+        assert set(np.argsort(-true, kind="stable")[:5]) <= set(possible)
+        left += len(possible)
+    assert left / 100 <= impact.FEW * 4000 and index.read < 0.9 * 100 * np.count_nonzero(vecs)
+
+
 def near_copies(rng, n_bases, copies):
     words = [f"w{k}" for k in range(3000)]
     line = " ".join(rng.choice(words) for _ in range(40))
