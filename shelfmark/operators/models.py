@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -251,6 +252,35 @@ def accuracy(scored: DataFrame) -> DataFrame:
     )
 
 
+def with_folds(labelled: DataFrame, id_col: str, label_col: str = "label", folds: int = 5, floor: int = HOT_ROWS_MIN) -> DataFrame:
+    """Adds ``fold`` 0 to folds - 1: rows of each class in turn, in md5 order."""
+    numbered = number_rows(labelled, [label_col], id_col, "_ordinal", floor)
+    return numbered.withColumn("fold", (F.col("_ordinal") % folds).cast("int")).drop("_ordinal")
+
+
+def fold_predictions(folded: DataFrame, make: Callable[[], Pipeline], id_col: str, folds: int = 5, side_by_side: int = 2) -> DataFrame:
+    """``predict`` rows with ``fold`` and ``label``, each row by the model that has not seen its fold.
+
+    ``side_by_side`` folds are fitted at a time, so that their jobs fill the cluster.
+    """
+    def one(fold: int) -> DataFrame:
+        model = fit(make(), folded.where(F.col("fold") != fold).drop("fold"))
+        held = folded.where(F.col("fold") == fold)
+        return predict(model, held.drop("fold"), id_col).join(held.select(id_col, "fold", "label"), id_col)
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, range(folds)))
+
+
+def train_session(spark, session_id: str, labelled: DataFrame, make: Callable[[], Pipeline], id_col: str, as_of=None) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """(model, its predictions of the test rows with their labels, session record) of one training run."""
+    train, test = stratified_split(labelled, id_col)
+    model = fit(make(), train)
+    scored = predict(model, test, id_col).join(test.select(id_col, "label"), id_col)
+    result = accuracy(scored).first()
+    return model, scored, session_record(spark, session_id, train.count(), result.rows, result.accuracy or 0.0, as_of)
+
+
 def cross_validated_accuracy(labelled: DataFrame, pipeline: Pipeline, folds: int = 5, seed: int = 42) -> float:
     """Mean accuracy over the folds."""
     evaluator = MulticlassClassificationEvaluator(labelCol="label_index", metricName="accuracy")

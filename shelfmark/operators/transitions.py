@@ -140,9 +140,10 @@ def mark_classified(registry: DataFrame, decisions: DataFrame) -> DataFrame:
 def mark_organised(registry: DataFrame, plan: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
     """(next registry, move_history rows) for planned (file_id, target_path).
 
-    A file already at its target becomes organised without counting a move.
+    A file already at its target becomes organised without counting a move; of several
+    plan rows of a file the one with the last target counts.
     """
-    joined = registry.join(plan.select("file_id", "target_path"), "file_id", "left")
+    joined = registry.join(one_per_key(plan.select("file_id", "target_path"), "file_id"), "file_id", "left")
     planned = F.col("target_path").isNotNull()
     moved = planned & ~F.col("original_path").eqNullSafe(F.col("target_path"))
     nxt = (

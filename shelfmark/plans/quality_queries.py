@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from shelfmark.operators import organise, quality
 from shelfmark.plans.fixtures import REGISTRY_CLOCK, Tables
 from shelfmark.plans.registry import query
+from shelfmark.session import shared_folder
+from shelfmark.streaming import changes, inbox
 
 NOW = f"TIMESTAMP '{REGISTRY_CLOCK}'"
 
@@ -101,18 +103,38 @@ def _(t: Tables):
     return quality.store_statistics(t.base, predictions, feedback(t), categories, sessions)
 
 
-@query("retrain_trigger", "A36", f"""
+TRIGGER = f"""
     SELECT n AS total_feedback, n AS incorrect_count, d AS unique_docs, age AS feedback_age_days,
            n >= 100 OR d >= 50 OR (age >= 7 AND n >= 20) AS should_retrain,
            concat_ws('; ', CASE WHEN n >= 100 THEN 'High incorrect count: ' || n END,
                      CASE WHEN d >= 50 THEN 'Sufficient unique feedback: ' || d END,
                      CASE WHEN age >= 7 AND n >= 20 THEN 'Feedback aged ' || age || ' days with ' || n || ' entries' END) AS reasons
     FROM (SELECT count(*) AS n, count(DISTINCT file_id) AS d,
-                 CAST(floor(epoch({NOW} - min(correction_timestamp)) / 86400) AS BIGINT) AS age FROM fx_corrections)""")
+                 CAST(floor(epoch({NOW} - min(correction_timestamp)) / 86400) AS BIGINT) AS age FROM fx_corrections)"""
+
+
+@query("retrain_trigger", "A36", TRIGGER)
 def _(t: Tables):
     return quality.retrain_trigger(feedback(t), REGISTRY_CLOCK)
 
 
+@query("retrain_watch", "R8 A36", TRIGGER)
+def _(t: Tables):
+    """Feedback that arrives in three batches; the trigger is evaluated after each, and the last is what counts."""
+    folder = shared_folder(t.spark, "feedback")
+    arriving = feedback(t).withColumn("part", F.pmod(F.xxhash64("document_id"), F.lit(3)))
+    arriving.write.partitionBy("part").parquet(f"{folder}/arriving")
+    watch = inbox.retrain_watch(f"{folder}/store", f"{folder}/triggers", REGISTRY_CLOCK)
+    for part in range(3):
+        def run(batch, _, part=part):
+            batch.write.mode("overwrite").parquet(f"{folder}/store/batch={part}")
+            watch(batch, part)
+
+        stream = t.spark.readStream.schema(feedback(t).schema).parquet(f"{folder}/arriving/part={part}")
+        changes.run_to_end(stream, f"{folder}/checkpoint/{part}", run)
+    return t.spark.read.schema(quality.retrain_trigger(feedback(t), REGISTRY_CLOCK).schema).json(f"{folder}/triggers/batch=2")
+
+
 @query("low_confidence_types", "A37", """
     SELECT document_type, count(*) AS count, round(avg(confidence), 6) AS avg_confidence, min(confidence) AS min_confidence
     FROM fx_registry WHERE confidence < 0.7 GROUP BY 1 HAVING count(*) >= 3""")

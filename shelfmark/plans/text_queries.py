@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions import names, paths
 from shelfmark.functions import text as tx
 from shelfmark.functions.scale import top_per_group
+from shelfmark.functions.similarity import sequence_ratio
+from shelfmark.operators import organise
 from shelfmark.plans import rule_sql as rs
 from shelfmark.plans.fixtures import REGISTRY_CLOCK, Tables
 from shelfmark.plans.registry import query
@@ -200,6 +202,31 @@ def _(t: Tables):
     return names.with_enhanced_name(typed, "name").select("file_id", "new_name").where("new_name is not null")
 
 
+@query("rename_occupied", "P16 X14", r"""
+    SELECT file_id, '/' || root_id || '/' || lang || '/' || CASE WHEN starts_with(name, 'contract')
+        THEN '2024_03_01_contract_2024_03_01_' || doc_id || extension ELSE doc_id || '_Invoice_#' || doc_id || extension END AS new_path
+    FROM fx_files WHERE (starts_with(name, 'contract') OR starts_with(name, 'Invoice')) AND doc_id % 2 <> 0""")
+def _(t: Tables):
+    """Files with an even number find their new name taken."""
+    docs = t.files.withColumns({"document_type": F.lit("financial_invoice"), "file_name": F.col("name"), "file_path": F.col("path")})
+    new = names.with_enhanced_name(docs.where("doc_id % 2 = 0")).where("new_name is not null")
+    taken = new.select(F.concat_ws("/", paths.parent(F.col("path")), "new_name").alias("path"))
+    return organise.rename_plan(docs, t.files.select("path").unionByName(taken)).select("file_id", "new_path")
+
+
+@query("name_ratios", "X25", """
+    SELECT file_id, CAST(1 AS DOUBLE) AS same, round(CAST(2 * length(name) AS DOUBLE) / (2 * length(name) + 8), 9) AS longer,
+           round(CAST(2 * length(name) AS DOUBLE) / (2 * length(name) + 5), 9) AS led,
+           CAST(0 AS DOUBLE) AS empty, CAST(0 AS DOUBLE) AS nothing_shared FROM fx_names WHERE length(name) < 190""")
+def _(t: Tables):
+    """Ratios that are known: the name and itself, with more behind, with more before, nothing, and other characters only."""
+    name = F.col("name")
+    shown = lambda other, left=name: F.round(sequence_ratio(left, other), 9)
+    return t.names.where(F.length("name") < 190).select(
+        "file_id", shown(name).alias("same"), shown(F.concat(name, F.lit("########"))).alias("longer"), shown(F.concat(F.lit("#####"), name)).alias("led"),
+        shown(F.lit("")).alias("empty"), shown(F.regexp_replace(name, "(?s).", "#")).alias("nothing_shared"))
+
+
 @query("name_fields", "X15", f"""
     SELECT file_id, CASE WHEN d <> '' THEN d WHEN y = '' THEN '2024-01-31' END AS date,
            CASE WHEN d <> '' THEN left(d, 4) WHEN y <> '' THEN y ELSE '2024' END AS yyyy,

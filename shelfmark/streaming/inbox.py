@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths
 from shelfmark.operators import classify, organise, quality, transitions
 from shelfmark.schemas import REGISTRY
-from shelfmark.sources.files import plain_path
-from shelfmark.functions.hashing import full_hash
+from shelfmark.session import remove_folder, shared_folder
+from shelfmark.sources.files import hash_by_path, plain_path
 
 
 def watch(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """New files of a folder tree, hidden and temporary names skipped.
 
     Producers must move finished files in; there is no settle delay.  The source's own
-    checkpoint emits each path once, whatever the file's modification time.
+    checkpoint emits each path once, whatever the file's modification time.  The stream
+    holds paths and sizes only, so files of any size pass; ``batch_processor`` hashes them.
     """
     raw = (
         spark.readStream.format("binaryFile")
@@ -30,7 +31,6 @@ def watch(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
         raw.where(~F.startswith(name, F.lit(".")) & ~F.startswith(name, F.lit("~")))
         .select(
             plain_path(F.col("path")).alias("original_path"),
-            full_hash(F.col("content")).alias("content_hash"),
             F.col("length").alias("file_size"),
             F.col("modificationTime").alias("drop_timestamp"),
         )
@@ -63,17 +63,28 @@ def process(batch: DataFrame, registry: DataFrame, root: str = "/Canonical", as_
 def batch_processor(registry_path: str, out_path: str, root: str = "/Canonical", as_of=None):
     """foreachBatch function: earlier batches and the base registry are what is known.
 
+    Files without a ``content_hash`` are hashed here, in blocks; one that cannot be read
+    gets the state ``error``.
+
     Output is one table partitioned by ``batch``; a repeated batch overwrites its own
     partition and never counts its own earlier output as known content.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        staged = None
+        if "content_hash" not in batch.columns:
+            hashed = hash_by_path(batch.withColumn("path", F.col("original_path")), "content_hash").drop("path", "hash_error")
+            staged = shared_folder(spark, "hashes")  # each file is opened once, however often the rows are used
+            hashed.write.parquet(staged)
+            batch = spark.read.schema(hashed.schema).parquet(staged)
         known = spark.read.schema(REGISTRY).parquet(registry_path).select("file_id", "content_hash", "is_duplicate")
         if batch_id > 0:
             earlier = spark.read.schema("file_id string, content_hash string, is_duplicate boolean, batch long").parquet(out_path)
             known = known.unionByName(earlier.where(F.col("batch") < batch_id).drop("batch"))
         done = process(batch, known, root, as_of).withColumn("batch", F.lit(batch_id).cast("long"))
         done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out_path)
+        if staged:
+            remove_folder(spark, staged)
 
     return run
 
