@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scale import join_groups
 from shelfmark.session import remove_folder, shared_folder
 
 
@@ -41,9 +40,9 @@ def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Two steps alternate until the edges stay as they are.  The large star links every
     larger neighbour of a vertex to the smallest id around it, the small star every
     smaller one and the vertex itself, so that chains halve and hubs end at their
-    component's smallest id; each takes the smallest id from one aggregation.  Edges meet
-    the minimum of their vertex through ``join_groups``: those of the largest hubs stay
-    where they are and get it from a broadcast of bounded size.
+    component's smallest id; each takes the smallest id from one aggregation with
+    map-side partials.  Edges meet the one row of their vertex in a join whose hot
+    partitions adaptive execution splits, so a hub is not one task.
     """
     spark = edges.sparkSession
     folders: list[str] = []
@@ -57,17 +56,17 @@ def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         return spark.read.schema(df.schema).parquet(folders[-1])
 
     def around(df: DataFrame) -> DataFrame:
-        return df.groupBy("x").agg(F.min("y").alias("low"), F.count("*").alias("n"))
+        return df.groupBy("x").agg(F.min("y").alias("low"))
 
     def large(links: DataFrame) -> DataFrame:
         """``links`` lead from the larger to the smaller id, and so does the result."""
         up = links.select(F.col("y").alias("x"), F.col("x").alias("y"))
-        near = join_groups(up, around(links.unionByName(up)), ["x"], "n", "y")
+        near = up.join(around(links.unionByName(up)), "x")
         return near.select(F.col("y").alias("x"), F.least("x", "low").alias("y")).distinct()
 
     def small(links: DataFrame) -> DataFrame:
         lows = around(links)
-        others = join_groups(links, lows, ["x"], "n", "y").where("y != low").select(F.col("y").alias("x"), F.col("low").alias("y"))
+        others = links.join(lows, "x").where("y != low").select(F.col("y").alias("x"), F.col("low").alias("y"))
         return others.unionByName(lows.select("x", F.col("low").alias("y"))).distinct()
 
     def seal(links: DataFrame) -> tuple:
