@@ -6,7 +6,11 @@ side.  With class prior p the risk of a linear scorer z under the logistic loss
     p * mean_P loss(z, +1) + max(0, mean_U loss(z, -1) - p * mean_P loss(z, -1))
 
 and where the second part would turn negative its gradient is stepped back, so that the
-scorer cannot fit the unlabelled texts beyond what the prior allows.
+scorer cannot fit the unlabelled texts beyond what the prior allows.  Every feature of the
+sample takes part; one whose rates in positives and unlabelled texts are t standard errors
+apart counts with t^2 / (t^2 + DOUBT), so the ridge term weighs heavier on features without
+evidence.  The prior is an argument, or else estimated from texts that a first
+fit did not see: the least ratio of unlabelled to positive texts above any threshold.
 """
 
 from __future__ import annotations
@@ -29,10 +33,13 @@ PREFIXES = (4, 5, 6)
 POSITIVES = 2000
 UNLABELLED = 6000
 MEMBERS = 3
-# A feature gets a weight if it is in so many positives, and so many standard errors more often than in unlabelled texts.
-SEEN_IN_POSITIVES = 4
-ERRORS_APART = 5.0
+# Squared standard errors at which a feature counts half.
+DOUBT = 25.0
+# Steps of the fit, and of the first fit that only ranks texts to estimate the prior.
 STEPS = 150
+RANKING_STEPS = 50
+# The sample is dealt to so many folds; each is ranked by a first fit to the others.
+FOLDS = 2
 RATE = 0.1
 RIDGE = 2e-4
 
@@ -75,38 +82,72 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_nnpu(indices: np.ndarray, lengths: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, size: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of one scorer from rows of features (``indices`` row after row)."""
+def risk(z: np.ndarray, share_p: np.ndarray, share_u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, bool]:
+    """Positive and negative part of the risk of outputs ``z``, the gradient to follow, and whether it steps back."""
+    p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    as_negative = np.logaddexp(0, z)
+    positive_part = prior * (share_p @ np.logaddexp(0, -z))
+    negative_part = share_u @ as_negative - prior * (share_p @ as_negative)
+    of_negative = (share_u - prior * share_p) * p
+    back = negative_part < 0
+    return positive_part, negative_part, -of_negative if back else prior * share_p * (p - 1) + of_negative, back
+
+
+def fit_nnpu(indices: np.ndarray, lengths: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, size: int, scale: np.ndarray | None = None, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias of one scorer from rows of features (``indices`` row after row), averaged over the second half of the steps.
+
+    A feature counts as ``scale`` of it; the ridge term is on the weights before scaling.
+    """
     row = np.repeat(np.arange(len(lengths)), lengths)
+    scale = np.ones(size) if scale is None else scale
     w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
-    grad_p = positive / max(1, positive.sum())
-    grad_u = unlabelled / max(1, unlabelled.sum())
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    for t in range(1, STEPS + 1):
-        z = bias + np.bincount(row, weights=w[indices], minlength=len(lengths))
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        loss_as_negative = np.logaddexp(0, z)
-        negative_part = grad_u @ loss_as_negative - prior * (grad_p @ loss_as_negative)
-        of_negative = (grad_u - prior * grad_p) * p
-        g = prior * grad_p * (p - 1) + of_negative if negative_part >= 0 else -of_negative
-        step = np.append(np.bincount(indices, weights=g[row], minlength=size) + RIDGE * w, g.sum())
+    share_p = positive / max(1, positive.sum())
+    share_u = unlabelled / max(1, unlabelled.sum())
+    m, v, total = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    for t in range(1, steps + 1):
+        z = bias + np.bincount(row, weights=(w * scale)[indices], minlength=len(lengths))
+        g = risk(z, share_p, share_u, prior)[2]
+        step = np.append(scale * np.bincount(indices, weights=g[row], minlength=size) + RIDGE * w, g.sum())
         m = 0.9 * m + 0.1 * step
         v = 0.999 * v + 0.001 * step**2
         move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w -= move[:-1]
         bias -= move[-1]
-    return w, float(bias)
+        if t > steps // 2:
+            total += np.append(w * scale, bias)
+    total /= steps - steps // 2
+    return total[:-1], float(total[-1])
+
 
+def evidence(indices: np.ndarray, lengths: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, size: int) -> np.ndarray:
+    """Share with which each feature counts, by how far its rates in positive and unlabelled rows lie apart."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    in_p, in_u = (np.bincount(indices, weights=x[row], minlength=size) for x in (positive, unlabelled))
+    n_p, n_u = max(1.0, positive.sum()), max(1.0, unlabelled.sum())
+    squared = (in_p / n_p - in_u / n_u) ** 2 / ((in_u + 1) / n_u * (1 / n_p + 1 / n_u))
+    return squared / (squared + DOUBT)
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, members: int = MEMBERS) -> Scorer:
+
+def estimate_prior(z: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Least ratio of the shares of unlabelled and positive rows at or above a threshold that half of the positives pass."""
+    above_p, above_u = np.sort(z[positive > 0]), np.sort(z[unlabelled > 0])
+    if not len(above_p) or not len(above_u):
+        return 0.5
+    cuts = above_p[: len(above_p) // 2 + 1]
+    p, u = (1 - np.searchsorted(x, cuts, "left") / len(x) for x in (above_p, above_u))
+    return float((u / p).min())
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, members: int = MEMBERS, prior: float | None = None) -> Scorer:
     """A scorer averaged over ``members`` classifiers, each trained in a task of its own.
 
-    A document with several labels is toxic if one of them is 1.  The class prior is the
-    share of toxic ones among the labelled documents.  Without any positive nothing is toxic.
+    A document with several labels is toxic if one of them is 1.  ``prior`` is the share of
+    toxic ones among all documents; if it is not given, each member estimates it from its
+    unlabelled texts, so that labels may hold more or fewer toxic ones than the corpus.  Rows
+    that share an id share its label and are rows of their own.  Without any positive
+    nothing is toxic.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    row = marked.agg(F.avg((F.col("label") == 1).cast("double")).alias("prior")).first()
-    prior = min(max(row.prior or 0.0, 1e-4), 0.9)
     chosen = marked.where("label = 1").orderBy(sample_key("id"), "id").limit(positives).select("id", F.lit(True).alias("pos"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, rows.count())
@@ -117,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # each positive serves every member, each unlabelled text one
     dealt = found.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1)))).withColumn("unl", F.expr(f"unl and part % {members} = member")).where("pos or unl")
     fitted = dealt.groupBy("member").applyInPandas(lambda group: _fit(group, prior), "member int, bias double, buckets array<int>, weights array<double>").toArrow().to_pandas()
-    total, bias = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
+    total, bias = np.zeros(1 << BITS), -20.0
     for b, w in zip(fitted["buckets"], fitted["weights"], strict=True):
         total[np.asarray(b, np.int64)] += np.asarray(w) / len(fitted)
     return Scorer(total, float(fitted["bias"].mean()) if len(fitted) else bias)
@@ -141,22 +182,23 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _fit(group: pd.DataFrame, prior: float) -> pd.DataFrame:
-    lists, pos, unl = group["features"].to_list(), group["pos"].to_numpy(bool), group["unl"].to_numpy(bool)
-    lengths = np.array([len(x) for x in lists])
-    flat = np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64)
-    in_positives, in_unlabelled = (np.bincount(flat[np.repeat(x, lengths)], minlength=1 << BITS) for x in (pos, unl))
-    n_p, n_u = max(1, pos.sum()), max(1, unl.sum())
-    spread = np.sqrt((in_unlabelled + 1) / n_u / n_p + (in_unlabelled + 1) / n_u**2)
-    apart = in_positives / n_p - in_unlabelled / n_u > ERRORS_APART * spread
-    used = np.flatnonzero(apart & (in_positives >= min(SEEN_IN_POSITIVES, max(2, n_p // 10))))
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-    kept = place[flat] >= 0
-    lengths = np.bincount(np.repeat(np.arange(len(lists)), lengths)[kept], minlength=len(lists))
-    if not pos.any():
+def _fit(group: pd.DataFrame, prior: float | None) -> pd.DataFrame:
+    if not group["pos"].any():
         return pd.DataFrame({"member": group["member"].head(1), "bias": [-20.0], "buckets": [[]], "weights": [[]]})
-    w, bias = fit_nnpu(place[flat[kept]], lengths, pos.astype(float), unl.astype(float), prior, len(used))
+    group = group.sort_values("part", kind="stable")  # the same sample in any order of arrival
+    pos, unl = (group[x].to_numpy(float) for x in ("pos", "unl"))
+    lists = group["features"].to_list()
+    lengths = np.array([len(x) for x in lists])
+    used, indices = np.unique(np.concatenate([np.empty(0, np.int32), *lists]), return_inverse=True)
+    indices, size = indices.astype(np.int32), len(used)
+    if prior is None:
+        z, row, turn = np.zeros(len(lists)), np.repeat(np.arange(len(lists)), lengths), np.arange(len(lists)) % FOLDS
+        for k in range(FOLDS):
+            rest = turn != k
+            w, bias = fit_nnpu(indices, lengths, pos * rest, unl * rest, 0.5, size, evidence(indices, lengths, pos * rest, unl * rest, size), RANKING_STEPS)
+            z[~rest] = bias + np.bincount(row, weights=w[indices], minlength=len(lists))[~rest]
+        prior = estimate_prior(z, pos, unl)
+    w, bias = fit_nnpu(indices, lengths, pos, unl, min(max(prior, 1e-4), 0.9), size, evidence(indices, lengths, pos, unl, size))
     return pd.DataFrame({"member": group["member"].head(1).to_numpy(), "bias": [bias], "buckets": [used.astype(np.int32)], "weights": [w]})
 
 

@@ -126,14 +126,57 @@ def test_toxicity_of_unseen_texts(spark, make_labels):
     assert np.mean([got[i] == truth[i] for i in truth]) > 0.98
 
 
+def by_hand(z, positive, prior):
+    """The risk as defined, texts one by one."""
+    loss = lambda v: float(np.log1p(np.exp(-v)))
+    of_p = [v for v, x in zip(z, positive, strict=True) if x]
+    of_u = [v for v, x in zip(z, positive, strict=True) if not x]
+    first = prior * sum(map(loss, of_p)) / len(of_p)
+    return first, sum(loss(-v) for v in of_u) / len(of_u) - prior * sum(loss(-v) for v in of_p) / len(of_p)
+
+
 def test_nnpu_steps_back_when_the_negative_risk_turns_negative():
     rng = np.random.default_rng(0)
-    lengths = np.full(200, 3)
-    indices = rng.integers(0, 30, 600)
-    positive = np.zeros(200)
-    positive[:60] = 1
-    w, bias = toxicity.fit_nnpu(indices, lengths, positive, 1 - positive, 0.5, 30)
-    assert np.isfinite(w).all() and np.isfinite(bias)
+    positive = np.arange(40) < 15
+    share_p, share_u = positive / 15, ~positive / 25
+    for shift, expected in ((2.0, False), (-6.0, True)):
+        z = rng.normal(size=40) + np.where(positive, 2, shift)
+        first, second, gradient, back = toxicity.risk(z, share_p, share_u, 0.4)
+        assert (first, second) == pytest.approx(by_hand(z, positive, 0.4))
+        assert back == expected == (second < 0)
+        for i in range(40):
+            moved = [by_hand(z + d * (np.arange(40) == i), positive, 0.4) for d in (1e-5, -1e-5)]
+            slope = [(a - b) / 2e-5 for a, b in zip(*moved, strict=True)]
+            # stepping back follows the negative part upwards and leaves the positive part alone
+            assert gradient[i] == pytest.approx(-slope[1] if back else slope[0] + slope[1], abs=1e-6)
+
+
+def test_rare_slurs_have_weight_and_enriched_labels_do_not_shift_the_prior(spark, make_labels):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(4000):
+        text = sentence(rng, "en", 25)
+        toxic = rng.random() < 0.25
+        if toxic:
+            text += " blockhead" if rng.random() < 0.98 else " snollygoster"
+        rows.append((i, text))
+        if toxic or rng.random() < 1 / 3:  # half of the labels are toxic, a quarter of the texts
+            labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = [sentence(rng, "en", 25) for _ in range(200)]
+    scorer = toxicity.learn(docs, make_labels(labels))
+    assert (scorer.score(clean) < 0.5).mean() > 0.98
+    assert (scorer.score([f"{x} blockhead" for x in clean]) >= 0.5).mean() > 0.98
+    base, with_rare = scorer.score(clean[:50]), scorer.score([f"{x} snollygoster" for x in clean[:50]])
+    assert (with_rare > base + 0.05).all()
+    assert toxicity.learn(docs, make_labels(labels), prior=0.6).score(clean).mean() > scorer.score(clean).mean()
+    mixture = np.concatenate([rng_normal(3, 1000, 1), rng_normal(3, 500, 2), rng_normal(-3, 1500, 3)])
+    is_p = np.arange(3000) < 1000
+    assert toxicity.estimate_prior(mixture, is_p, ~is_p) == pytest.approx(0.25, abs=0.03)
+
+
+def rng_normal(mean, n, seed):
+    return np.random.default_rng(seed).normal(mean, 1, n)
 
 
 def test_toxicity_awkward(spark, awkward, no_docs, make_labels):
