@@ -29,9 +29,9 @@ ORDER = 4
 TEXTS_PER_LANGUAGE = 1500
 # Languages that share one union of contexts; the number of blocks is not bounded.
 LANGUAGES_PER_BLOCK = 8
-# From this order up a pair met once is left out of the trees.
+# Symbols of context from which up a pair met once is left out of the trees, unless told otherwise.
 ONCE_FROM = 3
-# Text bytes scored at a time: a row of costs for every byte and language is held.
+# Text bytes scored or counted at a time: a row of costs for every byte and language is held.
 SCORED_BYTES = 1 << 19
 UNKNOWN = "und"
 
@@ -57,7 +57,29 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
     for k in range(ORDER):
         keep[starts[:-1] + k] = True
-    return data[keep], np.concatenate([[0], np.cumsum(keep)])[starts]
+    held = [np.count_nonzero(keep[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    return data[keep], np.concatenate([[0], np.cumsum(held, dtype=np.int64)])
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cut ``symbols`` into stretches of about ``size`` coded symbols, each text or part of one after its ORDER symbols of context.
+
+    Yields data, starts, and the number of the text each part belongs to.
+    """
+    lengths = np.diff(starts)
+    first = 0
+    while first < len(lengths):
+        if lengths[first] > size + ORDER:
+            for at in range(int(starts[first]) + ORDER, int(starts[first + 1]), size):
+                part = data[at - ORDER : min(at + size, int(starts[first + 1]))]
+                yield part, np.array([0, len(part)]), np.array([first])
+            first += 1
+            continue
+        stop = max(first + 1, int(np.searchsorted(starts, starts[first] + size, "right")) - 1)
+        long = np.flatnonzero(lengths[first:stop] > size + ORDER)
+        stop = first + int(long[0]) if len(long) else stop
+        yield data[starts[first] : starts[stop]], starts[first : stop + 1] - starts[first], np.arange(first, stop)
+        first = stop
 
 
 @dataclass
@@ -72,8 +94,7 @@ class Trees:
 
     def lengths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code length in bits of each text under each language, and the number of coded symbols."""
-        data, starts = symbols(texts)
-        return self.bits(data, starts), np.diff(starts) - ORDER
+        return Forest([self]).lengths(texts)
 
     def bits(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         n_lang = len(self.languages)
@@ -122,8 +143,13 @@ class Forest:
     def lengths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code length in bits of each text under each language, and the number of coded symbols."""
         data, starts = symbols(texts)
-        bits = [block.bits(data, starts) for block in self.blocks]
-        return np.hstack([np.zeros((len(texts), 0)), *bits]), np.diff(starts) - ORDER
+        total = np.zeros((len(texts), len(self.languages)))
+        for part, bounds, own in pieces(data, starts, SCORED_BYTES):
+            left = 0
+            for block in self.blocks:
+                total[own, left : left + len(block.languages)] += block.bits(part, bounds)
+                left += len(block.languages)
+        return total, np.diff(starts) - ORDER
 
 
 def compile_forest(pairs: pd.DataFrame, per_block: int = LANGUAGES_PER_BLOCK) -> Forest:
@@ -185,20 +211,24 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             rows = pd.DataFrame({"lang": part.column(0).to_pylist(), "text": part.column(1).to_pylist()})
             for lang, group in rows.groupby("lang"):
-                data, starts = symbols(list(group["text"]))
-                wide = data.astype(np.int64)
-                packed = np.zeros(len(data), np.int64)
-                for k in range(ORDER + 1):
-                    packed[ORDER:] |= wide[ORDER - k : len(data) - k] << (8 * k)
-                real = np.ones(len(data), bool)
-                for k in range(ORDER):
-                    real[starts[:-1] + k] = False
-                grams, n = np.unique(packed[real], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
-
-
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_cols: tuple[str, ...] = ("doc_id",), per_language: int = TEXTS_PER_LANGUAGE) -> Forest:
-    """Trees of every language from rows with a text and a language: a random sample of about ``per_language`` texts each, counted by Spark."""
+                for data, starts, _ in pieces(*symbols(list(group["text"])), 4 * SCORED_BYTES):
+                    wide = data.astype(np.int64)
+                    packed = np.zeros(len(data), np.int64)
+                    for k in range(ORDER + 1):
+                        packed[ORDER:] |= wide[ORDER - k : len(data) - k] << (8 * k)
+                    real = np.ones(len(data), bool)
+                    for k in range(ORDER):
+                        real[starts[:-1] + k] = False
+                    grams, n = np.unique(packed[real], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_cols: tuple[str, ...] = ("doc_id",), per_language: int = TEXTS_PER_LANGUAGE, once_from: int = ONCE_FROM) -> Forest:
+    """Trees of every language from rows with a text and a language: a random sample of about ``per_language`` texts each, counted by Spark.
+
+    After ``once_from`` or more symbols of context, what was met once is left out; ORDER + 1
+    leaves nothing out.  Rows that share key columns are in the sample together.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), sample_key(*key_cols).alias("key")
     )
@@ -211,7 +241,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
         .withColumn("gram", F.expr("gram & (shiftleft(1L, 8 * size) - 1)"))
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
-        .where((F.col("size") <= ONCE_FROM) | (F.col("n") > 1))
+        .where((F.col("size") <= once_from) | (F.col("n") > 1))
     )
     return compile_forest(pairs.toArrow().to_pandas())
 
@@ -221,6 +251,7 @@ def predict(docs: DataFrame, trees: Forest, id_col: str = "doc_id", text_col: st
 
     ``score`` is the share of the best language in the sum of all 2^-bits.  Text that is
     null or has no letter, and any text when no language was learnt, is ``und`` with score 0.
+    Repeated rows are rows of their own; a long text is coded in stretches whose bits add up.
     """
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate((id_col, *keep))]
     rows = docs.select(*kept, F.col(text_col).alias("text"))

@@ -75,6 +75,25 @@ def test_code_lengths_follow_the_definition():
         assert got[0] == pytest.approx([slow_bits(pairs, x, text) for x in trees.languages], rel=1e-5, abs=1e-5)
 
 
+def test_long_texts_are_coded_in_stretches(spark, trees, monkeypatch):
+    rng = random.Random(5)
+    texts = [sentence(rng, "en", n) for n in (3, 400, 1, 0, 90, 2, 700)]
+    whole, symbols = trees.lengths(texts)
+    monkeypatch.setattr(language, "SCORED_BYTES", 64)
+    data, starts = language.symbols(texts)
+    stretches = list(language.pieces(data, starts, 64))
+    assert len(stretches) > 50 and max(len(d) - language.ORDER * (len(b) - 1) for d, b, _ in stretches) <= 64
+    got, n = trees.lengths(texts)
+    assert got == pytest.approx(whole, rel=1e-5) and n.tolist() == symbols.tolist()
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    parts = language.learn(docs, once_from=language.ORDER + 1)
+    monkeypatch.undo()
+    once = language.learn(docs, once_from=language.ORDER + 1)
+    assert parts.lengths(texts)[0] == pytest.approx(once.lengths(texts)[0], rel=1e-5)
+    pruned, full = language.learn(docs), once
+    assert sum(len(c) for c in pruned.blocks[0].cost) < sum(len(c) for c in full.blocks[0].cost)
+
+
 def test_every_language_is_learnt_whole(spark):
     rng = random.Random(8)
     rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=600)) * 2, f"l{i:04}") for i in range(1010)]
