@@ -1,17 +1,17 @@
 """Token ids in Re-Pair compressed shards.
 
 A shard holds whole documents in ascending id order.  Frequent neighbouring pairs of
-symbols are replaced by new symbols, many pairs a round, until no pair is frequent enough;
-pairs never cross a document's end.  Layout of a shard, all little-endian:
+symbols are replaced by new symbols, many pairs a round, until no pair within a document is
+as frequent as ``frequent`` asks, in shares of the shard's symbols.  Layout of a shard, all little-endian:
 
-    8 bytes   magic "RPRSHD01"
-    6 uint64  documents, ids, symbols, rules, first rule symbol, bytes a symbol
+    8 bytes   magic "RPRSHD02"
+    6 uint64  documents, ids, symbols, rules, first rule symbol, bits a symbol
     int64     id of each document
     uint64    first id of each document within the shard, and the end
     uint64    first symbol of each document within the shard, and the end
     uint32    left and right symbol of each rule, in order; a rule uses only earlier ones
     uint32    expansion length of each rule
-    bytes     the symbols
+    bytes     the symbols, each in its bits, lowest bit first, one after the other
 
 The document tables and expansion lengths give any document, or any id in it, without
 decoding what stands before.
@@ -32,25 +32,27 @@ from pyspark.sql import functions as F
 from shelfmark.llm import wordbpe
 from shelfmark.llm.common import slices
 
-MAGIC = b"RPRSHD01"
+MAGIC = b"RPRSHD02"
 # Ids after which a shard ends with its document.
 SHARD_IDS = 1 << 21
-# A pair is frequent if it stands in so large a share of the shard's symbols.
-FREQUENT = 1 / 8192
-ROUNDS = 16
+# A pair is frequent if it stands in so large a share of the shard's symbols, and in four places at least.
+FREQUENT = 1 / 65536
 _BUCKET_BITS = 18
 NO_ID = -(1 << 63)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (left, right) and the number of symbols up to each end of a document."""
+def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, frequent: float = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (left, right) and the number of symbols up to each end of a document.
+
+    Ends when no pair is left that stands in max(4, ``frequent`` of the symbols) places within documents.
+    """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(ROUNDS):
-        least = max(4, int(len(seq) * FREQUENT))
+    while len(seq):
+        least = max(4, int(len(seq) * frequent))
         pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
         bucket[last[:-1]] = 1 << _BUCKET_BITS
@@ -99,23 +101,44 @@ def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     return np.array(lengths, np.uint32)
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Bytes of ``values`` in ``width`` bits each, and eight more so that any value can be read by a word."""
+    out = np.zeros((len(values) * width + 7) // 8 + 8, np.uint8)
+    for start in range(0, len(values), 1 << 16):  # whole bytes: the start is a multiple of eight values
+        part = values[start : start + (1 << 16)].astype("<u4")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width)
+        packed = np.packbits(bits.reshape(-1), bitorder="little")
+        out[start * width // 8 : start * width // 8 + len(packed)] = packed
+    return out
+
+
+def unpack_bits(data: np.ndarray, width: int, first: int, stop: int) -> np.ndarray:
+    """Values number ``first`` to before ``stop``, found by their bit offsets."""
+    at = np.arange(first, stop, dtype=np.int64) * width
+    byte = at >> 3
+    word = np.zeros(len(at), np.uint64)
+    for k in range(5):  # 32 bits that start within a byte lie in five
+        word |= data[byte + k].astype(np.uint64) << np.uint64(8 * k)
+    return ((word >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, frequent: float = FREQUENT) -> bytes:
     """A shard of the documents' ids."""
     ends = np.cumsum(counts)
     first_rule = int(ids.max(initial=0)) + 1
-    seq, rules, symbol_ends = compress(ids, ends, first_rule)
-    kind = np.uint16 if first_rule + len(rules) <= 1 << 16 else np.uint32
+    seq, rules, symbol_ends = compress(ids, ends, first_rule, frequent)
+    width = max(1, (first_rule + len(rules) - 1).bit_length())
     table = lambda e: np.concatenate([[0], e]).astype("<u8").tobytes()
     return b"".join(
         (
             MAGIC,
-            struct.pack("<6Q", len(counts), len(ids), len(seq), len(rules), first_rule, np.dtype(kind).itemsize),
+            struct.pack("<6Q", len(counts), len(ids), len(seq), len(rules), first_rule, width),
             doc_ids.astype("<i8").tobytes(),
             table(ends),
             table(symbol_ends),
             rules.astype("<u4").tobytes(),
             expansion_lengths(rules, first_rule).astype("<u4").tobytes(),
-            seq.astype(kind).tobytes(),
+            pack_bits(seq, width).tobytes(),
         )
     )
 
@@ -129,16 +152,19 @@ class Shard:
     def __post_init__(self) -> None:
         if self.data[:8] != MAGIC:
             raise ValueError("not a Re-Pair shard")
-        n, self.n_ids, n_symbols, n_rules, self.first_rule, width = struct.unpack_from("<6Q", self.data, 8)
+        n, self.n_ids, self.n_symbols, n_rules, self.first_rule, self.width = struct.unpack_from("<6Q", self.data, 8)
         at = 56
         parts = []
-        for kind, size in (("<i8", n), ("<u8", n + 1), ("<u8", n + 1), ("<u4", 2 * n_rules), ("<u4", n_rules), (f"<u{width}", n_symbols)):
+        for kind, size in (("<i8", n), ("<u8", n + 1), ("<u8", n + 1), ("<u4", 2 * n_rules), ("<u4", n_rules), ("u1", (self.n_symbols * self.width + 7) // 8 + 8)):
             parts.append(np.frombuffer(self.data, kind, size, at))
             at += size * np.dtype(kind).itemsize
-        self.doc_ids, self.starts, self.symbol_starts, rules, self.lengths, self.symbols = parts
+        self.doc_ids, self.starts, self.symbol_starts, rules, self.lengths, self._bits = parts
         self.rules = rules.reshape(-1, 2)
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
 
+    def symbols(self, first: int, stop: int) -> np.ndarray:
+        return unpack_bits(self._bits, self.width, first, stop)
+
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids and rules written out back to back: plain ids first, then each rule."""
         if self._flat is None:
@@ -152,14 +178,14 @@ class Shard:
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document."""
-        return self._decode(self.symbols[int(self.symbol_starts[k]) : int(self.symbol_starts[k + 1])])
+        return self._decode(self.symbols(int(self.symbol_starts[k]), int(self.symbol_starts[k + 1])))
 
     def all(self) -> np.ndarray:
-        return self._decode(self.symbols)
+        return self._decode(self.symbols(0, self.n_symbols))
 
     def id_at(self, k: int, place: int) -> int:
         """One id of a document, found by expansion lengths alone."""
-        symbols = self.symbols[int(self.symbol_starts[k]) : int(self.symbol_starts[k + 1])].astype(np.int64)
+        symbols = self.symbols(int(self.symbol_starts[k]), int(self.symbol_starts[k + 1]))
         size = lambda s: 1 if s < self.first_rule else int(self.lengths[s - self.first_rule])
         ends = np.cumsum(np.where(symbols < self.first_rule, 1, self.lengths[np.maximum(symbols - self.first_rule, 0)] if len(self.lengths) else 1))
         if not 0 <= place < (ends[-1] if len(ends) else 0):
@@ -173,10 +199,10 @@ class Shard:
 
     def _decode(self, symbols: np.ndarray) -> np.ndarray:
         flat, bounds = self._expansions()
-        return wordbpe.spread(flat, bounds, symbols.astype(np.int64))
+        return wordbpe.spread(flat, bounds, symbols)
 
 
-def encode_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
+def encode_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, frequent: float = FREQUENT) -> DataFrame:
     """``part, seq, n_docs, n_ids, shard binary``: shards in ascending order of (part, seq).
 
     Rows are dealt in ranges of (id, hash of the text), so repeated ids cannot pile up in
@@ -197,17 +223,17 @@ def encode_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id
                 kept.append((np.array([NO_ID if i is None else i for i in part.column(0).to_pylist()], np.int64), counts + 1, np.insert(ids, np.cumsum(counts), end_id)))
                 held += len(kept[-1][2])
                 if held >= shard_ids:
-                    yield _row(seq, kept)
+                    yield _row(seq, kept, frequent)
                     kept, held, seq = [], 0, seq + 1
         if kept:
-            yield _row(seq, kept)
+            yield _row(seq, kept, frequent)
 
     return ordered.mapInArrow(run, "seq int, n_docs long, n_ids long, shard binary").withColumn("part", F.spark_partition_id())
 
 
-def _row(seq: int, kept: list) -> pa.RecordBatch:
+def _row(seq: int, kept: list, frequent: float) -> pa.RecordBatch:
     doc_ids, counts, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array([seq], pa.int32()), pa.array([len(counts)]), pa.array([len(ids)]), pa.array([pack(doc_ids, counts, ids)])], ["seq", "n_docs", "n_ids", "shard"])
+    return pa.RecordBatch.from_arrays([pa.array([seq], pa.int32()), pa.array([len(counts)]), pa.array([len(ids)]), pa.array([pack(doc_ids, counts, ids, frequent)])], ["seq", "n_docs", "n_ids", "shard"])
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, **options) -> None:

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -90,6 +91,30 @@ def test_repeated_runs_shrink_and_rules_count_their_ids():
     assert [len(x) for x in whole] == shard.lengths.tolist()
 
 
+@pytest.mark.parametrize("frequent", [1 / 64, 1 / 1024, 0.0])
+def test_repair_leaves_no_frequent_pair(frequent):
+    rng = np.random.default_rng(3)
+    docs = [np.concatenate([rng.integers(0, 30, rng.integers(0, 40)), np.arange(40, 60), np.full(rng.integers(0, 30), 7)]) for _ in range(80)] + [np.zeros(0, np.int64)]
+    counts = np.array([len(d) for d in docs])
+    ids = np.concatenate(docs).astype(np.int32)
+    seq, rules, ends = repair.compress(ids, np.cumsum(counts), 60, frequent)
+    left = Counter(p for d in np.split(seq, ends[:-1]) for p in zip(d[:-1].tolist(), d[1:].tolist(), strict=True))
+    assert max(left.values()) < max(4, int(len(seq) * frequent))
+    shard = repair.Shard(repair.pack(np.arange(len(docs)), counts, ids, frequent))
+    assert (shard.all() == ids).all() and len(rules) == len(shard.rules)
+    assert all((shard.document(k) == d).all() for k, d in enumerate(docs))
+    assert [shard.id_at(5, k) for k in range(counts[5])] == docs[5].tolist()
+
+
+@pytest.mark.parametrize("width", [1, 5, 16, 17, 31, 32])
+def test_symbols_are_read_by_bit_offset(width):
+    values = np.random.default_rng(width).integers(0, 1 << width, 70_001).astype(np.uint32)
+    data = repair.pack_bits(values, width)
+    assert len(data) == (len(values) * width + 7) // 8 + 8
+    for first, stop in ((0, len(values)), (65_535, 65_540), (69_999, 70_001), (3, 3)):
+        assert (repair.unpack_bits(data, width, first, stop) == values[first:stop]).all()
+
+
 @pytest.mark.parametrize("shard_ids", [repair.SHARD_IDS, 50])
 def test_written_and_read_back(spark, library, awkward, no_docs, tmp_path, shard_ids):
     folder = f"file://{tmp_path}/shards"
