@@ -41,6 +41,16 @@ _BUCKET_BITS = 18
 NO_ID = -(1 << 63)
 
 
+def _buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of each pair of 32-bit symbols to _BUCKET_BITS bits."""
+    h = left * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h += right * np.uint32(0x85EBCA6B)
+    h *= np.uint32(0xC2B2AE35)
+    h >>= np.uint32(32 - _BUCKET_BITS)
+    return h.astype(np.int64)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, frequent: float = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and the number of symbols up to each end of a document.
 
@@ -53,30 +63,30 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, frequent: float
     n_rules = 0
     while len(seq):
         least = max(4, int(len(seq) * frequent))
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+        bucket = _buckets(seq[:-1], seq[1:])
         bucket[last[:-1]] = 1 << _BUCKET_BITS
         counts = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
         counts[-1] = 0
         often = np.flatnonzero((counts >= least)[bucket])
-        kinds, n = np.unique(pair[often], return_counts=True)
+        pair = (seq[often].astype(np.uint64) << np.uint64(32)) | seq[often + 1]
+        kinds, n = np.unique(pair, return_counts=True)
         order = np.argsort(n, kind="stable")
         order = order[n[order] >= least]
         if not len(order):
             break
         # of pairs in one bucket the most frequent has its turn now
         owner = np.full((1 << _BUCKET_BITS) + 1, -1, np.int32)
-        owner[((kinds[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)] = order
+        owner[_buckets((kinds[order] >> np.uint64(32)).astype(np.uint32), kinds[order].astype(np.uint32))] = order
         chosen = np.sort(owner[owner >= 0])
         symbol = np.zeros(len(kinds), np.uint32)
         symbol[chosen] = first_rule + n_rules + np.arange(len(chosen), dtype=np.uint32)
         own = owner[bucket[often]]
-        hit = (own >= 0) & (kinds[own] == pair[often])
+        hit = (own >= 0) & (kinds[own] == pair)
         at, new = often[hit], symbol[own[hit]]
         # of pairs that overlap in a run, every other one is replaced
-        run = np.cumsum(np.diff(at, prepend=-2) != 1)
-        first = np.searchsorted(run, run)
-        take = (np.arange(len(at)) - first) % 2 == 0
+        place = np.arange(len(at))
+        first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
+        take = (place - first) % 2 == 0
         at, new = at[take], new[take]
         seq[at] = new
         last[at] = last[at + 1]
