@@ -104,11 +104,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, frequent: float
     return seq, np.concatenate([np.zeros((0, 2), np.uint32), *rules]), symbol_ends
 
 
+def layers(rules: np.ndarray, first_rule: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rules that use only rules before the stretch."""
+    newest = np.maximum.accumulate(rules.max(axis=1, initial=0).astype(np.int64)) - first_rule
+    start = 0
+    while start < len(rules):
+        stop = int(np.searchsorted(newest, start))
+        yield start, stop
+        start = stop
+
+
 def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
-    lengths: list[int] = []
-    for left, right in rules.tolist():
-        lengths.append(sum(lengths[s - first_rule] if s >= first_rule else 1 for s in (left, right)))
-    return np.array(lengths, np.uint32)
+    lengths = np.ones(first_rule + len(rules), np.uint32)
+    for start, stop in layers(rules, first_rule):
+        lengths[first_rule + start : first_rule + stop] = lengths[rules[start:stop]].sum(axis=1)
+    return lengths[first_rule:]
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -178,12 +188,11 @@ class Shard:
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids and rules written out back to back: plain ids first, then each rule."""
         if self._flat is None:
-            out: list[np.ndarray] = []
-            for left, right in self.rules.tolist():
-                out.append(np.concatenate([out[s - self.first_rule] if s >= self.first_rule else np.array([s], np.uint32) for s in (left, right)]))
-            plain = np.arange(self.first_rule, dtype=np.uint32)
+            flat = np.arange(self.first_rule, dtype=np.uint32)
             bounds = np.concatenate([np.arange(self.first_rule + 1), self.first_rule + np.cumsum(self.lengths, dtype=np.int64)])
-            self._flat = np.concatenate([plain, *out]), bounds
+            for start, stop in layers(self.rules, self.first_rule):
+                flat = np.concatenate([flat, wordbpe.spread(flat, bounds, self.rules[start:stop].reshape(-1).astype(np.int64))])
+            self._flat = flat, bounds
         return self._flat
 
     def document(self, k: int) -> np.ndarray:
