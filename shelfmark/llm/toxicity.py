@@ -38,6 +38,8 @@ DOUBT = 25.0
 # Steps of the fit, and of the first fit that only ranks texts to estimate the prior.
 STEPS = 150
 RANKING_STEPS = 50
+# Prior of that first fit: small, so that it seldom steps back and ranks as plain positive against unlabelled.
+RANKING_PRIOR = 0.02
 # The sample is dealt to so many folds; each is ranked by a first fit to the others.
 FOLDS = 2
 RATE = 0.1
@@ -195,7 +197,7 @@ def _fit(group: pd.DataFrame, prior: float | None) -> pd.DataFrame:
         z, row, turn = np.zeros(len(lists)), np.repeat(np.arange(len(lists)), lengths), np.arange(len(lists)) % FOLDS
         for k in range(FOLDS):
             rest = turn != k
-            w, bias = fit_nnpu(indices, lengths, pos * rest, unl * rest, 0.5, size, evidence(indices, lengths, pos * rest, unl * rest, size), RANKING_STEPS)
+            w, bias = fit_nnpu(indices, lengths, pos * rest, unl * rest, RANKING_PRIOR, size, evidence(indices, lengths, pos * rest, unl * rest, size), RANKING_STEPS)
             z[~rest] = bias + np.bincount(row, weights=w[indices], minlength=len(lists))[~rest]
         prior = estimate_prior(z, pos, unl)
     w, bias = fit_nnpu(indices, lengths, pos, unl, min(max(prior, 1e-4), 0.9), size, evidence(indices, lengths, pos, unl, size))
