@@ -19,6 +19,13 @@ def test_hot_keys_are_few_and_found(spark):
     assert largest_groups(counts, "n").count() == min(counts.count(), HOT_KEYS_MAX)
 
 
+def test_hot_keys_of_equal_size_are_the_same_in_every_plan(spark):
+    counts = spark.range(5 * HOT_KEYS_MAX).select(F.md5(F.col("id").cast("string").cast("binary")).alias("k"), F.lit(2).alias("n"))
+    one = {r.k for r in largest_groups(counts.repartition(3, "k"), "n").collect()}
+    other = {r.k for r in largest_groups(counts.repartition(7), "n").collect()}
+    assert one == other and len(one) == HOT_KEYS_MAX
+
+
 def test_join_groups_splits_hot_keys_without_losing_rows(spark):
     rows = skewed(spark)
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
