@@ -147,3 +147,14 @@ def test_schema_conform_and_sessions(spark):
     later = schemas.open_session(spark, "s2", dt.datetime(2024, 2, 1), ["/a"], {})
     assert [r.session_id for r in schemas.sessions_newest_first(opened.unionByName(later)).collect()] == ["s2", "s1"]
     assert registry.active(opened.selectExpr("session_id", "true active", "1 priority")).count() == 1
+
+
+def test_a_tree_of_documents_has_one_file_a_row_and_few_folders(spark):
+    from shelfmark.plans import file_queries
+    from shelfmark.plans.fixtures import Tables
+
+    docs = Tables(spark, "/root/testdata/sf0.001")
+    folder = file_queries.tree(docs)
+    found = [(base, name) for base, _, names in os.walk(folder) for name in names if name.endswith(".txt")]
+    rows = docs.read("documents").count()
+    assert len(found) == rows and len({base for base, _ in found}) <= spark.sparkContext.defaultParallelism < rows
