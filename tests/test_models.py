@@ -46,3 +46,21 @@ def test_cascade_stops_at_the_first_sure_stage(spark):
     assert got[3].predicted_category == "two" and got[3].success
     assert (got[4].predicted_category, got[4].model_used, got[4].success) == ("unknown", "none", False)
     assert sum(r.rows for r in models.model_usage(models.cascade(rows, [("one", 0.8, stage("one", 1.0))])).collect()) == 4
+
+
+def test_vocabulary_counts_and_settles_ties_by_bytes(spark):
+    from pyspark.ml.feature import CountVectorizer
+
+    rows = spark.createDataFrame([(["b", "a", "c", "c"],), (["a", "b", "d", "e", "e", "e"],), (["d", "z"],)], "terms array<string>")
+    make = lambda **more: CountVectorizer(inputCol="terms", outputCol="tf", **more)
+    for spread in (rows.repartition(1), rows.repartition(3)):
+        assert models._vocabulary(make(vocabSize=4), spread).vocabulary == ["e", "a", "b", "c"]
+        assert models._vocabulary(make(minDF=2.0, maxDF=0.7), spread).vocabulary == ["a", "b", "d"]
+
+
+def test_fit_and_cascade_hold_no_texts_in_memory(spark):
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    docs = spark.createDataFrame([(1, "/a.pdf", "invoice total"), (2, "/b.txt", "")], "file_id long, path string, text string")
+    stage = models.keyword_stage()
+    done = models.cascade(docs, [("rule_based", 0.5, stage), ("second_pass", 0.0, stage)])
+    assert done.count() == 2 and spark.sparkContext._jsc.getPersistentRDDs().size() == held
