@@ -40,19 +40,30 @@ def cross_root_copies(files: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 
 def path_conflicts(files: DataFrame) -> DataFrame:
-    """Relative paths that differ in content between roots."""
-    distinct = files.where(F.col("hash_quick").isNotNull()).groupBy("relative_path", "root_id", "hash_quick").agg(
-        F.count("*").alias("n")
+    """Relative paths that differ in content between roots.
+
+    Rows are reduced to (path, content) and (path, root) by plain aggregations: counting
+    both kinds of distinct values in one would hold every row several times.
+    """
+    known = files.where(F.col("hash_quick").isNotNull())
+    versions = (
+        known.groupBy("relative_path", "hash_quick")
+        .agg(F.count("*").alias("n"))
+        .groupBy("relative_path")
+        .agg(F.count("*").alias("version_count"), F.sum("n").alias("copies"))
+        .where(F.col("version_count") > 1)
     )
-    return (
-        distinct.groupBy("relative_path")
-        .agg(
-            F.count_distinct("hash_quick").alias("version_count"),
-            F.count_distinct("root_id").alias("root_count"),
-            F.sum("n").alias("copies"),
-        )
-        .where((F.col("version_count") > 1) & (F.col("root_count") > 1))
+    # a missing root is none, as in a distinct count
+    roots = (
+        known.where(F.col("root_id").isNotNull())
+        .groupBy("relative_path", "root_id")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("relative_path")
+        .agg(F.count("*").alias("root_count"))
+        .where(F.col("root_count") > 1)
     )
+    same = F.col("v.relative_path").eqNullSafe(F.col("r.relative_path"))
+    return versions.alias("v").join(roots.alias("r"), same).select("v.relative_path", "version_count", "root_count", "copies")
 
 
 def path_state(files: DataFrame, root: str) -> DataFrame:

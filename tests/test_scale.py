@@ -122,3 +122,15 @@ def test_star_components_of_a_chain_and_of_hubs(spark):
     sizes = {r.label: r["count"] for r in got.groupBy("label").count().collect()}
     assert sizes == {0: 10_001, 100_000: 300_000, 1_000_000: 300_001}
     assert got.where("label > id").isEmpty()
+
+
+def test_path_conflicts_repeat_no_rows_for_distinct_counts(spark):
+    """F32: two distinct counts in one aggregation held every row several times."""
+    from shelfmark.operators import compare
+
+    rows = [("p", "a", "1"), ("p", "b", "2"), ("p", "b", "2"), ("q", "a", "1"), ("q", "b", "1"), ("r", "a", "1"), ("r", "a", "2"),
+            ("s", None, "1"), ("s", "a", "2"), (None, "a", "1"), (None, "b", "2"), ("t", "a", None), ("t", "b", "2")]
+    found = compare.path_conflicts(spark.createDataFrame(rows, "relative_path string, root_id string, hash_quick string"))
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.relative_path, r.version_count, r.root_count, r.copies) for r in found.collect()}
+    assert got == {("p", 2, 2, 3), (None, 2, 2, 2)}
