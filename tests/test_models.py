@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import models
+from shelfmark.operators import flags, models
 
 
 def labelled(spark):
@@ -64,3 +64,38 @@ def test_fit_and_cascade_hold_no_texts_in_memory(spark):
     stage = models.keyword_stage()
     done = models.cascade(docs, [("rule_based", 0.5, stage), ("second_pass", 0.0, stage)])
     assert done.count() == 2 and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+def test_vocabulary_is_whole_when_terms_share_buckets(spark, monkeypatch):
+    """The frequent terms stand in few buckets, so those first looked into do not hold every term that is due."""
+    from collections import Counter
+
+    from pyspark.ml.feature import CountVectorizer
+
+    texts = [[f"w{(i * j) % 97}" for j in range(1, 60)] + [f"only{i}"] for i in range(60)]
+    counts = Counter(w for t in texts for w in t)
+    docs = Counter(w for t in texts for w in set(t))
+    rows = spark.createDataFrame([(t,) for t in texts], "terms array<string>").repartition(4)
+    order = sorted(counts, key=lambda w: (-counts[w], w.encode()))
+    make = lambda **more: CountVectorizer(inputCol="terms", outputCol="tf", **more)
+    for bits in (1, 5, 18):
+        monkeypatch.setattr(models, "BUCKET_BITS", bits)
+        for size in (1, 7, 40, 500):
+            assert models._vocabulary(make(vocabSize=size), rows).vocabulary == order[:size]
+        bounded = [w for w in order if 2 <= docs[w] <= 30]
+        assert models._vocabulary(make(vocabSize=20, minDF=2.0, maxDF=0.5), rows).vocabulary == bounded[:20]
+
+
+def test_rows_of_one_type_stay_in_many_tasks(spark):
+    """A type's rows, with their texts, are not shuffled into one task; rare types still go."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where Spark does not broadcast by itself
+    held = spark.range(4000).repartition(8).selectExpr(
+        "id file_id", "case when id < 4 then 'rare' when id < 10 then 'few' else 'invoice' end document_type",
+        "0.9D confidence", "repeat('x', 100) text")
+    kept = flags.trainable(held).withColumn("task", F.spark_partition_id())
+    got = {r.document_type: (r.n, r.tasks) for r in kept.groupBy("document_type").agg(
+        F.count("*").alias("n"), F.count_distinct("task").alias("tasks")).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(got) == {"few", "invoice"} and got["few"][0] == 6 and got["invoice"][0] == 3990
+    assert got["invoice"][1] >= 8
