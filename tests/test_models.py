@@ -78,8 +78,9 @@ def test_vocabulary_is_whole_when_terms_share_buckets(spark, monkeypatch):
     rows = spark.createDataFrame([(t,) for t in texts], "terms array<string>").repartition(4)
     order = sorted(counts, key=lambda w: (-counts[w], w.encode()))
     make = lambda **more: CountVectorizer(inputCol="terms", outputCol="tf", **more)
-    for bits in (1, 5, 18):
+    for bits, share in ((1, 0.0), (5, 1.0), (18, 0.1)):
         monkeypatch.setattr(models, "BUCKET_BITS", bits)
+        monkeypatch.setattr(models, "LIKELY_SHARE", share)
         for size in (1, 7, 40, 500):
             assert models._vocabulary(make(vocabSize=size), rows).vocabulary == order[:size]
         bounded = [w for w in order if 2 <= docs[w] <= 30]
