@@ -100,3 +100,39 @@ def test_rows_of_one_type_stay_in_many_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert set(got) == {"few", "invoice"} and got["few"][0] == 6 and got["invoice"][0] == 3990
     assert got["invoice"][1] >= 8
+
+
+def test_pairs_are_counted_of_frequent_words_only(spark, monkeypatch):
+    """The vocabulary is that of all terms, also where ties or few buckets leave more words than can be kept."""
+    from pyspark.ml import PipelineModel
+
+    texts = [" ".join(f"w{(i * j * j) % 23}" for j in range(1, 40 + i)) + f" only{i} only{i}" + " alpha beta" * (i % 3) * 9 for i in range(60)] + ["", "x", "one"]
+    rows = spark.createDataFrame([(t,) for t in texts], "model_text string").repartition(4)
+    calls, whole = [], models._vocabulary
+    monkeypatch.setattr(models, "_vocabulary", lambda *args: calls.append(1) or whole(*args))
+    for bits, size, low, high, stop in ((18, 5, 1.0, 1.0e18, False), (18, 5, 2.0, 0.5, True), (3, 3, 1.0, 1.0e18, False), (18, 400, 1.0, 1.0e18, False)):
+        monkeypatch.setattr(models, "BUCKET_BITS", bits)
+        *before, counter, _ = models._terms(size, low, high, stop)
+        terms = PipelineModel(before).transform(rows)
+        assert models._of_pairs(before) and not models._of_pairs(before[:-1])
+        calls.clear()
+        got = models._pair_vocabulary(counter, terms).vocabulary
+        assert calls == [1] * (bits == 3 or size == 400)
+        assert got == whole(counter, terms).vocabulary and len(got) == size
+        # a frequent pair takes the place of a word, unless most texts hold it
+        assert low > 1 or "alpha beta" in got
+
+
+def test_texts_of_settled_rows_are_not_written(spark, monkeypatch):
+    written, write = [], models._written
+    monkeypatch.setattr(models, "_written", lambda df, purpose: written.append(write(df, purpose)) or written[-1])
+    rows = spark.createDataFrame([(1, 0.9, "long text"), (2, 0.6, "other text")], "id int, c double, text string")
+
+    def stage(factor):
+        # an answer needs the text
+        return lambda df: df.withColumns({"stage_category": F.upper("text"), "stage_confidence": F.col("c") * factor})
+
+    done = models.cascade(rows, [("one", 0.8, stage(1.0)), ("two", 0.7, stage(1.5))], ["id"])
+    assert {r.id: (r.predicted_category, r.model_used) for r in done.collect()} == {1: ("LONG TEXT", "one"), 2: ("OTHER TEXT", "two")}
+    assert done.columns[0] == "id" and "text" not in done.columns
+    assert {r.id: r.text for r in written[0].collect()} == {1: None, 2: "other text"} and "text" not in written[1].columns
