@@ -284,7 +284,7 @@ def _(t: Tables):
 def _(t: Tables):
     rows = t.base.select("doc_id", "n", "n_chars", tx.tokens(F.col("text")).alias("w"))
     return rows.select("doc_id", F.expr("n div 1024").alias("size_kb"),
-                       F.round(F.abs(F.col("n") - F.col("n_chars")) / F.col("n"), 6).alias("difference"),
+                       F.round(tx.ratio(F.abs(F.col("n") - F.col("n_chars")), F.col("n")), 6).alias("difference"),
                        F.array_join(F.slice(F.array_distinct("w"), 1, 5), "-").alias("first_words"),
                        F.array_contains("w", "the").alias("has_the"))
 
